@@ -1,0 +1,66 @@
+"""File discovery: a binary or text listing filtered by ignore rules, by language and
+by size, on the executors."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.paths import language
+
+#: Folders that are never of interest. Fixed values.
+SKIPPED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "vendor", "third_party", "dist", "build", "target", "__pycache__", ".venv", "venv", ".tox", ".idea", ".vscode", "coverage", ".next", ".cache")
+
+#: Endings of generated and binary files. Fixed values.
+SKIPPED_ENDINGS = (".min.js", ".min.css", ".map", ".lock", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".jar", ".class", ".so", ".dll", ".exe", ".pyc", ".wasm", ".woff", ".woff2", ".ttf")
+
+
+def ignore_pattern(rule: str) -> tuple[str, bool] | None:
+    """A line of an ignore file as a pattern over relative paths, and whether it brings
+    back what others left out; None for comments and blank lines."""
+    rule = rule.rstrip()
+    if not rule or rule.startswith("#"):
+        return None
+    back = rule.startswith("!")
+    rule = rule.removeprefix("!")
+    folder = rule.endswith("/")
+    rule = rule.strip("/") if folder else rule
+    anchored = "/" in rule.strip("/") or rule.startswith("/")
+    rule = rule.lstrip("/")
+    out = []
+    for part in re.split(r"(\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", rule):
+        out.append({"**/": "(?:.*/)?", "/**": "(?:/.*)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, part if part.startswith("[") else re.escape(part)))
+    return ("^" if anchored else "(?:^|/)") + "".join(out) + ("/" if folder else "(?:/|$)"), back
+
+
+def ignored(path: Column, rules: Iterable[str]) -> Column:
+    """By the last rule that matches."""
+    out = F.lit(False)
+    for found in map(ignore_pattern, rules):
+        if found is not None:
+            pattern, back = found
+            out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
+    return out
+
+
+def wanted(path: Column, rules: Iterable[str] = (), known_languages: bool = True) -> Column:
+    folders = "|".join(re.escape(f) for f in SKIPPED_FOLDERS)
+    keep = ~path.rlike(rf"(^|/)(?:{folders})/") & ~F.lower(path).rlike("(?:" + "|".join(re.escape(e) for e in SKIPPED_ENDINGS) + ")$") & ~ignored(path, rules)
+    return keep & (language(path) != "") if known_languages else keep
+
+
+def discover(spark: SparkSession, root: str, rules: Iterable[str] = (), known_languages: bool = True, max_bytes: int = 10 << 20) -> DataFrame:
+    """file_path (below root), size, mtime and text of the files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = "^(?:[a-z]+:/*)?/?" + re.escape(re.sub("^[a-z]+:/*", "", root).strip("/")) + "/"
+    found = files.select(F.regexp_replace("path", base, "").alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    found = found.where((F.col("size") <= max_bytes) & wanted(F.col("file_path"), rules, known_languages))
+    return found.select("file_path", "size", "mtime", F.col("content").cast("string").alias("text"))
+
+
+def file_states(found: DataFrame) -> DataFrame:
+    """rel_path, mtime_ns, size, sha256: what change detection compares."""
+    return found.select(F.col("file_path").alias("rel_path"), (F.unix_micros("mtime") * 1000).alias("mtime_ns"), "size", F.sha2(F.col("text"), 256).alias("sha256"))
