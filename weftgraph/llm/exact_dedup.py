@@ -32,6 +32,9 @@ BUCKET_DIGESTS = 1 << 15
 #: Bits a level has for each digest that reaches it.
 GAMMA = 2
 
+#: Stands for the locator of a group in which no row has one.
+NO_DOC = (1 << 63) - 1
+
 INDEX_SCHEMA = "bucket int, n int, levels array<int>, bits binary, digests binary, locators binary, sizes binary"
 GROUP_SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
@@ -148,7 +151,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return marked.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_DOC)).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
@@ -171,11 +174,12 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     index = build_index(_grouped(marked.where(early)), buckets)
     late = _grouped(marked.where(F.coalesce(~early, F.lit(True))))
     groups = look_up(index, late, buckets)
+    keep = F.when(F.col("keep_id") != NO_DOC, F.col("keep_id"))
     return marked.join(groups, "digest").select(
         "doc_id",
-        "keep_id",
+        keep.alias("keep_id"),
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
+        F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
         "digest",
     )
 
