@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_file, language, package
+from ..lineage import cut
 from .store import degrees
 
 #: Property keys listed for a label or type.
@@ -128,23 +129,18 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def _kept(df: DataFrame, k: int) -> DataFrame:
-    """Cuts the lineage where there is a checkpoint folder."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
     """id, component: the smallest id that edges of either direction lead to. Each round
     takes the least label around and then that label's own label, which halves the
     distance that is left."""
     around = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    around = _kept(around, 0)
+    around = cut(around)
     labels = nodes.select("id", F.col("id").alias("c"))
-    for k in range(rounds):
+    for _ in range(rounds):
         near = around.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         least = labels.join(near, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = least.select(F.col("id").alias("n"), F.col("n").alias("t"))
-        new = _kept(least.join(jump, "n", "left").select("id", "c", F.least("n", F.coalesce("t", "n")).alias("n")), k)
+        new = cut(least.join(jump, "n", "left").select("id", "c", F.least("n", F.coalesce("t", "n")).alias("n")))
         changed = new.where("c <> n").limit(1).count()
         labels = new.select("id", F.col("n").alias("c"))
         if not changed:
@@ -157,8 +153,8 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 10) -> DataFra
     undirected multigraph without loops. All nodes of one half, by a hash that differs
     in each sweep, move at once, so that neighbours don't swap for ever; the smallest
     community wins ties."""
-    w = _kept(_undirected(edges), 0)
-    degree = _kept(w.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), 0)
+    w = cut(_undirected(edges))
+    degree = cut(w.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
     labels = nodes.select("id", F.col("id").alias("c"))
     total = degree.agg(F.sum("k")).first()[0]
     if not total:
@@ -175,7 +171,7 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 10) -> DataFra
         best = scored.groupBy("id", "old").agg(F.min_by("c", F.struct((-gain).alias("g"), F.col("c") != F.col("old"), "c")).alias("new"))
         turn = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0
         moved = best.select("id", F.when(turn, F.col("new")).otherwise(F.col("old")).alias("n"), F.col("new") != F.col("old"))
-        labels = _kept(labels.join(moved.select("id", "n"), "id", "left").select("id", F.coalesce("n", "c").alias("c")), sweep + 1)
+        labels = cut(labels.join(moved.select("id", "n"), "id", "left").select("id", F.coalesce("n", "c").alias("c")))
         if not best.where("new <> old").limit(1).count():
             break
     return labels.withColumnRenamed("c", "community")

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 #: Levels of an expansion without an upper bound.
 DEPTH = 10
 
-#: Levels after which a frontier is written to the checkpoint folder, to keep the
-#: plan short.
+#: Levels after which a frontier is kept in the checkpoint folder, to keep the plan
+#: short.
 CUT_EVERY = 4
 
 
@@ -35,8 +37,8 @@ def expand(roots: DataFrame, edges: DataFrame, low: int = 1, high: int | None =
     found = [front.withColumn("hop", F.lit(0))] if low == 0 else []
     for hop in range(1, high + 1):
         front = front.join(travel, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        if hop % CUT_EVERY == 0 and hop < high and front.sparkSession.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
+        if hop % CUT_EVERY == 0 and hop < high:
+            front = cut(front)
         if hop >= low:
             found.append(front.withColumn("hop", F.lit(hop)))
     if not found:
@@ -48,15 +50,16 @@ def expand(roots: DataFrame, edges: DataFrame, low: int = 1, high: int | None =
 
 
 def shortest(roots: DataFrame, edges: DataFrame, high: int | None = None, direction: str = "out") -> DataFrame:
-    """root, node, hop with the least number of edges; the root has 0."""
+    """root, node, hop with the least number of edges; the root has 0. Each level is
+    computed at once, and the loop ends with the first that brings nothing new."""
     high = DEPTH if high is None else high
     travel = steps(edges, direction)
     seen = roots.select(F.col(roots.columns[0]).alias("root")).distinct().withColumns({"node": F.col("root"), "hop": F.lit(0)})
     front = seen
     for hop in range(1, high + 1):
         reached = front.join(travel, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = reached.join(seen, ["root", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        if hop % CUT_EVERY == 0 and hop < high and front.sparkSession.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
+        front = cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return seen
