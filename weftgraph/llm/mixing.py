@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     s = s.withColumns({"total": share * F.sum("source_size").over(everything), "full": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "open": F.sum("weight").over(onward)})
     s = s.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
     stops = F.col("level") * F.col("weight") >= F.col("cap")
-    s = s.withColumn("t", F.min(F.when(~stops, F.col("level"))).over(everything))
+    s = s.withColumn("t", F.max(F.when(~stops, F.col("level"))).over(everything))
     return s.select("source", "source_size", F.when(stops | F.col("t").isNull(), F.col("cap")).otherwise(F.least(F.col("t") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
