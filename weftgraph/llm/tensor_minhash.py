@@ -14,11 +14,12 @@ From the tables to components, with links confirmed on full sets only:
    keys are formed, so that most documents form none.
 3. Each node is confirmed against the smallest node of a table, the one with
    which it shares the most tables.
-4. In tables that still hold several components, nodes outside the table's
-   largest component are compared with all its nodes of other components, by
-   the sketches of minhashes, in blocks of bounded size, first in few tables a
-   node, then in more, and in the end in all; pairs that are alike enough are
-   confirmed. Pairs within a component need no comparison.
+   Nodes that such pairs join, confirmed or not, are a family.
+4. In a family with several components, the nodes outside the largest are compared
+   on full sets with all the family's nodes, in blocks of bounded size.
+5. Nodes of different families that meet in a table are compared by the sketches of
+   their minhashes, in blocks, and pairs that are alike enough are confirmed. Pairs
+   within a component need no comparison.
 
 No bucket is dropped and no pair is left out for its bucket's size, and no task
 holds more than a block of a bucket.
@@ -45,12 +46,15 @@ PERCENT = 85
 #: Bands in a collection, and minhashes in a band.
 M, T = 10, 3
 
-#: Nodes of a block of a table.
+#: Nodes of a block of those that share a band.
 BLOCK_NODES = 1024
 
-#: Documents confirmed against one node by one task.
+#: Documents confirmed against one node by one task, and nodes of a chunk of a family.
 CONFIRMED_ROWS = 512
 
+#: Shingles of a matrix.
+MATRIX_COLUMNS = 4096
+
 #: Share of equal sketch bytes below which a pair can't be similar enough, but for
 #: chances of about one in ten thousand.
 SKETCH_SHARE = 0.66
@@ -172,6 +176,17 @@ def tables(nodes: DataFrame) -> DataFrame:
     return entries.join(many, "key")
 
 
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union. s, t: sorted, distinct."""
+    n, m = len(s), len(t)
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (n + m - common)
+
+
 def _confirm(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Columns v, chunk, u, text; a row with u = v is v's own and comes before the
@@ -187,13 +202,7 @@ def _confirm(percent: int):
                     if u[i] == v[i]:
                         held, mine = v[i], s
                     elif held == v[i]:
-                        n, m = len(s), len(mine)
-                        if 100 * min(n, m) < percent * max(n, m):
-                            continue
-                        both = np.concatenate([s, mine])
-                        both.sort()
-                        common = int((both[1:] == both[:-1]).sum())
-                        if 100 * common >= percent * (n + m - common):
+                        if similar(s, mine, percent):
                             out[0].append(u[i])
                             out[1].append(v[i])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["u", "v"])
@@ -212,88 +221,236 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return laid.mapInArrow(_confirm(percent), "u bigint, v bigint")
 
 
-def _alike(most: int, share: float):
-    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Rows with equal key, a and b together."""
+def _alike(share: float):
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Rows with equal h, a and b together: asks, node, comp, bands, sketch."""
         held: list[tuple] = []
         last = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            raw = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, 2 * M * T)
-            if not len(raw):
+            n = batch.num_rows
+            if not n:
                 continue
-            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            for s, e in zip([0, *change], [*change, len(raw)], strict=True):
-                name = (cols[0][s], cols[1][s], cols[2][s])
+            key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            rows = (
+                *(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)),
+                batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * M),
+                np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, 2 * M * T),
+            )
+            change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            for s, e in zip([0, *change], [*change, n], strict=True):
+                name = tuple(k[s] for k in key)
                 if held and name != last:
-                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
                     held = []
-                held.append((cols[3][s:e], cols[4][s:e], cols[5][s:e], raw[s:e]))
+                held.append(tuple(x[s:e] for x in rows))
                 last = name
         if held:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns key, a, b, asks, node, comp, sketch; yields u, v, more (whether a
-        node was alike to more than most others of a component)."""
-        out: list[tuple] = []
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["u", "v", "more"])
-
-        for asks, node, comp, raw in groups(batches):
-            base = ~asks
-            nodes, comps, rows = node[base], comp[base], raw[base]
-            for u, c, sketch in zip(node[asks], comp[asks], raw[asks], strict=True):
-                same = (rows == sketch).sum(axis=1)
-                good = np.flatnonzero((same >= share * rows.shape[1]) & (comps != c))
-                if not len(good):
-                    continue
-                good = good[np.lexsort((nodes[good], -same[good], comps[good]))]
-                rank = np.arange(len(good)) - np.searchsorted(comps[good], comps[good])
-                for i, r in zip(good, rank, strict=True):
-                    if r < most:
-                        out.append((max(u, nodes[i]), min(u, nodes[i]), False))
-                    elif r == most:
-                        out.append((u, u, True))
-            if len(out) >= 4096:
-                yield batch_of()
-                out = []
+        """Columns h, a, b, asks, node, comp, bands, sketch; yields pairs u > v."""
+        out: list[np.ndarray] = []
+        size = 0
+        need = int(np.ceil(share * 2 * M * T))
+        for asks, node, comp, keys, raw in groups(batches):
+            base = np.flatnonzero(~asks)
+            for i in np.flatnonzero(asks):
+                j = base[comp[base] != comp[i]]
+                agree = keys[j] == keys[i]
+                j = j[agree[:, :M].any(axis=1) & agree[:, M:].any(axis=1)]  # they meet in a table
+                j = j[(raw[j] == raw[i]).sum(axis=1) >= need]
+                if len(j):
+                    out.append(np.stack([np.maximum(node[j], node[i]), np.minimum(node[j], node[i])]))
+                    size += len(j)
+            if size >= 8192:
+                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+                out, size = [], 0
         if out:
-            yield batch_of()
+            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
     return run
 
 
-def _open_entries(entries: DataFrame, comps: DataFrame, tables_each: int) -> DataFrame:
-    """key, node, comp, asks, n (nodes of the table), k (those that ask): the tables
-    that hold several components, of equal tables one; a node that isn't of its
-    table's largest component asks in tables_each of its tables."""
-    named = entries.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
-    per = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("c"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("c > 1")
-    once = per.groupBy("n", "s").agg(F.min(F.struct("key", "main")).alias("x")).select("x.key", "x.main", "n")
-    rows = named.join(once, "key").withColumn("out", F.col("comp") != F.col("main"))
-    order = F.row_number().over(Window.partitionBy("node", "out").orderBy(F.desc("n"), "key"))
-    rows = rows.withColumn("asks", F.col("out") & (order <= tables_each))
-    asking = rows.where("asks").groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    return rows.join(asking, "key").select("key", "node", "comp", "asks", "n", "k")
+def alike_across(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """u, v: the pairs of nodes of different components (or families, as given) that meet in
+    a table and whose sketches are alike. nodes: node, bands, sketch.
+
+    Nodes with an equal band of the first collection come together; that they have one
+    of the second, too, is seen there, so that the tables' pairs of keys needn't be laid
+    out again. Of each group the nodes outside its largest component ask all its nodes,
+    in blocks against blocks."""
+    named = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bands", "sketch")
+    rows = named.select("node", "comp", F.explode(F.slice("bands", 1, M)).alias("h"))
+    parts = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = parts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "comp")).alias("main")).where("c > 1")
+    per = per.select("h", "n", (F.col("n") - F.col("main.n")).alias("k"), F.col("main.comp").alias("main"))
+    opened = rows.join(per, "h").join(named.select("node", "bands", "sketch"), "node")
+    at = F.xxhash64("node")
+    opened = opened.withColumns({"na": F.ceil(F.col("k") / BLOCK_NODES).cast("int"), "nb": F.ceil(F.col("n") / BLOCK_NODES).cast("int")})
+    mine, theirs = F.pmod(at, F.col("na")).cast("int"), F.pmod(at, F.col("nb")).cast("int")
+    across = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asking = F.when(F.col("comp") != F.col("main"), F.transform(across("nb"), lambda b: F.struct(mine.alias("a"), b.alias("b"), F.lit(True).alias("asks")))).otherwise(F.array())
+    asked = F.transform(across("na"), lambda a: F.struct(a.alias("a"), theirs.alias("b"), F.lit(False).alias("asks")))
+    laid = opened.select("h", F.explode(F.concat(asking, asked)).alias("x"), "node", "comp", "bands", "sketch").select("h", "x.a", "x.b", "x.asks", "node", "comp", "bands", "sketch")
+    laid = laid.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
+    return laid.mapInArrow(_alike(SKETCH_SHARE), "u bigint, v bigint").distinct()
+
+
+def _confirm_blocks(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns block, pair, u, v, text: a block's nodes u with their components v and
+        texts, then its pairs. Pairs that others of the block have linked are passed by."""
+        block, sets, root = None, {}, {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            key, pair, u, v = (batch.column(i).to_pylist() for i in range(4))
+            data, offsets = text_bytes(batch.column(4))
+            out: tuple[list, list] = ([], [])
+            for a, b in blocks(offsets):
+                own = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if offsets[b] > offsets[a] else []
+                for i in range(a, b):
+                    if key[i] != block:
+                        block, sets, root = key[i], {}, {}
+                    if not pair[i]:
+                        sets[u[i]] = (own[i - a], v[i])
+                        root.setdefault(v[i], v[i])
+                        continue
+                    (s, c), (t, d) = sets[u[i]], sets[v[i]]
+                    c, d = find(c), find(d)
+                    if c != d and similar(s, t, percent):
+                        root[c] = d
+                        out[0].append(u[i])
+                        out[1].append(v[i])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["u", "v"])
 
+    return run
 
-def _candidates(opened: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """u, v, more: a table's asking nodes in blocks against all its nodes in blocks."""
-    h = F.xxhash64("node")
-    rows = opened.join(sketches, "node").withColumns({"na": F.ceil(F.col("k") / BLOCK_NODES).cast("int"), "nb": F.ceil(F.col("n") / BLOCK_NODES).cast("int")})
-    across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = rows.where("asks").select("key", F.pmod(h, F.col("na")).cast("int").alias("a"), across("nb").alias("b"), F.lit(True).alias("asks"), "node", "comp", "sketch")
-    base = rows.select("key", across("na").alias("a"), F.pmod(h, F.col("nb")).cast("int").alias("b"), F.lit(False).alias("asks"), "node", "comp", "sketch")
-    laid = ask.union(base).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return laid.mapInArrow(_alike(most, SKETCH_SHARE), "u bigint, v bigint, more boolean")
+
+def _links(asks: list[int], base: list[int], comp: list, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of places that join the components which similar pairs join, at most one less
+    than there are components. Intersections come from products of 0/1 matrices over
+    the shingles that at least two sets have."""
+    root = {c: c for c in comp}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+
+    def link(i: int, j: int) -> None:
+        x, y = find(comp[i]), find(comp[j])
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+
+    if len(asks) * len(base) <= 64:
+        for i in asks:
+            for j in base:
+                if find(comp[i]) != find(comp[j]) and similar(sets[i], sets[j], percent):
+                    link(i, j)
+        return out
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(first) - 1
+    common = np.bincount(column)[column] > 1
+    column, owner = np.unique(column[common], return_inverse=True)[1], owner[common]
+    width = int(column[-1]) + 1 if len(column) else 0
+    shared = np.zeros((len(asks), len(base)), np.float32)
+    for low in range(0, width, MATRIX_COLUMNS):
+        high = min(width, low + MATRIX_COLUMNS)
+        lo, hi = np.searchsorted(column, [low, high])
+        x = np.zeros((len(sets), high - low), np.float32)
+        x[owner[lo:hi], column[lo:hi] - low] = 1.0
+        shared += x[asks] @ x[base].T
+    union = sizes[asks][:, None] + sizes[base][None, :] - shared
+    for i, j in np.argwhere(100 * shared.astype(np.int64) >= percent * union.astype(np.int64)):
+        link(asks[i], base[j])
+    return out
+
+
+def _family_blocks(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns family, a, b, node, comp, asks, base, text."""
+        name, held = None, ([], [], [], [], [])
+
+        def flush() -> pa.RecordBatch:
+            nodes, comps, asks, base, sets = held
+            found = _links([i for i, x in enumerate(asks) if x], [i for i, x in enumerate(base) if x], comps, sets, percent)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            data, offsets = text_bytes(batch.column(7))
+            for low, high in blocks(offsets):
+                own = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                for i in range(low, high):
+                    at = (columns[0][i], columns[1][i], columns[2][i])
+                    if at != name:
+                        if held[0]:
+                            yield flush()
+                        name, held = at, ([], [], [], [], [])
+                    for k in range(4):
+                        held[k].append(columns[3 + k][i])
+                    held[4].append(own[i - low])
+        if held[0]:
+            yield flush()
+
+    return run
 
 
-#: Tables in which a node asks, and partners it gets of each component, by round;
-#: the last holds for all further rounds, with ever more partners.
-ROUNDS = ((2, 4), (16, 16), (M * M, 64))
+def within_families(families: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links that join the components within each family (node, component): of a family
+    with several, the nodes outside the largest are compared with all the family's, on
+    full sets, in blocks against blocks."""
+    named = nodes.select("node").join(families.withColumnRenamed("component", "family"), "node", "left").join(comps, "node", "left")
+    named = named.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("component", "node").alias("comp"))
+    parts = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = parts.groupBy("family").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "comp")).alias("main")).where("c > 1")
+    per = per.select("family", F.ceil((F.col("n") - F.col("main.n")) / CONFIRMED_ROWS).cast("int").alias("na"), F.ceil(F.col("n") / CONFIRMED_ROWS).cast("int").alias("nb"), F.col("main.comp").alias("main"))
+    rows = named.join(per, "family")
+    at = F.xxhash64("node")
+    mine, theirs = F.pmod(at, F.col("na")).cast("int"), F.pmod(at, F.col("nb")).cast("int")
+    across = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    asking = F.when(F.col("comp") != F.col("main"), F.transform(across("nb"), lambda b: place(mine, b))).otherwise(F.array())
+    asked = F.transform(across("na"), lambda a: place(a, theirs))
+    rows = rows.select("family", "node", "comp", asking.alias("x"), asked.alias("y"))
+    rows = rows.select("family", "node", "comp", F.explode(F.array_union("x", "y")).alias("p"), "x", "y")
+    placed = rows.select("family", "p.a", "p.b", "node", "comp", F.array_contains("x", F.col("p")).alias("asks"), F.array_contains("y", F.col("p")).alias("base"))
+    laid = placed.join(texts, "node").select("family", "a", "b", "node", "comp", "asks", "base", "text").repartition("family", "a", "b")
+    return laid.sortWithinPartitions("family", "a", "b", "node").mapInArrow(_family_blocks(percent), "u bigint, v bigint")
+
+
+def confirm_in_blocks(pairs: DataFrame, comps: DataFrame, families: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links that join the components that confirmed pairs join. A block has the pairs
+    between two chunks of families (node, component), so that a text goes to few blocks
+    however many pairs it is in."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    named = ends.join(families, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
+    size = named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CONFIRMED_ROWS).alias("chunks"))
+    homes = named.join(size, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("home"))
+    homes = homes.join(comps, "node", "left").select("node", "home", F.coalesce("component", "node").alias("comp"))
+    x = homes.select(F.col("node").alias("u"), F.col("home").alias("hu"), F.col("comp").alias("cu"))
+    y = homes.select(F.col("node").alias("v"), F.col("home").alias("hv"), F.col("comp").alias("cv"))
+    block = F.xxhash64(F.least("hu", "hv"), F.greatest("hu", "hv"))
+    placed = written(pairs.join(x, "u").join(y, "v").select(block.alias("block"), "u", "v", "cu", "cv"), "placed")
+    asked = placed.select("block", F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("cu").alias("v")), F.struct(F.col("v").alias("u"), F.col("cv").alias("v")))).alias("e")).select("block", "e.u", "e.v").distinct()
+    nodes = asked.join(texts.withColumnRenamed("node", "u"), "u").select("block", F.lit(False).alias("pair"), "u", "v", "text")
+    rows = nodes.union(placed.select("block", F.lit(True), "u", "v", F.lit(None).cast("string")))
+    return rows.repartition("block").sortWithinPartitions("block", "pair", "u", "v").mapInArrow(_confirm_blocks(percent), "u bigint, v bigint")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -309,39 +466,29 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     signed = written(sign(docs), "signed")
     known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    least = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    sets = written(least, "sets")
-    nodes = known.select(F.col("doc_id").alias("node"), "set_key", "bands", "sketch").join(sets, ["node", "set_key"]).dropDuplicates(["node"])
+    sets = written(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
+    nodes = known.select(F.col("doc_id").alias("node"), "set_key", "bands", "sketch").join(sets, ["node", "set_key"])
     nodes = written(nodes.select("node", "bands", "sketch"), "nodes")
     entries = written(tables(nodes), "tables")
 
     leads = entries.groupBy("key").agg(F.min("node").alias("v"))
     first = entries.join(leads, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
-    sketches = nodes.select("node", "sketch")
-    met = entries.select("node").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(met, "node").dropDuplicates(["node"]), "texts")
+    met = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "met")
+    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").hint("merge"), "node").dropDuplicates(["node"]), "texts")
+    forget(spark, nodes)
 
-    tried = written(_alike_enough(first, sketches), "tried")
+    tried = written(_alike_enough(first, met.select("node", "sketch")), "tried")
+    forget(spark, entries)
+    families = components(tried)
     links = written(confirm(tried, texts, percent), "links")
+    links = links.union(written(within_families(families, components(links), met, texts, percent), "links"))
     comps = components(links)
-    r = 0
-    while True:
-        tables_each, most = ROUNDS[min(r, len(ROUNDS) - 1)]
-        most *= 4 ** max(0, r - len(ROUNDS) + 1)
-        opened = written(_open_entries(entries, comps, tables_each), "open")
-        found = written(_candidates(opened, sketches, most), "found")
-        new = written(found.where("not more").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "new")
-        fresh = new.count()
-        if fresh:
-            tried = tried.union(new)
-            links = links.union(written(confirm(new, texts, percent), "links"))
-            comps = components(links)
-        ended = opened.isEmpty() or (not fresh and r >= len(ROUNDS) - 1 and found.where("more").isEmpty())
-        forget(spark, opened, found)
-        if ended:
-            break
-        r += 1
+    across = written(alike_across(met, families), "across")
+    if not across.isEmpty():
+        links = links.union(written(confirm_in_blocks(across, comps, families, texts, percent), "links"))
+        comps = components(links)
+    forget(spark, met, texts, tried, across)
 
     named = sets.join(comps, "node", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("component"))
     out = signed.join(named, F.col("set_key") == F.col("k"), "left")
