@@ -33,62 +33,64 @@ def _head(role: Column, speaker: Column) -> Column:
 END = "<|end|>\n"
 
 
+#: Stands for a conversation without a number.
+NO_CONV = -(1 << 63)
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """Rows conv_id, participant, seq, turn, speaker, role, rendered, loss (0 or 1),
     start, length, loss_start and loss_length, in characters of the rendering.
 
     turns: conv_id, turn, role and text. role names the speaker. A null or empty
     role is the speaker "unknown"; null text counts as empty; a null turn comes
-    before all others. Turns with one number are ordered by speaker and text.
-    Rows equal in all four are merged to one with a count, and rendered that often
-    within one row. A conversation in which only the system speaks has no
-    participant and no rendering. Other columns don't matter.
+    before all others; turns without a conv_id are one conversation. Turns with one
+    number are ordered by speaker and text, and repeated rows are rendered as often
+    as they come. A conversation in which only the system speaks has no participant
+    and no rendering. Other columns don't matter.
+
+    A block's texts are shuffled once; what differs between perspectives comes from
+    small tables of the blocks' sums.
     """
     speaker = F.when(F.coalesce(F.trim("role"), F.lit("")) == "", F.lit("unknown")).otherwise(F.trim("role"))
-    rows = turns.select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))))
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62)))
+    rows = turns.select(F.coalesce("conv_id", F.lit(NO_CONV)).alias("conv"), block.alias("block"), "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
 
-    # What doesn't depend on the perspective: lengths are those of a named user,
-    # and less where the speaker is the assistant.
+    # a turn's length, and how much shorter it is where its speaker is the assistant
     system = F.col("speaker") == SYSTEM
-    as_user = F.length(F.when(system, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n"))))
-    body = F.length("text") + len(END)
-    rows = rows.withColumns({"user_len": F.col("times") * (as_user + body)})
-
-    participants = rows.where(~system).select("conv_id", F.col("speaker").alias("participant")).distinct()
-    seen = participants.join(rows, "conv_id")
+    user_head = F.length(F.when(system, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n"))))
+    length = (user_head + F.length("text") + len(END)).cast("bigint")
+    less = (user_head - len("<|assistant|>\n")).cast("bigint")
+
+    per = rows.groupBy("conv", "block", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("l"), F.sum(less).alias("d"))
+    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    sums = per.groupBy("conv", "block").agg(F.sum("n").alias("n"), F.sum("l").alias("l"))
+    sums = sums.select("conv", "block", F.coalesce(F.sum("n").over(earlier), zero).alias("i0"), F.coalesce(F.sum("l").over(earlier), zero).alias("l0"))
+    participants = per.where(~system).select("conv", F.col("speaker").alias("participant")).distinct()
+    own = per.select("conv", "block", F.col("speaker").alias("participant"), "d")
+    placed = sums.join(participants, "conv").join(own, ["conv", "block", "participant"], "left")
+    mine_before = Window.partitionBy("conv", "participant").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.select("conv", "block", "participant", "i0", (F.col("l0") - F.coalesce(F.sum("d").over(mine_before), zero)).alias("at0"))
+
+    seen = rows.repartition("conv", "block").join(offsets, ["conv", "block"])
     mine = F.col("speaker") == F.col("participant")
-    own_len = F.col("times") * (len("<|assistant|>\n") + body)
-    seen = seen.withColumn("len", F.when(mine, own_len).otherwise(F.col("user_len")).cast("bigint"))
-
-    key = ("conv_id", "participant")
-    order = (F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text"))
-    inside = Window.partitionBy(*key, "block").orderBy(*order)
+    inside = Window.partitionBy("conv", "block", "participant").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumns({"i": F.row_number().over(inside) - 1, "at": F.coalesce(F.sum("len").over(before), F.lit(0))})
-
-    sums = seen.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("l"))
-    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*key, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("i0"), F.coalesce(F.sum("l").over(earlier), F.lit(0)).alias("at0"))
-    joined = seen.join(offsets.withColumnsRenamed({"conv_id": "c", "participant": "p", "block": "b"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("participant") == F.col("p")) & (F.col("block") == F.col("b")))
-
+    seen = seen.withColumn("length", length - F.when(mine, less).otherwise(zero))
     role = F.when(mine, F.lit("assistant")).when(system, F.lit(SYSTEM)).otherwise(F.lit("user"))
-    out = joined.select(
-        "conv_id",
+    out = seen.select(
+        F.when(F.col("conv") != NO_CONV, F.col("conv")).alias("conv_id"),
         "participant",
-        (F.col("i0") + F.col("i")).alias("seq"),
+        (F.col("i0") + F.row_number().over(inside) - 1).alias("seq"),
         "turn",
         "speaker",
         role.alias("role"),
         "text",
-        "times",
         mine.cast("int").alias("loss"),
-        (F.col("at0") + F.col("at")).alias("start"),
-        F.col("len").alias("length"),
+        (F.col("at0") + F.coalesce(F.sum("length").over(before), zero)).alias("start"),
+        "length",
     )
     head = _head(F.col("role"), F.col("speaker"))
-    once = F.concat(head, "text", F.lit(END))
     return out.select(
         "conv_id",
         "participant",
@@ -96,7 +98,7 @@ def rotate(turns: DataFrame) -> DataFrame:
         "turn",
         "speaker",
         "role",
-        F.repeat(once, F.col("times")).alias("rendered"),
+        F.concat(head, "text", F.lit(END)).alias("rendered"),
         "loss",
         "start",
         "length",

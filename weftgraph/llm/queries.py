@@ -168,17 +168,17 @@ from r
 
 _OP6_SQL = """
 with t as (
-  select conv_id, turn, case when coalesce(trim(role), '') = '' then 'unknown' else trim(role) end as speaker, coalesce(text, '') as text, count(*) as times
-  from conversations group by 1, 2, 3, 4),
+  select conv_id, turn, case when coalesce(trim(role), '') = '' then 'unknown' else trim(role) end as speaker, coalesce(text, '') as text
+  from conversations),
 p as (select distinct conv_id, speaker as participant from t where speaker <> 'system'),
 x as (
-  select conv_id, participant, turn, speaker, text, times, speaker = participant as mine,
+  select conv_id, participant, turn, speaker, text, speaker = participant as mine,
     case when speaker = participant then 'assistant' when speaker = 'system' then 'system' else 'user' end as role
   from p join t using (conv_id)),
 h as (
   select *, case role when 'assistant' then '<|assistant|>' || chr(10) when 'system' then '<|system|>' || chr(10)
     else '<|user name=' || speaker || '|>' || chr(10) end as head from x),
-r as (select *, repeat(head || text || '<|end|>' || chr(10), times) as rendered from h),
+r as (select *, head || text || '<|end|>' || chr(10) as rendered from h),
 o as (
   select *, row_number() over w - 1 as seq, coalesce(sum(length(rendered)) over (w rows between unbounded preceding and 1 preceding), 0) as start
   from r window w as (partition by conv_id, participant order by turn nulls first, speaker, text))
