@@ -1,0 +1,119 @@
+import subprocess
+
+from pyspark.sql import functions as F
+from weftgraph.api import Engine
+from weftgraph.graph import Graph
+from weftgraph.sources import files, gitlog, infra, python_code
+from weftgraph.streaming import traces, upserts
+
+from .graphs import architecture, standard
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("src/a.py", "src/gen/b.py", "node_modules/c.js", "keep/x.py", "keep/y.py", "d.min.js", "e.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = files.discover(spark, str(tmp_path), ["gen/", "keep/*", "!keep/y.py", "# note"])
+    assert {(r.file_path, r.text) for r in found.collect()} == {("src/a.py", "src/a.py"), ("keep/y.py", "keep/y.py")}
+    assert files.file_states(found).select("sha256").distinct().count() == 2
+
+
+def test_git(spark, tmp_path):
+    (tmp_path / "log.txt").write_text("commit:aa11 100\n\na.py\nb/c.py\n\ncommit:bb22 200\n\na.py\n")
+    assert {tuple(r) for r in gitlog.commits(spark, str(tmp_path / "log.txt")).collect()} == {("aa11", 100, "a.py"), ("aa11", 100, "b/c.py"), ("bb22", 200, "a.py")}
+    lines = spark.createDataFrame([("M\ta.py",), ("R100\told.py\tnew.py",), ("?? x",)], "value string")
+    assert {tuple(r) for r in gitlog.name_status(lines).collect()} == {("M", "a.py", None), ("R", "new.py", "old.py")}
+    diff = spark.createDataFrame([("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3 @@ f\n-a\n@@ -9 +9,4 @@",)], "value string")
+    assert {tuple(r) for r in gitlog.hunks(diff).collect()} == {("x", 1, 2, 3, 1), ("x", 9, 1, 9, 4)}
+
+
+def test_infrastructure(spark):
+    df = lambda name, text: spark.createDataFrame([(name, text)], "file_path string, text string")
+    docker = infra.dockerfile(df("Dockerfile", "FROM a:1\nRUN x && \\\n  y\n# no\nENV K=V")).collect()
+    assert [(r.instruction, " ".join(r.value.split())) for r in docker] == [("FROM", "a:1"), ("RUN", "x && y"), ("ENV", "K=V")]
+    env = infra.assignments(df(".env", "A=1\nexport B='x y'\nAPI_TOKEN=zzz\nURL=\"http://h:80/p\"\nnot a line"))
+    assert {(r.key, r.value) for r in env.collect()} == {("A", "1"), ("B", "x y"), ("URL", "http://h:80/p")}
+    assert [r.key for r in infra.env_urls(env).collect()] == ["URL"]
+    assert {(r.block, r.kind, r["name"]) for r in infra.terraform(df("m.tf", 'resource "aws_x" "main" {\nvariable "v" {}')).collect()} == {("resource", "aws_x", "main"), ("variable", None, "v")}
+    k8s = infra.kubernetes(df("k.yaml", "kind: Service\nmetadata:\n  labels: a\n  name: web\n---\nkind: Job\nmetadata:\n  name: 'once'\n"))
+    assert {(r.kind, r["name"]) for r in k8s.collect()} == {("Service", "web"), ("Job", "once")}
+    deps = infra.dependencies(df("a/package.json", '{"dependencies": {"x": "^1"}, "devDependencies": {"y": "2"}}').union(df("requirements.txt", "numpy>=1.2\nflask\n# c")).union(df("go.mod", "require example.com/m v1.0.0")))
+    assert {(r["name"], r.version) for r in deps.collect()} >= {("x", "^1"), ("y", "2"), ("numpy", "1.2"), ("example.com/m", "v1.0.0")}
+    assert infra.compile_commands(df("c.json", '[{"directory": "/d", "file": "a.c", "command": "cc -Iinc -DX=1 a.c"}]')).first().includes == ["inc"]
+    assert infra.path_aliases(df("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}')).first().target == "src/*"
+
+
+def test_python_front_end_to_graph(spark):
+    code = spark.createDataFrame(
+        [("app/core.py", "import os\nfrom app.util import helper\n\nclass A(Base):\n    @deco\n    def run(self):\n        helper(1)\n        local()\n        os.getenv('HOME')\n\ndef local():\n    raise ValueError('x')\n"), ("app/util.py", "def helper(x):\n    return x\n"), ("bad.py", "def ("), ("x.txt", "no")],
+        "file_path string, text string",
+    )
+    found = python_code.extract(code).cache()
+    defs = python_code.definitions(found)
+    assert {(r.qualified_name, r.label, r.module) for r in defs.collect()} == {("app.core.A", "Class", "app.core"), ("app.core.A.run", "Method", "app.core"), ("app.core.local", "Function", "app.core"), ("app.util.helper", "Function", "app.util")}
+    from weftgraph.operators.derive import resolve_calls
+
+    got = resolve_calls(python_code.calls(found), defs, python_code.imports(found)).join(python_code.calls(found), "call_id")
+    assert {(r.callee, r.target, r.strategy) for r in got.collect()} == {("helper", "app.util.helper", "import_map"), ("local", "app.core.local", "same_module")}
+    assert {(r.kind, r.name) for r in found.where("kind in ('env', 'raise', 'base', 'decorator')").collect()} == {("env", "HOME"), ("raise", "ValueError"), ("base", "Base"), ("decorator", "deco")}
+
+
+def test_streamed_upserts(spark, tmp_path):
+    g = standard(spark)
+    source = str(tmp_path / "in")
+    g.nodes.coalesce(1).write.parquet(source)
+    table = upserts.node_table(spark, str(tmp_path / "table"))
+    assert table.version() == -1 and table.read().count() == 0
+    stream = lambda: upserts.stream_nodes(spark.readStream.schema(g.nodes.schema).parquet(source), table, str(tmp_path / "cp")).awaitTermination()
+    stream()
+    assert (table.version(), table.read().count()) == (0, 5)
+    g.nodes.where("id = 1").withColumn("name", F.lit("Changed")).coalesce(1).write.mode("append").parquet(source)
+    stream()
+    assert table.version() == 1 and {r.name for r in table.read().collect()} == {"Changed", "ValidateOrder", "SubmitOrder", "main", "LogError"}
+
+
+def test_reread_files(spark):
+    g = standard(spark)
+    changed = spark.createDataFrame([("validate.go",)], "file_path string")
+    nodes, edges = upserts.replace_files(g.nodes, g.edges, changed, g.nodes.where("id = 2").withColumn("end_line", F.lit(99)), g.edges.where("false"))
+    assert nodes.count() == 5 and nodes.where("id = 2").first().end_line == 99
+    assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (1, 5), (4, 1)}
+    assert [upserts.poll_interval_ms(n) for n in (0, 499, 500, 10**6)] == [5000, 5000, 6000, 60000]
+
+
+def test_spans(spark, tmp_path):
+    attrs = {"http.method": "GET", "http.route": "/api/orders", "http.status_code": "200", "service.name": "s"}
+    df = spark.createDataFrame([("a", 1, "1000000000", "1050000000", attrs), ("b", 1, "61000000000", "60000000000", {"url.full": "http://h/x?y"}), ("c", 1, "bad", "1", {})], traces.SPAN_SCHEMA)
+    got = traces.details(df).orderBy("ts").collect()
+    assert (got[1].method, got[1].path, got[1].duration_ns, got[1].service) == ("GET", "/api/orders", 50_000_000, "s")
+    assert (got[2].path, got[2].duration_ns) == ("/x", 0) and got[0].ts is None
+    df.write.parquet(str(tmp_path / "spans"))
+    stream = traces.windows(traces.details(spark.readStream.schema(df.schema).parquet(str(tmp_path / "spans"))).where("ts is not null"))
+    q = stream.writeStream.format("memory").queryName("spans_out").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.path, r.spans) for r in spark.table("spans_out").collect()} == {("/api/orders", 1), ("/x", 1)}
+    assert traces.sessions(traces.details(df).where("ts is not null")).count() == 2
+
+
+def test_engine(spark, tmp_path):
+    e = Engine(architecture(spark), spark.createDataFrame([("internal/service/service.go", "x\nretry y\n")], "file_path string, text string"))
+    assert e.query_graph("MATCH (f:Function) RETURN COUNT(*) AS n").first().n == 6
+    assert e.as_text(e.query_graph("MATCH (f:Function) RETURN COUNT(*) AS n")).first().n == "6"
+    assert "ProcessOrder" in {r.name for r in e.search_graph("process order")["results"].collect()}
+    assert {r.name for r in e.search_graph(label="Route", connected=True)["results"].collect()} == {"/api/orders"}
+    assert e.search_code("retry")["results"].count() == 1
+    assert {r.name for r in e.trace_path("ProcessOrder")["callers"].collect()} == {"main", "HandleRequest", "TestHandleRequest"}
+    assert set(e.get_graph_schema()) == {"labels", "types", "node_keys", "edge_keys", "patterns"}
+    assert set(e.get_architecture("layers", "clusters")) == {"layers", "clusters"}
+    assert e.detect_changes(spark.createDataFrame([("cmd/server/main.go",)], "file_path string"), 2)["symbols"].count() == 1
+    assert e.index_status().first().edges == 5 and e.delete_project("test").nodes.count() == 0
+    e.save(str(tmp_path / "g"))
+    assert Engine.load(spark, str(tmp_path / "g")).nodes.count() == e.nodes.count()
+    e.register_functions()
+    assert spark.sql("SELECT iregexp('AB', 'xaby') AND regexp_found('a.', 'xab'), camel_split('aB'), round(cosine_similarity(array(1f, 0f), array(1f, 1f)), 3)").first()[:] == (True, "aB a B", 0.707)
+    assert isinstance(e.graph, Graph) and e.manage_adr("", {"STACK": "s"}) == "## STACK\ns"
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    code = "import sys; sys.modules['weftgraph.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run(["python", "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])

@@ -50,6 +50,16 @@ def kubernetes(files: DataFrame) -> DataFrame:
     return rows.where("kind <> '' and name <> ''")
 
 
+#: What names a package and its version on a line of a manifest. Fixed values.
+MANIFESTS = {
+    "requirements.txt": r"^([A-Za-z0-9_.\-]+)(?:\[[^\]]*\])?\s*(?:[=<>!~]=?=?\s*([^\s;#]+))?",
+    "go.mod": r"^(?:require\s+)?([a-z0-9.\-]+\.[a-z]+/\S+)\s+(v\S+)",
+    "Gemfile": r"^gem\s+[\"']([^\"']+)[\"'](?:,\s*[\"']([^\"']+)[\"'])?",
+    "Cargo.toml": r"^([A-Za-z0-9_\-]+)\s*=\s*[\"{].*?([0-9][0-9A-Za-z.\-]*)",
+    "pyproject.toml": r"^[\"']([A-Za-z0-9_.\-]+)(?:\[[^\]]*\])?\s*(?:[=<>!~]=?\s*([^\"',;]+))?",
+}
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """file_path, name, version of package manifests, by the file's name."""
     name = F.substring_index("file_path", "/", -1)
@@ -57,16 +67,9 @@ def dependencies(files: DataFrame) -> DataFrame:
     package_json = files.where(name == "package.json")
     for section in ("dependencies", "devDependencies"):
         rows.append(package_json.select("file_path", F.explode(F.from_json(F.get_json_object("text", f"$.{section}"), "map<string,string>")).alias("name", "version")))
-    lines = _lines(files.where(name.isin("requirements.txt", "go.mod", "Cargo.toml", "pyproject.toml", "Gemfile")))
-    base = F.substring_index("file_path", "/", -1)
-    pattern = (
-        F.when(base == "requirements.txt", F.lit(r"^([A-Za-z0-9_.\-]+)(?:\[[^\]]*\])?\s*(?:[=<>!~]=?=?\s*([^\s;#]+))?"))
-        .when(base == "go.mod", F.lit(r"^(?:require\s+)?([a-z0-9.\-]+\.[a-z]+/\S+)\s+(v\S+)"))
-        .when(base == "Gemfile", F.lit(r"^gem\s+[\"']([^\"']+)[\"'](?:,\s*[\"']([^\"']+)[\"'])?"))
-        .otherwise(F.lit(r"^[\"']?([A-Za-z0-9_\-]+)[\"']?\s*=\s*[\"{].*?([0-9][0-9A-Za-z.\-]*)"))
-    )
-    part = lambda i: F.regexp_extract("line", pattern, i)
-    rows.append(lines.select("file_path", part(1).alias("name"), part(2).alias("version")).where("name <> ''"))
+    for manifest, pattern in MANIFESTS.items():
+        lines = _lines(files.where(name == manifest))
+        rows.append(lines.select("file_path", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("version")).where("name <> ''"))
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
