@@ -137,10 +137,10 @@ def _(spark, sf_dir):
     return store.degrees(_graph(spark, sf_dir).scan_edges())
 
 
-@_operator("search_structured", f"with {_GRAPH} select id, name from nodes where label = 'Part' and regexp_matches(name, '(?i)PART.*5$') and id in (select src from edges where type = 'SUPPLIED_BY' union select dst from edges where type = 'SUPPLIED_BY')")
+@_operator("search_structured", f"with {_GRAPH} select id, name from nodes where label = 'Part' and regexp_matches(name, '(?i)RED.*T$') and id in (select src from edges where type = 'SUPPLIED_BY' union select dst from edges where type = 'SUPPLIED_BY')")
 def _(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return store.structured_search(g.scan(), g.scan_edges(), label="Part", name_pattern="PART.*5$", relationship="SUPPLIED_BY").select("id", "name")
+    return store.structured_search(g.scan(), g.scan_edges(), label="Part", name_pattern="RED.*T$", relationship="SUPPLIED_BY").select("id", "name")
 
 
 @_operator("search_by_degree", f"with {_GRAPH}, d as (select id, count(*) as n from (select src as id from edges where type = 'LOCATED_IN' union all select dst from edges where type = 'LOCATED_IN') group by id) select nodes.id, name, n as in_degree from nodes join d using (id) where label = 'Nation' and n >= 5")
@@ -208,10 +208,11 @@ def _(spark, sf_dir):
     return traverse.impact_summary(traverse.first_hops(traverse.bfs(g.scan("Region").select("id"), edges, direction="in")), edges)
 
 
-@_operator("dead_nodes", f"with {_GRAPH} select id, name from nodes where label = 'Part' and id not in (select dst from edges where type = 'CONTAINS')")
+@_operator("dead_nodes", f"with {_GRAPH} select id, name from nodes where label = 'Part' and id not in (select dst from edges join orders on src = {O} + o_orderkey where type = 'CONTAINS' and o_orderpriority = '1-URGENT')")
 def _(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return traverse.dead_code(g.scan(), g.scan_edges(), "Part", ("CONTAINS",)).select("id", "name")
+    urgent = g.scan("Order").where("priority = '1-URGENT'").select(F.col("id").alias("src"))
+    return traverse.dead_code(g.scan(), g.scan_edges(["CONTAINS"]).join(urgent, "src", "left_semi"), "Part", ("CONTAINS",)).select("id", "name")
 
 
 @_operator("call_depth", f"with {_GRAPH} select depth, count(*) as n from (select 0 as depth, id from nodes where label in ('Customer', 'Supplier') union all select 1, {N} + n_nationkey from nation where n_nationkey in (select c_nationkey from customer union select s_nationkey from supplier) union all select case when n_nationkey in (select c_nationkey from customer union select s_nationkey from supplier) then null else 0 end, {N} + n_nationkey from nation union all select 2 - max(case when n_nationkey in (select c_nationkey from customer union select s_nationkey from supplier) then 0 else 1 end), {R} + n_regionkey from nation group by n_regionkey) where depth is not null group by depth")
