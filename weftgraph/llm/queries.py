@@ -89,8 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _OP1_SQL = """
 with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
-w as (select doc_id, unnest(range(0, (length(h) // 2) - 49)) as i, h from d where length(h) >= 100),
-g as (select doc_id, i, min(doc_id) over (partition by substr(h, 2 * i + 1, 100)) as m from w),
+w as (select doc_id, h, unnest(range(0, (length(h) // 2) - 49)) as i from d where length(h) >= 100),
+x as materialized (select doc_id, i, hash(substr(h, 2 * i + 1, 100)) as k from w),
+y as (select doc_id, i from x where k in (select k from x group by k having count(distinct doc_id) > 1)),
+z as (select y.doc_id, i, substr(h, 2 * i + 1, 100) as p from y join d using (doc_id)),
+g as (select doc_id, i, min(doc_id) over (partition by p) as m from z),
 f as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 50, -1) as fresh from g where m < doc_id),
 s as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as k from f),
 spans as (select doc_id, k, min(i) as a, max(i) + 50 as b from s group by doc_id, k),
