@@ -346,3 +346,29 @@ def test_records():
         records.update_sections(t, {"x": "y"})
     with pytest.raises(ValueError, match="longer"):
         records.update_sections(t, {"STACK": "x" * 9000})
+
+
+def test_many_patterns(spark):
+    from weftgraph.operators import multi_match
+
+    df = spark.createDataFrame([(1, "abcab"), (2, None), (3, "x.y")], "id bigint, text string")
+    assert {tuple(r) for r in multi_match.match_patterns(df, ["ab", "bca", "", "x.y"]).collect()} == {(1, "ab", 0), (1, "ab", 3), (1, "bca", 1), (3, "x.y", 0)}
+    assert [r.id for r in multi_match.contains_any(df, ["x.y", "zz\\E"]).collect()] == [3]
+    assert multi_match.match_patterns(df, []).count() == multi_match.contains_any(df, []).count() == 0
+
+
+def test_semantic_signals(spark):
+    from weftgraph.operators import semantic
+
+    fields = spark.createDataFrame([(1, "name", "parse"), (1, "callee", "read"), (2, "name", "parse"), (2, "callee", "read"), (3, "name", "draw"), (3, "decorator", "route")], "id bigint, field string, token string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+    got = {r.b: r for r in semantic.token_signals(pairs, fields).collect()}
+    assert got[2].tfidf == pytest.approx(1.0) and got[3].tfidf == 0 and got[3].decorator == 0
+    code = spark.createDataFrame([(1, "def f(x):\n    return x + 1"), (2, "def g(y):\n    return y + 2"), (3, "def ("), (4, "for i in x:\n    if i:\n        print(i)")], "id bigint, text string")
+    found = semantic.profiles(code)
+    assert found.where(F.size("profile") == 25).count() == 4
+    near = {r.b: r.profile for r in semantic.vector_signal(spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a bigint, b bigint"), found, "profile", "profile").collect()}
+    assert near[2] == pytest.approx(1.0) and near[3] == 0 and 0 < near[4] < 1
+    tokens = spark.createDataFrame([("parse", [1.0, 0.0]), ("draw", [0.0, 1.0])], "token string, vector array<double>")
+    idf = spark.createDataFrame([("parse", 2.0), ("draw", 1.0)], "token string, idf double")
+    assert {r.id: r.vector for r in semantic.document_vectors(fields, tokens, idf).collect()} == {1: [6.0, 0.0], 2: [6.0, 0.0], 3: [0.0, 3.0]}
