@@ -43,7 +43,7 @@ SHARED = PASSAGE - GRAM + 1
 SEGMENT = SHARED + PASSAGE - 1
 
 #: Bytes of text for each bucket of anchors, and for each of segments.
-ANCHOR_BUCKET, SEGMENT_BUCKET = 12 << 20, 5 << 20
+ANCHOR_BUCKET, SEGMENT_BUCKET = 12 << 20, 3 << 20
 
 #: Documents of a group to which the removals of its documents come back.
 GROUP_DOCS = 256
@@ -230,6 +230,27 @@ def _distinct(matrix: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, back
 
 
+def _order(words: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by words, the first of which counts most. From the last bits to
+    the first, stably, as many at a time as fit beside a row's place in one word: such
+    words are sorted faster than places by keys."""
+    n = len(words[0])
+    low = max(1, n.bit_length())
+    high, mask = 64 - low, U64((1 << low) - 1)
+    order = np.arange(n)
+    end = 64 * len(words)
+    while end > 0:
+        begin = max(0, end - high)
+        k, r = divmod(begin, 64)
+        part = words[k] << U64(r)
+        if r and k + 1 < len(words):
+            part = part | (words[k + 1] >> U64(64 - r))
+        part = (part >> U64(64 - (end - begin))) << U64(low)
+        order = order[(np.sort(part[order] | np.arange(n, dtype=U64)) & mask).astype(np.int64)]
+        end = begin
+    return order
+
+
 def suffix_order(text: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Suffixes of the segments in the order of their first PASSAGE bytes, by two-stage
     sorting. text: rows of STRIDE bytes, those of a segment plus 1, then zeros. Wanted
@@ -238,26 +259,24 @@ def suffix_order(text: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> n
     rows = len(text)
     flat = text.ravel()
     # smaller than its successor: decided by the next byte that differs
-    here, after = text[:, :-1], text[:, 1:]
-    step = np.where(here < after, 1, np.where(here > after, -1, 0)).astype(np.int8)
     width = SEGMENT + 1
-    kind = np.zeros((rows, width), np.int8)
-    kind[:, width - 1] = step[:, width - 1]
-    for j in range(width - 2, -1, -1):
-        kind[:, j] = np.where(step[:, j] != 0, step[:, j], kind[:, j + 1])
+    across = np.ascontiguousarray(text[:, : width + 1].T)
+    kind = np.zeros((width + 1, rows), bool)
+    for j in range(width - 1, -1, -1):
+        kind[j] = (across[j] < across[j + 1]) | ((across[j] == across[j + 1]) & kind[j + 1])
     rises = np.ones((rows, STRIDE), bool)
-    rises[:, :width] = kind > 0
+    rises[:, :width] = kind[:width].T
     columns = np.arange(STRIDE)
     rises[columns >= lengths[:, None]] = True  # the end counts as one that is sorted directly
     # up to the first rising suffix at or behind the last wanted one
-    behind = np.where(rises & (columns >= counts[:, None] - 1), columns, STRIDE).min(axis=1)
+    behind = (rises & (columns >= counts[:, None] - 1)).argmax(axis=1)
     needed = columns <= behind[:, None]
     wanted_b = np.flatnonzero((needed & rises).ravel())
     falls = (needed & ~rises).ravel()
 
     padded = np.concatenate([flat, np.zeros(64, np.uint8)])
     keys = [np.ndarray((len(flat),), ">u8", padded.data, offset=8 * k, strides=(1,))[wanted_b].astype(U64) for k in range(_WORDS)]
-    direct = wanted_b[np.lexsort(keys[::-1])]
+    direct = wanted_b[_order(keys)]
     edges = np.searchsorted(flat[direct], np.arange(257))
 
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -283,17 +302,19 @@ def suffix_order(text: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> n
 def common_prefixes(text: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Of each place after the first and the one before it, up to PASSAGE bytes."""
     padded = np.concatenate([text.ravel(), np.zeros(64, np.uint8)])
-    out = np.zeros(max(0, len(places) - 1), np.int64)
-    open_ = np.ones(len(out), bool)
+    out = np.full(max(0, len(places) - 1), PASSAGE)
+    left = np.arange(len(out))  # pairs without a difference so far
     for k in range(_WORDS):
-        w = np.ndarray((text.size,), ">u8", padded.data, offset=8 * k, strides=(1,))[places].astype(U64)
-        differ = w[1:] ^ w[:-1]
-        same = np.full(len(out), 8)
-        for byte in range(7, -1, -1):
-            same[(differ >> U64(8 * (7 - byte))) & U64(0xFF) != 0] = byte
-        out += np.where(open_, same, 0)
-        open_ &= differ == 0
-    return np.minimum(out, PASSAGE)
+        w = np.ndarray((text.size,), ">u8", padded.data, offset=8 * k, strides=(1,))
+        differ = w[places[left + 1]].astype(U64) ^ w[places[left]].astype(U64)
+        ended = differ != 0
+        at, bits = left[ended], differ[ended]
+        same = np.zeros(len(at), np.int64)
+        for byte in range(1, 8):
+            same += bits >> U64(64 - 8 * byte) == 0
+        out[at] = np.minimum(8 * k + same, PASSAGE)
+        left = left[~ended]
+    return out
 
 
 def first_documents(matrix: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -340,6 +361,19 @@ FOUND = "grp bigint, ids binary, starts binary, masks binary"
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>"
 
 
+def _spans(starts: np.ndarray, masks: np.ndarray) -> list[int]:
+    """Starts and ends, in turn, of the runs of bytes that removed passages cover; bit k of
+    a mask stands for the passage k bytes behind the segment's start."""
+    if not len(starts):
+        return []
+    bits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    row, k = np.nonzero(bits)
+    at = np.sort(starts[row] + k)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + PASSAGE]))
+    last = np.append(new[1:], len(at)) - 1
+    return np.stack([at[new], at[last] + PASSAGE], axis=1).ravel().tolist()
+
+
 def _apply(with_text: bool):
     def run(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         ids, starts, masks = (np.concatenate([np.frombuffer(x.as_py(), t) for x in found.column(c)]) if found.num_rows else np.zeros(0, t) for c, t in (("ids", np.int64), ("starts", np.uint32), ("masks", U64)))
@@ -349,21 +383,15 @@ def _apply(with_text: bool):
         for name, text in zip(texts.column("id").to_pylist(), texts.column("text"), strict=True):
             raw = (text.as_py() or "").encode()
             a, b = np.searchsorted(ids, [name, name + 1] if name != NO_DOC else [name, name]) if name != NO_DOC else (np.searchsorted(ids, name), len(ids))
-            edge = np.zeros(len(raw) + 1, np.int64)
-            for k in range(SHARED if b > a else 0):
-                at = starts[a:b][(masks[a:b] >> U64(k)) & U64(1) != 0] + k
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + PASSAGE, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if b > a else raw
+            turn = _spans(starts[a:b], masks[a:b])
+            kept = b"".join(raw[x:y] for x, y in zip([0, *turn[1::2]], [*turn[::2], len(raw)], strict=True))
             out["id"].append(name)
             out["n_bytes"].append(len(raw))
             out["n_removed"].append(len(raw) - len(kept))
             out["n_spans"].append(len(turn) // 2)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept"].append(kept if with_text else None)
-            out["spans"].append(turn.tolist())
+            out["spans"].append(turn)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()))
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
