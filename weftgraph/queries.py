@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, paths, text
@@ -149,18 +149,18 @@ def _(spark, sf_dir):
     return store.structured_search(g.scan(), g.scan_edges(), label="Nation", min_degree=5, degree_types=("LOCATED_IN",)).select("id", "name", "in_degree")
 
 
-@_operator("upsert_last_writer", "select o_orderkey as id, 'p' as project, 'Order' as label, o_orderstatus as name, 'q' || o_orderkey as qualified_name, '' as file_path, 0 as start_line, 0 as end_line, case when o_orderkey % 3 = 0 then 'new' else 'old' end as properties from orders")
+@_operator("upsert_last_writer", "select o_orderkey as id, 'p' as project, 'Order' as label, o_orderstatus as name, 'q' || o_orderkey as qualified_name, '' as file_path, 0 as start_line, 0 as end_line, case when o_orderstatus = 'F' then 'new' else 'old' end as properties from orders")
 def _(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     cols = lambda v: [F.col("o_orderkey").alias("id"), F.lit("p").alias("project"), F.lit("Order").alias("label"), F.col("o_orderstatus").alias("name"), F.concat(F.lit("q"), "o_orderkey").alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit(v).alias("properties")]
-    return store.upsert_nodes(orders.select(*cols("old")), orders.where("o_orderkey % 3 = 0").select(*cols("new")))
+    return store.upsert_nodes(orders.select(*cols("old")), orders.where("o_orderstatus = 'F'").select(*cols("new")))
 
 
-@_operator("upsert_merged_properties", "select o_custkey as src, o_orderkey as dst, case when o_orderkey % 2 = 0 then '2' else '1' end as a, case when o_orderkey % 2 = 0 then null else 'x' end as b from orders")
+@_operator("upsert_merged_properties", "select o_custkey as src, o_orderkey as dst, case when o_orderpriority = '1-URGENT' then '2' else '1' end as a, case when o_orderpriority = '1-URGENT' then null else 'x' end as b from orders")
 def _(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     cols = lambda v: [F.col("o_orderkey").alias("id"), F.lit("p").alias("project"), F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("PLACED").alias("type"), F.lit(v).alias("properties")]
-    merged = store.upsert_edges(orders.select(*cols('{"a":1,"b":"x"}')), orders.where("o_orderkey % 2 = 0").select(*cols('{"a":2,"b":null}')))
+    merged = store.upsert_edges(orders.select(*cols('{"a":1,"b":"x"}')), orders.where("o_orderpriority = '1-URGENT'").select(*cols('{"a":2,"b":null}')))
     return merged.select("src", "dst", F.get_json_object("properties", "$.a").alias("a"), F.get_json_object("properties", "$.b").alias("b"))
 
 
@@ -171,12 +171,12 @@ def _(spark, sf_dir):
     return analytics.type_counts(store.delete_nodes(g.scan(), g.scan_edges(), gone)[1])
 
 
-@_operator("classify_changes", "select coalesce(a.k, b.k) as rel_path, case when b.k is null then 'new' when a.k is null then 'deleted' when a.s <> b.s then 'changed' else 'unchanged' end as status from (select doc_id::varchar as k, case when doc_id % 5 = 0 then n_chars + 1 else n_chars end as s from documents where doc_id % 7 <> 0) a full join (select doc_id::varchar as k, n_chars as s from documents where doc_id % 11 <> 0) b on a.k = b.k")
+@_operator("classify_changes", "select coalesce(a.k, b.k) as rel_path, case when b.k is null then 'new' when a.k is null then 'deleted' when a.s <> b.s then 'changed' else 'unchanged' end as status from (select doc_id::varchar as k, case when lang = 'fr' then n_chars + 1 else n_chars end as s from documents where source <> 'src7') a full join (select doc_id::varchar as k, n_chars as s from documents where source <> 'src11') b on a.k = b.k")
 def _(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     state = lambda df, size: df.select(F.col("doc_id").cast("string").alias("rel_path"), F.lit(1).alias("mtime_ns"), size.alias("size"))
-    now = state(d.where("doc_id % 7 <> 0"), F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return store.classify_files(now, state(d.where("doc_id % 11 <> 0"), F.col("n_chars")))
+    now = state(d.where("source <> 'src7'"), F.when(F.col("lang") == "fr", F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return store.classify_files(now, state(d.where("source <> 'src11'"), F.col("n_chars")))
 
 
 # traversal
@@ -383,11 +383,13 @@ def _(spark, sf_dir):
 # derivation, traces
 
 
-@_operator("data_flows", "with c as (select distinct o_custkey as src, o_orderpriority as route from orders where o_custkey % 10 = 1), h as (select distinct o_custkey as dst, o_orderpriority as route from orders where o_custkey % 10 = 2), d as (select o_custkey as src, o_custkey + 1 as dst from orders) select distinct src, dst, route from c join h using (route) where src <> dst and not exists (select 1 from d where d.src = c.src and d.dst = h.dst)")
+@_operator("data_flows", "select distinct o_custkey as src, l_suppkey as dst, o_orderkey as route from orders join lineitem on l_orderkey = o_orderkey where o_custkey <> l_suppkey and not exists (select 1 from customer join supplier on c_nationkey = s_nationkey where c_custkey = o_custkey and s_suppkey = l_suppkey)")
 def _(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders")
-    rows = orders.select(F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("route"))
-    return derive.data_flows(rows.where("src % 10 = 1"), rows.where("src % 10 = 2"), orders.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst")))
+    t = lambda name: _table(spark, sf_dir, name)
+    calls = t("orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("route"))
+    handles = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("route"))
+    direct = t("customer").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("src"), F.col("s_suppkey").alias("dst"))
+    return derive.data_flows(calls, handles, direct)
 
 
 @_operator("structure_edges", "select 'CONTAINS_FOLDER' as type, '' as src_path, n_name as dst_path from nation join customer on c_nationkey = n_nationkey group by n_name union all select 'CONTAINS_FILE', n_name, n_name || '/' || c_custkey from nation join customer on c_nationkey = n_nationkey")
@@ -409,6 +411,198 @@ def _(spark, sf_dir):
     return traces.windows(spans, "1 day").select("path", "window_start", "spans")
 
 
+# more of the inventory
+
+
+@_operator("file_list", f"with {_GRAPH} select distinct fp as file_path from nodes where label in ('Nation', 'Region')")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return store.files(g.scan().where(F.col("label").isin("Nation", "Region")))
+
+
+@_operator("edges_by_url", "select o_orderkey as dst from orders where '/' || o_orderpriority || '/' || o_orderkey like '%URGENT/1%'")
+def _(spark, sf_dir):
+    url = F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string"))
+    edges = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dst"), F.to_json(F.struct(url.alias("url_path"))).alias("properties"))
+    return store.edges_by_url(edges, "URGENT/1").select("dst")
+
+
+@_operator("overlapping_spans", "select distinct o_orderkey as id, l_linenumber as low from orders join lineitem on l_orderkey = o_orderkey where 2 <= l_linenumber + 1 and 4 >= l_linenumber")
+def _(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    nodes = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Function").alias("label"), key.alias("file_path"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    spans = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_path"), F.col("l_linenumber").alias("low"), (F.col("l_linenumber") + 1).alias("high")).distinct()
+    return store.overlapping(nodes, spans).select("id", "low")
+
+
+@_operator("merged_buffers", f"select c_custkey as id, case when c_mktsegment = 'MACHINERY' then 'second' else 'first' end as label from customer where c_mktsegment <> 'BUILDING' union all select {C} + c_custkey, 'second' from customer where c_mktsegment = 'BUILDING'")
+def _(spark, sf_dir):
+    customer = _table(spark, sf_dir, "customer")
+    node = lambda df, label, shift: df.select((F.col("c_custkey") + shift).alias("id"), F.lit("p").alias("project"), F.lit(label).alias("label"), "c_name", F.concat(F.lit("q"), F.col("c_custkey").cast("string")).alias("qualified_name"))
+    first, second = node(customer.where("c_mktsegment <> 'BUILDING'"), "first", 0), node(customer.where("c_mktsegment in ('BUILDING', 'MACHINERY')"), "second", C)
+    edges = second.select(F.lit(1).alias("id"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("T").alias("type"), F.lit("{}").alias("properties"))
+    nodes = store.merge_buffers(first, second, edges)[0]
+    own = F.xxhash64("project", "qualified_name")
+    return nodes.select(F.when(F.col("id") == own, C + F.regexp_replace("qualified_name", "q", "").cast("bigint")).otherwise(F.col("id")).alias("id"), "label")
+
+
+@_operator("without_dangling_edges", f"with {_GRAPH} select type, count(*) as n from edges where src in (select id from nodes where label <> 'Part') and dst in (select id from nodes where label <> 'Part') group by type")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return analytics.type_counts(store.without_dangling(g.scan().where("label <> 'Part'"), g.scan_edges()))
+
+
+@_operator("entry_points_left_out", f"with {_GRAPH} select label, count(*) as n from nodes where label in ('Customer', 'Nation', 'Region', 'Supplier') and not (id not in (select dst from edges where type in ('LOCATED_IN', 'PART_OF')) and id in (select src from edges where type in ('LOCATED_IN', 'PART_OF'))) group by label")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    nodes = g.scan().where(F.col("label").isin("Customer", "Nation", "Region", "Supplier"))
+    return analytics.label_counts(store.structured_search(nodes, _calls(g, "LOCATED_IN", "PART_OF"), exclude_entry_points=True))
+
+
+@_operator("search_page", f"with {_GRAPH} select id, name from nodes where label = 'Customer' order by name, id limit 30 offset 10")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return store.page(store.structured_search(g.scan(), g.scan_edges(), label="Customer"), 30, 10).select("id", "name")
+
+
+@_operator("direct_neighbours", f"with {_GRAPH} select x.id, list_sort(list(distinct n.name)) as neighbours from (select dst as id, src as o from edges where type = 'PART_OF' union all select src, dst from edges where type = 'PART_OF') x join nodes n on n.id = x.o where x.id in (select id from nodes where label = 'Region') group by x.id")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return traverse.connected(g.scan("Region"), g.scan_edges(["PART_OF"]), g.scan())
+
+
+@_operator("blast_radius", f"with {_GRAPH} select {N} + n_nationkey as node, 0 as hop, 'CHANGED' as risk from nation where n_nationkey < 3 union all select src, 1, 'CRITICAL' from edges where type = 'LOCATED_IN' and dst in ({N}, {N + 1}, {N + 2})")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    changed = spark.createDataFrame([(f"nation/{i}",) for i in range(3)], "file_path string")
+    return traverse.blast_radius(g.scan(), _calls(g, "LOCATED_IN"), changed)
+
+
+@_operator("edges_among_visited", f"with {_GRAPH} select src, dst, 'CALLS' as type, 1.0::double as confidence from edges where type = 'PART_OF' or (type = 'LOCATED_IN' and src = {C} + 1)")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    edges = _calls(g, "PART_OF")
+    visited = traverse.bfs(g.scan("Region").select("id"), edges, direction="in", depth=1)
+    one = g.scan_edges(["LOCATED_IN"]).where(F.col("src") == C + 1).withColumn("type", F.lit("CALLS"))
+    ends = one.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("hop"))
+    return traverse.edges_among(visited.union(ends), edges.union(one), ["CALLS"])
+
+
+@_operator("shortest_hops", f"with recursive {_GRAPH}, e as (select src, dst from edges where type in ('LOCATED_IN', 'PART_OF') union select dst, src from edges where type in ('LOCATED_IN', 'PART_OF')), w(node, hop) as (select {S} + 1, 0 union select dst, hop + 1 from w join e on src = node where hop < 4) select node, min(hop) as hop from w group by node")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return reach.shortest(g.scan("Supplier").where("key = 1").select("id"), g.scan_edges(["LOCATED_IN", "PART_OF"]), 4, "any").select("node", "hop")
+
+
+@_operator("cross_project_calls", "with p as (select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on l_orderkey = o_orderkey) select 'CROSS_HTTP_CALLS' as type, 'one' as project, src, 'two' as other_project, dst from p union all select 'CROSS_HTTP_CALLS', 'two', dst, 'one', src from p")
+def _(spark, sf_dir):
+    path = lambda key, tail: F.concat(F.lit("/orders/"), F.col(key).cast("string"), F.lit(tail)).alias("path")
+    calls = _table(spark, sf_dir, "orders").select(F.lit("one").alias("project"), F.col("o_custkey").alias("src"), F.lit("get").alias("method"), path("o_orderkey", "/{line}/"))
+    served = _table(spark, sf_dir, "lineitem").select(F.lit("two").alias("project"), F.col("l_suppkey").alias("id"), F.lit("ANY").alias("method"), path("l_orderkey", "/:line"))
+    return derive.cross_project(calls, served.distinct())
+
+
+@_operator("cross_project_channels", "select distinct 'one' as project, c_custkey as src, 'two' as other_project, s_suppkey as dst, c_nationkey::varchar as channel from customer join supplier on c_nationkey = s_nationkey")
+def _(spark, sf_dir):
+    emits = _table(spark, sf_dir, "customer").select(F.lit("one").alias("project"), F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("string").alias("channel"))
+    listens = _table(spark, sf_dir, "supplier").select(F.lit("two").alias("project"), F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("string").alias("channel"))
+    return derive.cross_channels(emits, listens)
+
+
+@_operator("resolved_calls", "with d as (select p_brand || '.' || p_partkey as q, p_size::varchar as name, p_brand as module, row_number() over (partition by p_size order by p_brand || '.' || p_partkey) as r, count(*) over (partition by p_size) as n from part) select l_linenumber::bigint * 100000000 + l_orderkey as call_id, q as target, case when n = 1 then 'unique_name' else 'suffix_match' end as strategy, round(case when n = 1 then 0.75 else 0.55 * case when n > 3 then 3.0 / n else 1 end end * 0.5, 6) as confidence from (select distinct l_orderkey, l_linenumber, p_size::varchar as name from lineitem join part on p_partkey = l_partkey qualify row_number() over (partition by l_orderkey, l_linenumber order by p_size) = 1) join d using (name) where r = 1")
+def _(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    defs = part.select(F.concat_ws(".", "p_brand", F.col("p_partkey").cast("string")).alias("qualified_name"), F.col("p_size").cast("string").alias("name"), F.col("p_brand").alias("module"), F.lit("a.py").alias("file_path"))
+    rows = _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("p_size"))).where("r = 1")
+    calls = rows.select((F.col("l_linenumber").cast("bigint") * 100000000 + F.col("l_orderkey")).alias("call_id"), F.lit("zz.py").alias("file"), F.lit("zz").alias("module"), F.col("p_size").cast("string").alias("callee"))
+    imports = spark.createDataFrame([], "file string, key string, module string")
+    return derive.resolve_calls(calls, defs, imports).select("call_id", "target", "strategy", F.round("confidence", 6).alias("confidence"))
+
+
+@_operator("definition_edges", "select 'DEFINES' as type, p_brand as src, p_brand || '.' || p_partkey as dst from part union select 'DEFINES_METHOD', 'K' || p_size, p_brand || '.' || p_partkey from part where p_size < 10")
+def _(spark, sf_dir):
+    qn = F.concat_ws(".", "p_brand", F.col("p_partkey").cast("string"))
+    defs = _table(spark, sf_dir, "part").select(qn.alias("qualified_name"), F.when(F.col("p_size") < 10, "Method").otherwise("Function").alias("label"), F.col("p_brand").alias("module"), F.concat(F.lit("K"), F.col("p_size").cast("string")).alias("parent"))
+    return derive.definitions(defs)
+
+
+@_operator("override_edges", "select distinct 'OVERRIDE' as type, a.p_brand || a.p_size as src, b.p_brand || b.p_size as dst from part a join part b on a.p_size = b.p_size where a.p_brand = 'Brand#11' and b.p_brand = 'Brand#12'")
+def _(spark, sf_dir):
+    methods = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_size").cast("string").alias("name"), F.concat("p_brand", F.col("p_size").cast("string")).alias("qualified_name")).distinct()
+    return derive.overrides(methods, spark.createDataFrame([("Brand#11", "Brand#12")], "src string, dst string"))
+
+
+@_operator("test_edges", "select distinct 'TESTS' as type, l_orderkey as src, l_partkey + 1000000000 as dst from lineitem join part on p_partkey = l_partkey where p_size >= 25")
+def _(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem")
+    calls = rows.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("test_"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("tests/test_a.py").alias("file_path"))
+    parts = _table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000000).alias("id"), F.lit("f").alias("name"), F.when(F.col("p_size") >= 25, "src/a.py").otherwise("tests/b.py").alias("file_path"))
+    return derive.tests(calls, orders.union(parts))
+
+
+@_operator("tested_files", "select 'TESTS_FILE' as type, 'tests/test_' || n_name || '.py' as src_path, n_name || '.py' as dst_path from nation where n_regionkey < 2")
+def _(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation")
+    tested, plain = F.concat(F.lit("tests/test_"), "n_name", F.lit(".py")), F.concat("n_name", F.lit(".py"))
+    return derive.tests_files(nation.select(tested.alias("file_path")).union(nation.where("n_regionkey < 2").select(plain)))
+
+
+@_operator("configuration_links", "select r_regionkey::bigint as src, c_custkey as dst, 0.75::double as confidence from region, customer where c_nationkey % 5 = r_regionkey")
+def _(spark, sf_dir):
+    keys = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.concat(F.lit("regionKey."), F.col("r_regionkey").cast("string")).alias("key"))
+    symbols = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("get-region_key-"), (F.col("c_nationkey") % 5).cast("string"), F.lit(".of-"), F.col("c_custkey").cast("string")).alias("name"))
+    return derive.configures(keys, symbols)
+
+
+@_operator("decorator_tags", "with w as (select distinct p_partkey as id, unnest(['brand' || p_size, 'kind' || (p_partkey % 700)]) as w from part), k as (select w from w group by w having count(*) >= 2) select id, list_sort(list(w)) as tags from w join k using (w) group by id")
+def _(spark, sf_dir):
+    own = F.array(F.concat(F.lit("@brand"), F.col("p_size").cast("string"), F.lit("()")), F.concat(F.lit("kind"), (F.col("p_partkey") % 700).cast("string")))
+    return derive.decorator_tags(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), own.alias("decorators")))
+
+
+@_operator("usage_edges", "select distinct case when o_orderstatus = 'F' then 'READS' when o_orderstatus = 'O' then 'WRITES' else 'USAGE' end as type, 'c' || o_custkey as src, o_orderpriority as dst from orders")
+def _(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "read").when(F.col("o_orderstatus") == "O", "write").otherwise("usage")
+    records = orders.select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("function"), kind.alias("kind"))
+    return derive.usages(records, orders.select(F.col("o_orderkey").alias("call_id"), F.col("o_orderpriority").alias("target")))
+
+
+@_operator("span_details", "select event_id, 'GET' as method, '/' || event_type as path, greatest(0, floor(value * 1000)::bigint) as duration_ns from events")
+def _(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    attrs = F.create_map(F.lit("http.method"), F.lit("GET"), F.lit("http.route"), F.concat(F.lit("/"), "event_type"), F.lit("event"), F.col("event_id").cast("string"))
+    spans = e.select(F.col("event_type").alias("name"), F.lit(1).alias("kind"), F.lit("1000000").alias("start"), (1000000 + F.floor(F.col("value") * 1000)).cast("string").alias("end"), attrs.alias("attrs"))
+    http = paths.http_info(F.col("attrs"))
+    return spans.select(F.col("attrs")["event"].cast("bigint").alias("event_id"), http["method"].alias("method"), http["path"].alias("path"), paths.duration(F.col("start"), F.col("end")).alias("duration_ns"))
+
+
+@_operator("tfidf_pairs", r"""with t as (select p_partkey as id, unnest(list_distinct(string_split(p_name || ' ' || lower(p_type), ' '))) as w from part), n as (select count(distinct id) as n from t), d as (select w, ln((select n from n) / count(*)) as idf from t group by w), v as (select id, w, idf as x from t join d using (w)), s as (select id, sqrt(sum(x * x)) as s from v group by id) select a.id as a, b.id as b, round(sum(a.x / sa.s * b.x / sb.s), 6) as score from v a join v b on a.w = b.w and a.id < b.id join part pa on pa.p_partkey = a.id join part pb on pb.p_partkey = b.id and pb.p_brand = pa.p_brand join s sa on sa.id = a.id join s sb on sb.id = b.id where sa.s > 0 and sb.s > 0 group by all""")
+def _(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("t"))
+    fields = part.select("id", F.lit("signature").alias("field"), F.explode("t").alias("token"))
+    pairs = part.select(F.col("id").alias("a"), "p_brand").join(part.select(F.col("id").alias("b"), "p_brand"), "p_brand").where("a < b").select("a", "b")
+    scored = similarity.sparse_cosine(pairs, similarity.tfidf(fields, similarity.document_frequency(part, "t")))
+    return scored.select("a", "b", F.round("score", 6).alias("score"))
+
+
+@_operator("benchmark_matches", r"""with b as (select item_id, list_distinct([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) as s from (select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as w from benchmark) where len(w) >= 13), d as (select doc_id, list_distinct([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) as s from (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as w from documents) where len(w) >= 13) select doc_id, item_id, count(*) as shared from (select doc_id, unnest(s) as g from d) join (select item_id, unnest(s) as g from b) using (g) group by all""")
+def _(spark, sf_dir):
+    def grams(name: str, key: str) -> DataFrame:
+        words = _table(spark, sf_dir, name).select(key, text.word_tokens(F.col("text")).alias("w"))
+        return words.select(key, F.explode(similarity.shingles(F.col("w"), 13)).alias("g"))
+
+    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@_operator("identifier_tokens", r"select p_partkey as id, list_filter(string_split_regex(lower(p_brand || '_' || p_name || '-' || p_size), '[./_ (),:-]+'), lambda x: x <> '') as tokens from part")
+def _(spark, sf_dir):
+    joined = F.concat("p_brand", F.lit("_"), "p_name", F.lit("-"), F.col("p_size").cast("string"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.identifier_tokens(joined, expand=False).alias("tokens"))
+
+
 def queries() -> dict[str, Run]:
     return dict(_RUNS)
 
