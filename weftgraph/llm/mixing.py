@@ -28,9 +28,6 @@ WEIGHTS = (5, 2, 1)
 #: The mix has this share of all words; a source gives its words so often at most.
 SHARE, MOST = 1.5, 2.0
 
-#: Documents in a cell of the shuffle, slots in a stretch of the schedule.
-CELL_ROWS, STRETCH = 20_000, 1 << 15
-
 #: Cells of the unit interval by which points meet intervals.
 GRID = 1024
 
@@ -94,7 +91,7 @@ class Mix:
         n, least, total = rows.agg(F.count(F.lit(1))).crossJoin(self.plan.where("target > 0").agg(F.min("target"), F.sum("target"))).first()
         self.block = block or int(min(4096, max(16, (least or 0) / 256)))
         self.slots = int(math.ceil((total or 0) / self.block))
-        cells = max(1, n // CELL_ROWS)
+        cells = max(1, math.isqrt(n))  # a cell has as many rows as there are cells
         h = F.xxhash64(F.col("doc_id"), F.lit(seed))
         placed = rows.withColumns({"h": h, "cell": F.pmod(F.shiftright(h, 20), F.lit(cells)).cast("int")})
         placed = placed.join(self.plan.select(F.col("source").alias("_s"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -103,6 +100,7 @@ class Mix:
 
     def schedule(self) -> DataFrame:
         """slot, s, rank: the source of each slot and its rank within the source."""
+        stretch = max(1, math.isqrt(self.slots))
         slots = self.spark.range(self.slots).select(F.col("id").alias("slot"), F.expr(f"(id + 0.5D) * {GOLDEN!r}D").alias("x"))
         slots = slots.withColumn("u", F.col("x") - F.floor("x")).withColumn("g", F.floor(F.col("u") * GRID)).drop("x")
         upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -111,7 +109,7 @@ class Mix:
         last = F.row_number().over(Window.orderBy(F.desc("s"))) == 1
         shares = shares.withColumn("hi", F.when(last, F.lit(1.0)).otherwise(F.col("hi")))
         met = shares.select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1)))).alias("g"))
-        named = slots.join(met, "g").where("u >= lo and u < hi").select("slot", "s", (F.col("slot") / STRETCH).cast("int").alias("stretch"), F.lit(1).alias("one"))
+        named = slots.join(met, "g").where("u >= lo and u < hi").select("slot", "s", F.expr(f"slot div {stretch}").alias("stretch"), F.lit(1).alias("one"))
         return _running(named, ["s"], "stretch", [F.col("slot")], "one", "rank").select("slot", "s", "rank")
 
     def blocks(self) -> DataFrame:
