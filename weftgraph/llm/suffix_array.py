@@ -10,7 +10,9 @@ share one, so that a document has an anchor for every 18 bytes or so. Anchors
 whose gram occurs once in the corpus are dropped: four bytes of each anchor's
 hash are counted in buckets, and the answers come back as a bit per anchor.
 For each anchor left, the segment of text that its passages cover goes to a
-bucket by the gram's hash. Every passage is whole in exactly one segment.
+bucket by the gram's hash. Every passage is whole in exactly one segment. Anchors
+whose gram is so frequent that one bucket can't hold their segments send their
+passages one by one instead, which are grouped and joined as rows.
 
 Finding equal passages. A bucket's distinct segments are one text, whose
 suffixes are sorted by the two-stage method: suffixes smaller than their
@@ -110,7 +112,10 @@ def _split(order_key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(values[a]), order[a:b]
 
 
-ANCHORED = "bucket int, block bigint, hashes binary, ids binary, counts binary, buckets binary"
+#: Anchors with one hash, above which their passages are grouped one by one.
+HOT_ANCHORS = 1 << 17
+
+ANCHORED = "bucket int, block bigint, hashes binary, times binary, ids binary, counts binary, buckets binary"
 
 
 def _anchor_rows(buckets: int):
@@ -126,82 +131,132 @@ def _anchor_rows(buckets: int):
                 key = int(mix64(np.array([names[a]], np.int64).view(U64) + U64(b - a)).view(np.int64)[0])
                 where = _bucket_of(gram, buckets)
                 low = gram.astype(np.uint32)
-                parts = [(k, low[i].tobytes()) for k, i in _split(where)]
+                # a block sends each hash once, however often it has it
+                once = ((k, *np.unique(low[i], return_counts=True)) for k, i in _split(where))
+                parts = [(k, h.tobytes(), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes()) for k, h, c in once]
                 n = len(parts) + 1
                 nothing = [None] * len(parts)
                 counts = np.bincount(row, minlength=b - a).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([-1] + [k for k, _ in parts], pa.int32()),
+                        pa.array([-1] + [k for k, _, _ in parts], pa.int32()),
                         pa.array([key] * n, pa.int64()),
-                        binary_array([None] + [x for _, x in parts]),
+                        binary_array([low.tobytes()] + [x for _, x, _ in parts]),
+                        binary_array([None] + [x for _, _, x in parts]),
                         binary_array([names[a:b].tobytes(), *nothing]),
                         binary_array([counts.tobytes(), *nothing]),
                         binary_array([where.astype(np.uint32).tobytes(), *nothing]),
                     ],
-                    names=["bucket", "block", "hashes", "ids", "counts", "buckets"],
+                    names=["bucket", "block", "hashes", "times", "ids", "counts", "buckets"],
                 )
 
     return run
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket, for each block: a bit for each anchor whose hash occurs again."""
-    every = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.hashes])
-    _, back, count = np.unique(every, return_inverse=True, return_counts=True)
-    again, out, at = count[back] > 1, [], 0
-    for x in pdf.hashes:
-        n = len(x) // 4
-        out.append(np.packbits(again[at : at + n]).tobytes())
-        at += n
-    return pd.DataFrame({"bucket": pdf.bucket, "block": pdf.block, "bits": out})
+def _repeated(most: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a bucket, for each block: a bit for each of its hashes that occurs again, and
+        one for each that occurs more than so often."""
+        every = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.hashes])
+        times = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf.times]).astype(np.int64)
+        _, back = np.unique(every, return_inverse=True)
+        total = np.bincount(back, times)[back]
+        again, hot, out, at = total > 1, total > most, ([], []), 0
+        for x in pdf.hashes:
+            n = len(x) // 4
+            out[0].append(np.packbits(again[at : at + n]).tobytes())
+            out[1].append(np.packbits(hot[at : at + n]).tobytes())
+            at += n
+        return pd.DataFrame({"bucket": pdf.bucket, "block": pdf.block, "bits": out[0], "hot": out[1]})
+
+    return run
 
 
 def _by_document(key: tuple, table: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-    """Of a block, for each document with a repeated anchor: a bit per anchor."""
-    out: tuple[list, list, list] = ([], [], [])
+    """Of a block, for each document with a repeated anchor: a bit per anchor for repeated
+    ones, and one for hot ones."""
+    out: dict[str, list] = {k: [] for k in ("id", "n", "bits", "hot")}
     if len(table):
         row = table.iloc[0]
         where = np.frombuffer(row.buckets, np.uint32).astype(np.int64)
-        bits = np.zeros(len(where), bool)
-        known = dict(zip(flags.bucket, flags.bits, strict=True))
+        hashes = np.frombuffer(row.hashes, np.uint32)
+        bits = np.zeros((2, len(where)), bool)
+        known = dict(zip(flags.bucket, zip(flags.bits, flags.hot, strict=True), strict=True))
         for k, i in _split(where):
-            bits[i] = np.unpackbits(np.frombuffer(known[k], np.uint8), count=len(i)).astype(bool)
+            once, back = np.unique(hashes[i], return_inverse=True)
+            for j in (0, 1):
+                bits[j, i] = np.unpackbits(np.frombuffer(known[k][j], np.uint8), count=len(once))[back]
         at = np.concatenate([[0], np.cumsum(np.frombuffer(row.counts, np.uint32).astype(np.int64))])
         for name, a, b in zip(np.frombuffer(row.ids, np.int64).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if bits[a:b].any():
-                out[0].append(name)
-                out[1].append(b - a)
-                out[2].append(np.packbits(bits[a:b]).tobytes())
-    return pd.DataFrame({"id": np.array(out[0], np.int64), "n": np.array(out[1], np.int64), "bits": out[2]})
+            if bits[0, a:b].any():
+                out["id"].append(name)
+                out["n"].append(b - a)
+                out["bits"].append(np.packbits(bits[0, a:b]).tobytes())
+                out["hot"].append(np.packbits(bits[1, a:b]).tobytes() if bits[1, a:b].any() else None)
+    return pd.DataFrame(out).astype({"id": "int64", "n": "int64"})
 
 
 SEGMENTS = "bucket int, ids binary, starts binary, counts binary, text binary"
 
 
+def _flagged(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns id, text, n, bits, hot; by block: ids, text, offsets, and of the repeated
+    anchors row, start, count, hash and whether they are hot."""
+    names = _ids(batch.column(0))
+    data, offsets = text_bytes(batch.column(1))
+    sizes, bits, hot = batch.column(2).to_pylist(), batch.column(3), batch.column(4)
+    for a, b in blocks(offsets):
+        at = offsets[a : b + 1] - offsets[a]
+        part = data[offsets[a] : offsets[b]]
+        row, start, count, gram = anchors(part, at)
+        use = np.concatenate([np.unpackbits(np.frombuffer(bits[i].as_py(), np.uint8), count=sizes[i]) for i in range(a, b)]).astype(bool)
+        much = np.concatenate([np.unpackbits(np.frombuffer(hot[i].as_py() or b"\0" * (sizes[i] // 8 + 1), np.uint8), count=sizes[i]) for i in range(a, b)]).astype(bool)
+        yield names[a:b], part, at, row[use], start[use], count[use], gram[use], much[use]
+
+
+def _hot_passages():
+    """The passages of hot anchors, one by one: text of the passage, id, start."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, part, at, row, start, count, _, hot in _flagged(batch):
+                row, start, count = row[hot], start[hot], count[hot]
+                if not len(row):
+                    continue
+                owner = np.repeat(row, count)
+                first = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                raw = part.tobytes()
+                yield pa.RecordBatch.from_arrays([binary_array(raw[i : i + PASSAGE] for i in first.tolist()), pa.array(names[owner]), pa.array(first - at[owner])], names=["passage", "id", "start"])
+
+    return run
+
+
+def _hot_found(groups: int):
+    """Columns id, start of removed passages, as rows of FOUND."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            group = (mix64(ids.view(U64)) % U64(groups)).astype(np.int64)
+            out = [(k, ids[i].tobytes(), starts[i].astype(np.uint32).tobytes(), np.ones(len(i), U64).tobytes()) for k, i in _split(group)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *[binary_array(x[j] for x in out) for j in (1, 2, 3)]], names=["grp", "ids", "starts", "masks"])
+
+    return run
+
+
 def _segment_rows(buckets: int):
-    """Columns id, text, n, bits."""
+    """Columns id, text, n, bits, hot."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = _ids(batch.column(0))
-            data, offsets = text_bytes(batch.column(1))
-            bits = batch.column(3)
-            sizes = batch.column(2).to_pylist()
-            for a, b in blocks(offsets):
-                at = offsets[a : b + 1] - offsets[a]
-                part = data[offsets[a] : offsets[b]]
-                row, start, count, gram = anchors(part, at)
-                if [*np.bincount(row, minlength=b - a)] != sizes[a:b]:
-                    raise ValueError("rows with one doc_id have different texts")
-                use = np.concatenate([np.unpackbits(np.frombuffer(bits[i].as_py(), np.uint8), count=sizes[i]) for i in range(a, b)]).astype(bool)
-                row, start, count, gram = row[use], start[use], count[use], gram[use]
+            for names, part, at, row, start, count, gram, hot in _flagged(batch):
+                row, start, count, gram = row[~hot], start[~hot], count[~hot], gram[~hot]
                 padded = np.concatenate([part, np.zeros(SEGMENT, np.uint8)])
                 out = []
                 for k, i in _split(_bucket_of(gram, buckets)):
                     matrix = padded[start[i, None] + np.arange(SEGMENT)]
                     inside = np.arange(SEGMENT) < count[i, None] + (PASSAGE - 1)
-                    out.append((k, names[a:b][row[i]].tobytes(), (start[i] - at[row[i]]).astype(np.uint32).tobytes(), count[i].astype(np.uint8).tobytes(), matrix[inside].tobytes()))
+                    out.append((k, names[row[i]].tobytes(), (start[i] - at[row[i]]).astype(np.uint32).tobytes(), count[i].astype(np.uint8).tobytes(), matrix[inside].tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[binary_array(x[j] for x in out) for j in range(1, 5)]], names=["bucket", "ids", "starts", "counts", "text"])
 
@@ -416,23 +471,46 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Texts are taken as UTF-8; null counts as empty; passages don't cross documents.
     A null doc_id counts as larger than any other. Rows that repeat one doc_id and
-    text keep what each would keep; a doc_id with different texts is an error. Other
-    columns don't matter; an empty table gives an empty result.
+    text keep what each would keep. Of the texts of a doc_id that has several, the one
+    with the smallest hash is the document; the others stay whole and are compared
+    with nothing. Other columns don't matter; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    pairs = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("id"), "text")
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    every = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("id"), "text")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    per = every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("size"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+    several = F.col("lo") != F.col("hi")
+    n, size, doubtful = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(several)).first()
+    pairs, others = every, None
+    if doubtful:
+        marked = every.join(per.where(several).select("id", "lo"), "id", "left")
+        pairs = marked.where(F.col("lo").isNull() | (h == F.col("lo"))).select("id", "text")
+        raw = F.coalesce("text", F.lit("")).cast("binary")
+        others = marked.where(F.col("lo").isNotNull() & (h != F.col("lo"))).select(
+            "id", length.cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), (raw if with_text else F.lit(None).cast("binary")).alias("kept"), F.array().cast("array<bigint>").alias("spans")
+        )
+
     groups = max(1, -(-n // GROUP_DOCS))
     marked = written(pairs.mapInArrow(_anchor_rows(max(1, size // ANCHOR_BUCKET)), ANCHORED), "anchors")
-    again = written(marked.where("bucket >= 0").select("bucket", "block", "hashes").groupBy("bucket").applyInPandas(_repeated, "bucket int, block bigint, bits binary"), "repeated")
-    tables = marked.where("bucket < 0").select("block", "ids", "counts", "buckets")
-    flags = written(tables.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_by_document, "id bigint, n bigint, bits binary"), "flags")
+    again = marked.where("bucket >= 0").select("bucket", "block", "hashes", "times").groupBy("bucket").applyInPandas(_repeated(HOT_ANCHORS), "bucket int, block bigint, bits binary, hot binary")
+    again = written(again, "repeated")
+    tables = marked.where("bucket < 0").select("block", "hashes", "ids", "counts", "buckets")
+    flags = written(tables.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_by_document, "id bigint, n bigint, bits binary, hot binary"), "flags")
     forget(spark, marked, again)
     once = flags.dropDuplicates(["id"])
-    segments = pairs.join(once, "id").select("id", "text", "n", "bits").mapInArrow(_segment_rows(max(1, size // SEGMENT_BUCKET)), SEGMENTS)
+    flagged = pairs.join(once, "id").select("id", "text", "n", "bits", "hot")
+    segments = flagged.mapInArrow(_segment_rows(max(1, size // SEGMENT_BUCKET)), SEGMENTS)
     found = written(segments.groupBy("bucket").applyInPandas(_passages(groups), FOUND), "passages")
+    if not flags.where("hot is not null").isEmpty():
+        # no group holds these: each passage is aggregated before it is shuffled
+        hot = flagged.where("hot is not null").mapInArrow(_hot_passages(), "passage binary, id bigint, start bigint")
+        least = hot.groupBy("passage").agg(F.min("id").alias("least"))
+        removed = hot.join(least, "passage").where("least < id").select("id", "start")
+        found = found.union(written(removed.mapInArrow(_hot_found(groups), FOUND), "hot"))
     forget(spark, flags)
     placed = pairs.mapInArrow(_group_of(groups), "id bigint, grp bigint, text string")
     out = placed.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_apply(with_text), RESULT)
+    out = out if others is None else out.unionByName(others)
     return out.select(F.when(F.col("id") != NO_DOC, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
