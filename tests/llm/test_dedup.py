@@ -171,8 +171,9 @@ def passages_by_force(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_repeats_against_every_passage(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(3, 1 << 17), (4, 1 << 17), (4, 3)])
+def test_repeats_against_every_passage(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffix_array, "HOT_ANCHORS", hot)
     rows = corpus(60, seed) + [(20_000, "ab" * 200, None, None, 0), (20_001, "xab" + "ab" * 60, None, None, 0), (20_002, "a" * 300, None, None, 0), (20_003, "b" + "a" * 120, None, None, 0)]
     got = suffix_array.remove_repeats(with_clashes(frame(spark, rows))).collect()
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == passages_by_force(rows)
@@ -187,6 +188,9 @@ def test_repeats_of_odd_tables(spark):
     t = "".join(chr(97 + i % 26) for i in range(60))
     got = {(r.doc_id, r.n_removed) for r in suffix_array.remove_repeats(frame(spark, [(None, t, None, None, 0), (2, t, None, None, 0), (1, None, None, None, 0)])).collect()}
     assert got == {(None, 60), (2, 0), (1, 0)}
+    twice = [(1, t, None, None, 0), (2, t + "x", None, None, 0), (2, "other", None, None, 0), (2, None, None, None, 0), (3, t, None, None, 0), (3, t, None, None, 0)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_array.remove_repeats(frame(spark, twice)).collect())
+    assert [x for x in got if x[0] != 2] == [(1, 60, 0), (3, 60, 60), (3, 60, 60)] and [x[:2] for x in got if x[0] == 2] == [(2, 0), (2, 5), (2, 61)]
 
 
 @given(st.lists(st.text("ab", min_size=50, max_size=84), min_size=1, max_size=12))
