@@ -338,6 +338,27 @@ def test_other_edges(spark):
     assert column(spark, derive.call_kind(F.col("a")), "requests.get", "queue.publish", "helper") == ["HTTP_CALLS", "ASYNC_CALLS", "CALLS"]
 
 
+def test_file_and_module_links(spark):
+    refs = derive.file_references(spark.createDataFrame([(1, "./cfg/a.yaml"), (2, "other/a.yaml"), (3, "b")], "id bigint, text string"), spark.createDataFrame([("cfg/a.yaml",)], "file_path string"))
+    assert {(r.src, r.confidence) for r in refs.collect()} == {(1, 0.90), (2, 0.70)}
+    found = derive.module_definitions(spark.createDataFrame([("f.py", "m"), ("f.py", "m")], "file string, module string"), spark.createDataFrame([("m", "m.x"), ("n", "n.y")], "module string, qualified_name string"))
+    assert [tuple(r) for r in found.collect()] == [("f.py", "m.x")]
+
+
+def test_more_columns(spark):
+    assert column(spark, paths.mentions_test(F.col("a")), "contest.py", None) == [True, False]
+    assert column(spark, paths.confidence_band(F.col("a").cast("double")), "0.7", "0.5", "0.25", "0.1") == ["high", "medium", "speculative", ""]
+    assert column(spark, paths.folder_name(F.lit("p"), F.col("a")), "a/b", "") == ["p.a.b", "p"]
+    assert column(spark, text.is_env_name(F.col("a")), "DB_HOST", "1234", "x", "A") == [True, False, False, False]
+    assert column(spark, text.is_config_file(F.col("a")), "a/b.YAML", "c.py", "noext") == [True, False, False]
+
+
+def test_cosines_of_pairs(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, []), (4, [0.0, 0.0])], "id bigint, vector array<float>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a bigint, b bigint")
+    assert {r.b: round(r.score, 4) for r in vector_search.pair_cosines(pairs, v).collect()} == {2: 0.7071, 3: 0.0, 4: 0.0}
+
+
 def test_records():
     t = records.update_sections("", {"purpose": "why", "STACK": "what"})
     assert t == "## PURPOSE\nwhy\n\n## STACK\nwhat" and records.parse_sections(t) == {"PURPOSE": "why", "STACK": "what"}

@@ -72,6 +72,15 @@ def test_streamed_upserts(spark, tmp_path):
     assert table.version() == 1 and {r.name for r in table.read().collect()} == {"Changed", "ValidateOrder", "SubmitOrder", "main", "LogError"}
 
 
+def test_streamed_edges(spark, tmp_path):
+    g = standard(spark)
+    source, table = str(tmp_path / "in"), upserts.edge_table(spark, str(tmp_path / "table"))
+    for p in ('{"a":1}', '{"b":2}'):
+        g.edges.withColumn("properties", F.lit(p)).coalesce(1).write.mode("append").parquet(source)
+        upserts.stream_edges(spark.readStream.schema(g.edges.schema).parquet(source), table, str(tmp_path / "cp")).awaitTermination()
+    assert table.version() == 1 and {r.properties for r in table.read().collect()} == {'{"a":"1","b":"2"}'} and table.read().count() == 4
+
+
 def test_reread_files(spark):
     g = standard(spark)
     changed = spark.createDataFrame([("validate.go",)], "file_path string")

@@ -1,19 +1,25 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the session's checkpoint folder, which all executors
-    share. Only where none is set, as on one machine, a local folder is used."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only where none is set, as on one machine, a local
+    folder is used."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="weftgraph-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -208,10 +208,6 @@ def file_history(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file").agg(F.count_distinct("commit_id").alias("change_count"), F.max("ts").alias("last_modified"))
 
 
-def with_degree_columns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(degrees(edges), "id", "left").na.fill(0, ["in_degree", "out_degree"])
-
-
 def p99(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, p99: the value at place min(int(0.99 n), n - 1) of each group in order. The
     groups are ranked, not gathered."""

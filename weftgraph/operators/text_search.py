@@ -31,19 +31,18 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
 
 
-def _equals(word: str):
-    return lambda x: x == word
+#: What words are made of.
+_WORD = r"\p{L}\p{N}_"
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = None) -> DataFrame:
-    """key, score of the documents with any word of the query. One pass: only the
-    query's words are exploded, the others just counted."""
+    """key, score of the documents with any word of the query. Words are counted in the
+    text by regular expressions, so that no list of words is ever made."""
     words = query_tokens(query)
-    tokens = word_tokens(F.col(text))
-    rows = docs.select(key, tokens.alias("t"))
-    counts = [F.size(F.filter("t", _equals(w))) for w in words]
-    rows = rows.select(key, F.size("t").cast("double").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
-    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words))])
+    lowered = F.lower(text)
+    counts = [F.regexp_count(lowered, F.lit(rf"(?<![{_WORD}]){re.escape(w)}(?![{_WORD}])")) for w in words]
+    rows = docs.select(key, F.regexp_count(text, F.lit(f"[{_WORD}]+")).cast("double").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.coalesce("dl", F.lit(0.0))).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words))])
     joined = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(words))) or "false").crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(words)):

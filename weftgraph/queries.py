@@ -3,6 +3,7 @@ that gives the same rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, paths, text
 from .graph import Graph
+from .lineage import shared_folder
 from .operators import analytics, derive, reach, similarity, store, text_search, traverse, vector_search
 from .plans.compiler import compile_query
 from .sources.tables import OFFSETS, tpch_graph
-from .streaming import traces
+from .streaming import traces, upserts
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -603,6 +605,33 @@ def _(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.identifier_tokens(joined, expand=False).alias("tokens"))
 
 
+# streams
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(_table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@_operator("streamed_upserts", "select o_custkey as id, 'Customer' as label, 'c' || o_custkey as qualified_name from orders group by o_custkey")
+def _(spark, sf_dir):
+    key = F.col("o_custkey")
+    changes = _stream(spark, sf_dir, "orders").select(key.alias("id"), F.lit("p").alias("project"), F.lit("Customer").alias("label"), F.lit("").alias("name"), F.concat(F.lit("c"), key.cast("string")).alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("{}").alias("properties"))
+    base = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex[:12]}"
+    table = upserts.node_table(spark, f"{base}/nodes")
+    upserts.stream_nodes(changes, table, f"{base}/checkpoint").awaitTermination()
+    return table.read().select("id", "label", "qualified_name")
+
+
+@_operator("streamed_span_windows", "select event_type as path, time_bucket(interval 1 day, ts) as window_start, count(*) as spans from events group by all")
+def _(spark, sf_dir):
+    spans = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("GET").alias("method"), F.col("event_type").alias("path"), F.lit("200").alias("status"), F.col("value").alias("duration_ns"))
+    out = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex[:12]}"
+    found = traces.windows(spans, "1 day")
+    sink = found.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
+    sink.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("path", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "spans")
+
+
 def queries() -> dict[str, Run]:
     return dict(_RUNS)
 

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import hunk
 
-#: A commit's line in captured logs: git log --name-only --format='commit:%H %ct'.
-COMMIT = r"^commit:([0-9a-f]+) ([0-9]+)$"
-
-
 def commits(spark: SparkSession, path: str) -> DataFrame:
-    """commit_id, ts, file from captured logs. Logs are cut at their commits as they are
+    """commit_id, ts, file from captured logs (git log --name-only --format='commit:%H %ct').
+    Logs are cut at their commits as they are
     read, so that a log of any length is read in parallel."""
     lines = spark.read.option("lineSep", "\ncommit:").text(path).select(F.regexp_replace("value", "^commit:", "").alias("value"))
     rows = lines.select(F.split("value", "\n").alias("l"))
