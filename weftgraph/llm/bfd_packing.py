@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import binary_array, small_batches
+from .common import small_batches
 from .tokens import byte_bpe, default_vocabulary
 
 ROW_IDS = 2048

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -59,20 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of written() frames that nothing reads any more."""
-    base = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        name = folder.rpartition("/")[2]
-        if jvm.org.apache.hadoop.fs.Path(f"{base}/{name}").toUri().getPath() == path.toUri().getPath():
-            path.getFileSystem(conf).delete(path, True)
+    """Deletes the files of frames from written() that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in frames:
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -125,9 +121,3 @@ def odd_words(seed: int, n: int) -> np.ndarray:
     """n fixed pseudo-random odd 64-bit words."""
     with np.errstate(over="ignore"):
         return mix64(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
-
-
-def chunked(items: Iterable, n: int) -> Iterator[list]:
-    it = iter(items)
-    while part := list(itertools.islice(it, n)):
-        yield part

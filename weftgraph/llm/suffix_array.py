@@ -437,7 +437,7 @@ def _apply(with_text: bool):
         out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
         for name, text in zip(texts.column("id").to_pylist(), texts.column("text"), strict=True):
             raw = (text.as_py() or "").encode()
-            a, b = np.searchsorted(ids, [name, name + 1] if name != NO_DOC else [name, name]) if name != NO_DOC else (np.searchsorted(ids, name), len(ids))
+            a, b = np.searchsorted(ids, name), np.searchsorted(ids, name, side="right")
             turn = _spans(starts[a:b], masks[a:b])
             kept = b"".join(raw[x:y] for x, y in zip([0, *turn[1::2]], [*turn[::2], len(raw)], strict=True))
             out["id"].append(name)
@@ -454,7 +454,7 @@ def _apply(with_text: bool):
 
 
 def _group_of(groups: int):
-    """The same as in _passages, in SQL terms it would be a column of its own."""
+    """Adds to each text the group to which _passages sends what is removed from it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
