@@ -138,6 +138,12 @@ def test_rows_are_the_documents_again(spark):
     assert used > 0.9 * most * len(packed)
 
 
+def test_written_rows(spark, tmp_path):
+    rows = bfd_packing.pack_rows(frame(spark), 512)
+    bfd_packing.write_rows(rows, f"{tmp_path}/rows")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/rows").select("sequence_id", "ids").collect())) == sorted(map(tuple, rows.select("sequence_id", "ids").collect()))
+
+
 def test_best_fit_decreasing_by_hand():
     assert bfd_packing.place(np.array([3, 7, 5, 2, 6]), 10) == [[1, 0], [4], [2, 3]] or bfd_packing.place(np.array([3, 7, 5, 2, 6]), 10) == [[1, 0], [4, 3], [2]]
     assert bfd_packing.place(np.array([], np.int64), 10) == []

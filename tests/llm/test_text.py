@@ -110,6 +110,12 @@ def test_neighbours_against_a_sorted_list(spark, monkeypatch, range_rows):
         assert x.near_edited == pytest.approx(like(prints[0], prints[1])) and x.near_next == pytest.approx(like(prints[0], prints[2]))
 
 
+def test_fingerprints_of_documents(spark):
+    rows = corpus(20)
+    got = {r.doc_id: r for r in winnowing.fingerprint_documents(with_clashes(frame(spark, rows))).collect()}
+    assert {k: (r.n_chars, r.fingerprint) for k, r in got.items()} == {r[0]: (len(r[1] or ""), winnowing.encode(*map(np.array, winnow_by_force(r[1] or "")))) for r in rows}
+
+
 def test_neighbours_of_odd_tables(spark):
     assert winnowing.compare_neighbours(frame(spark, [])).count() == 0
     one = winnowing.compare_neighbours(frame(spark, [(4, "abcdef", None, None, 6)])).collect()
