@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, small_batches, text_bytes
 
@@ -138,19 +139,17 @@ def train(labelled: DataFrame, train_per_language: int = TRAIN_PER_LANGUAGE, tra
 
 
 def _scorer(model: SpectrumModel):
+    """Column text first; adds the best language and its score before the other columns."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(model.languages, dtype=object)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            best, score = [], []
+            data, offsets = text_bytes(batch.column(0))
+            best, score = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
             for a, b in blocks(offsets, SCORED_BYTES):
                 s = model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                best.append(s.argmax(axis=1))
-                score.append(np.clip((s.max(axis=1) + 1) / 2, 0.0, 1.0))
-            names = np.array(model.languages, dtype=object)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[np.concatenate(best)] if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), *batch.columns[2:]],
-                names=batch.schema.names[:1] + ["lang_pred", "score"] + batch.schema.names[2:],
-            )
+                best[a:b], score[a:b] = s.argmax(axis=1), np.clip((s.max(axis=1) + 1) / 2, 0.0, 1.0)
+            yield pa.RecordBatch.from_arrays([pa.array(names[best], pa.string()), pa.array(score), *batch.columns[1:]], names=["_lang_pred", "_score", *batch.schema.names[1:]])
 
     return run
 
@@ -159,15 +158,23 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: SpectrumModel | None) -> DataFrame:
-    """doc_id, lang_pred and score for every row; und and 0.0 where the text is null
-    or has no letter, or nothing was learned. Other columns don't matter."""
+def score_rows(docs: DataFrame, model: SpectrumModel | None, kept: list[str]) -> DataFrame:
+    """The kept columns of every row, and _lang_pred and _score: und and 0.0 where the text
+    is null or has no letter, or nothing was learned."""
+    unknown = (F.lit(UNDETERMINED).alias("_lang_pred"), F.lit(0.0).alias("_score"))
     if model is None:
-        return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*unknown, *kept)
     small_batches(docs.sparkSession)
-    marked = docs.select("doc_id", "text", has_letter(F.col("text")).alias("lettered"))
-    found = marked.mapInArrow(_scorer(model), "doc_id bigint, lang_pred string, score double, lettered boolean")
-    return found.select("doc_id", F.when(F.col("lettered"), F.col("lang_pred")).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
+    marked = docs.select(F.col("text").alias("_text"), has_letter(F.col("text")).alias("_lettered"), *kept)
+    schema = T.StructType([T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), *marked.schema.fields[1:]])
+    found = marked.mapInArrow(_scorer(model), schema)
+    lettered = F.col("_lettered")
+    return found.select(F.when(lettered, F.col("_lang_pred")).otherwise(unknown[0]).alias("_lang_pred"), F.when(lettered, F.col("_score")).otherwise(unknown[1]).alias("_score"), *kept)
+
+
+def predict(docs: DataFrame, model: SpectrumModel | None) -> DataFrame:
+    """doc_id, lang_pred and score for every row. Other columns don't matter."""
+    return score_rows(docs, model, ["doc_id"]).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -183,6 +190,7 @@ def identify(docs: DataFrame, **bounds: int) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **bounds: int) -> DataFrame:
-    """docs without the rows whose language can't be told; columns unchanged."""
-    rejected = identify(docs, **bounds).where(F.col("lang_pred") == UNDETERMINED).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose language can't be told; columns unchanged. Rows are
+    scored where they are read, and none is shuffled."""
+    model = train(docs.where(~held_out(F.col("doc_id"))), **bounds)
+    return score_rows(docs, model, docs.columns).where(F.col("_lang_pred") != UNDETERMINED).select(*docs.columns)
