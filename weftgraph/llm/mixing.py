@@ -142,7 +142,8 @@ class Mix:
 def mixed_documents(docs: DataFrame, seed: int = 17, block: int | None = None) -> DataFrame:
     """The mix as rows with the columns of docs, in the order of the schedule. A
     document comes as often as the schedule takes it, cut at the words where its
-    turns begin and end: all of it where all its blocks are taken equally often."""
+    turns begin and end: all of it where all its blocks are taken equally often. Rows
+    that share a doc_id each come as often as all of them together."""
     mix = Mix(docs, seed, block)
     p = mix.pieces().select("doc_id", "s", "at", "skip", "words", "first", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
     runs = p.groupBy("doc_id", "s", "at", "turn").agg(F.min("skip").alias("_skip"), F.sum("words").alias("_words"), F.min("first").alias("_first"), F.max("turn").alias("_turn"))

@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,15 +121,16 @@ ANCHORED = "bucket int, block bigint, hashes binary, times binary, ids binary, c
 
 def _anchor_rows(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 32
         for batch in batches:
             names = _ids(batch.column(0))
             data, offsets = text_bytes(batch.column(1))
             for a, b in blocks(offsets):
+                key += 1
                 at = offsets[a : b + 1] - offsets[a]
                 row, _, _, gram = anchors(data[offsets[a] : offsets[b]], at)
                 if not len(row):
                     continue
-                key = int(mix64(np.array([names[a]], np.int64).view(U64) + U64(b - a)).view(np.int64)[0])
                 where = _bucket_of(gram, buckets)
                 low = gram.astype(np.uint32)
                 # a block sends each hash once, however often it has it
