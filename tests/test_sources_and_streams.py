@@ -126,3 +126,31 @@ def test_engine(spark, tmp_path):
 def test_entry_without_the_llm_folders(tmp_path):
     code = "import sys; sys.modules['weftgraph.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run(["python", "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_index_of_a_folder(spark, tmp_path):
+    from weftgraph.indexing import index_repository
+
+    code = {
+        "app/base.py": "class Base:\n    def run(self):\n        return 0\n",
+        "app/core.py": "from app.base import Base\nfrom app.util import helper\n\nclass Core(Base):\n    def run(self):\n        return helper(1)\n",
+        "app/util.py": "def helper(x):\n    return x\n\ndef unused():\n    return helper(2)\n",
+        "tests/test_core.py": "from app.util import helper\n\ndef test_helper():\n    assert helper(1) == 1\n",
+        "web/page.js": "function go() { helper() }\n",
+    }
+    for name, text in code.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    e = index_repository(spark, str(tmp_path), "proj")
+    rows = lambda q: sorted(tuple(r) for r in e.query_graph(q).collect())
+    assert rows("MATCH (a)-[:CALLS]->(b) RETURN a.qualified_name, b.qualified_name") == [("app.core.Core.run", "app.util.helper"), ("app.util.unused", "app.util.helper"), ("tests.test_core.test_helper", "app.util.helper")]
+    assert rows("MATCH (a)-[r:CALLS]->(b) WHERE r.strategy = 'import_map' RETURN a.name") == [("run",), ("test_helper",)]
+    assert rows("MATCH (a)-[:INHERITS]->(b) RETURN a.name, b.name") == [("Core", "Base")]
+    assert rows("MATCH (a)-[:OVERRIDE]->(b) RETURN a.qualified_name, b.qualified_name") == [("app.core.Core.run", "app.base.Base.run")]
+    assert rows("MATCH (a)-[:TESTS]->(b) RETURN a.name, b.name") == [("test_helper", "helper")]
+    assert rows("MATCH (p:Project)-[:CONTAINS_FOLDER]->(f) RETURN f.name") == [("app",), ("tests",), ("web",)]
+    assert rows("MATCH (f:Folder {name: 'app'})-[:CONTAINS_FILE]->(x) RETURN x.name") == [("base.py",), ("core.py",), ("util.py",)]
+    assert rows("MATCH (c:Class)-[:DEFINES_METHOD]->(m) RETURN c.name, m.name") == [("Base", "run"), ("Core", "run")]
+    assert {r.name for r in e.dead_code().collect()} == {"unused", "test_helper"}
+    assert {r.name for r in e.trace_path("helper")["callers"].collect()} == {"run", "unused", "test_helper"}
+    assert {r.file_path for r in e.search_code("helper")["results"].collect()} >= {"app/util.py", "app/core.py"}
