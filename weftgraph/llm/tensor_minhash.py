@@ -47,7 +47,7 @@ PERCENT = 85
 M, T = 10, 3
 
 #: Nodes of a block of those that share a band.
-BLOCK_NODES = 1024
+BLOCK_NODES = 256
 
 #: Documents confirmed against one node by one task, and nodes of a chunk of a family.
 CONFIRMED_ROWS = 512
