@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from weftgraph.llm import dp_packing, exact_dedup, mixing, string_kernel, tensor_minhash
 from weftgraph.llm.common import written
 
+#: Similarity of near-duplicates, in percent; op4's own is higher.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -25,7 +28,7 @@ def drop_exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the one with the smallest doc_id stays."""
-    return tensor_minhash.drop_near_duplicates(docs)
+    return tensor_minhash.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

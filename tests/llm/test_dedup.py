@@ -113,6 +113,23 @@ def test_near_dedup_of_odd_tables(spark):
     assert got == sorted([(None, 2, None, True), (4, 2, 4, True), (4, 2, 4, True), (7, 2, 4, False), (9, 0, 9, True), (8, 0, 8, True)], key=str)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_are_found(percent):
+    """20,000 pairs of just the similarity: who meets in a table and has alike sketches."""
+    m, need = tensor_minhash.search(percent)
+    rng = np.random.default_rng(7)
+    common, own = 2 * percent // 5, (100 - percent) // 5  # of 2 * 20 shingles of a union
+    missed = 0
+    for _ in range(20):
+        words = rng.integers(0, 2**63, (1000, common + 2 * own), dtype=np.uint64)
+        x = tensor_minhash.minhashes([np.unique(w[: common + own]) for w in words], m)
+        y = tensor_minhash.minhashes([np.unique(np.concatenate([w[:common], w[common + own :]])) for w in words], m)
+        agree = tensor_minhash.bands(x) == tensor_minhash.bands(y)
+        met = agree[:, :m].any(axis=1) & agree[:, m:].any(axis=1)
+        missed += int((~met | ((x.astype(np.uint8) == y.astype(np.uint8)).sum(axis=1) < need)).sum())
+    assert missed <= 14  # 5 are expected
+
+
 def test_links_by_matrix_are_those_by_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)

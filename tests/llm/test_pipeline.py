@@ -67,3 +67,13 @@ def test_run_on_an_empty_table(spark, tmp_path):
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_near_dedup_stage_takes_copies_from_80_percent(spark, tmp_path):
+    rows = corpus(150)
+    first = {}
+    for r in sorted(r for r in rows if r[1] and any(c.isalpha() for c in r[1])):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
+    want = {x[0] for x in near_by_force(list(first.values()), 80) if x[3]}
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, list(first.values())), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == want and len(kept) == len(want)

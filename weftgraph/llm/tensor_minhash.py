@@ -27,7 +27,9 @@ holds more than a block of a bucket.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,8 +45,12 @@ WORDS = 5
 #: Similarity as 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
-#: Bands in a collection, and minhashes in a band.
-M, T = 10, 3
+#: Minhashes in a band.
+T = 3
+
+#: Chances with which a pair of just the percentage asked for may meet in no table, and
+#: may have sketches that seem too unlike.
+MISSED, UNLIKE = 1.5e-4, 1.1e-4
 
 #: Nodes of a block of those that share a band.
 BLOCK_NODES = 256
@@ -55,10 +61,6 @@ CONFIRMED_ROWS = 512
 #: Shingles of a matrix.
 MATRIX_COLUMNS = 4096
 
-#: Share of equal sketch bytes below which a pair can't be similar enough, but for
-#: chances of about one in ten thousand.
-SKETCH_SHARE = 0.66
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,9 +70,21 @@ _BYTE[_SPACE] = 0
 _BYTE = _BYTE[_LOWER]
 _PLACE = odd_words(202, 1 << 12)
 _WORD = odd_words(303, WORDS)
-_HASH = odd_words(404, 2 * M * T)
-_FLIP = odd_words(505, 2 * M * T)
-_BAND = odd_words(606, 2 * M)
+
+
+@functools.cache
+def search(percent: int) -> tuple[int, int]:
+    """M, the bands in a collection, and the number of equal sketch bytes below which
+    a pair can't be similar enough: as few bands and as many bytes as MISSED and UNLIKE
+    allow."""
+    p = percent / 100
+    m = 1
+    while 2 * (1 - p**T) ** m > MISSED:
+        m += 1
+    n, need, below = 2 * m * T, 0, 0.0
+    while need < n and (below := below + math.comb(n, need) * p**need * (1 - p) ** (n - need)) <= UNLIKE:
+        need += 1
+    return m, need
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,23 +125,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
+def minhashes(sets: list[np.ndarray], m: int) -> np.ndarray:
     """Rows x 2 M T; sets must not be empty."""
+    flips, words = odd_words(505, 2 * m * T), odd_words(404, 2 * m * T)
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    out = np.empty((len(sets), len(_HASH)), U64)
+    out = np.empty((len(sets), len(words)), U64)
     with np.errstate(over="ignore"):
-        for k in range(len(_HASH)):
-            out[:, k] = np.minimum.reduceat((flat ^ _FLIP[k]) * _HASH[k], at)
+        for k in range(len(words)):
+            out[:, k] = np.minimum.reduceat((flat ^ flips[k]) * words[k], at)
     return out
 
 
 def bands(values: np.ndarray) -> np.ndarray:
     """Rows x 2 M keys of the bands; the first M are the first collection."""
-    out = np.empty((len(values), 2 * M), U64)
+    keys = odd_words(606, values.shape[1] // T)
+    out = np.empty((len(values), len(keys)), U64)
     with np.errstate(over="ignore"):
-        for k in range(2 * M):
-            h = np.full(len(values), _BAND[k], U64)
+        for k in range(len(keys)):
+            h = np.full(len(values), keys[k], U64)
             for t in range(T):
                 h = mix64(h ^ values[:, k * T + t])
             out[:, k] = h
@@ -137,37 +153,40 @@ def bands(values: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        for a, b in blocks(offsets):
-            sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys: list = [None] * len(sets)
-            lists: list = [None] * len(sets)
-            sketches: list = [None] * len(sets)
-            if full:
-                values = minhashes([sets[i] for i in full])
-                for i, row, v in zip(full, bands(values).view(np.int64), values.astype(np.uint8), strict=True):
-                    keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    lists[i] = row
-                    sketches[i] = v.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), binary_array(keys), pa.array(lists, pa.list_(pa.int64())), binary_array(sketches)],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
-            )
+def _sign(m: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in blocks(offsets):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                full = [i for i, s in enumerate(sets) if len(s)]
+                keys: list = [None] * len(sets)
+                lists: list = [None] * len(sets)
+                sketches: list = [None] * len(sets)
+                if full:
+                    values = minhashes([sets[i] for i in full], m)
+                    for i, row, v in zip(full, bands(values).view(np.int64), values.astype(np.uint8), strict=True):
+                        keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                        lists[i] = row
+                        sketches[i] = v.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), binary_array(keys), pa.array(lists, pa.list_(pa.int64())), binary_array(sketches)],
+                    names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                )
+
+    return run
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, m: int) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), the
     keys of the bands and the sketch (a byte of each minhash)."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sign, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(_sign(m), SIGNED)
 
 
-def tables(nodes: DataFrame) -> DataFrame:
+def tables(nodes: DataFrame, m: int) -> DataFrame:
     """key, node: the tables' entries with at least two nodes. nodes: node, bands."""
-    keys = nodes.select("node", F.posexplode("bands").alias("i", "h")).select("node", (F.col("i") >= M).alias("second"), "h")
+    keys = nodes.select("node", F.posexplode("bands").alias("i", "h")).select("node", (F.col("i") >= m).alias("second"), "h")
     shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     sides = keys.join(shared, "h").groupBy("node").agg(F.collect_list(F.when(~F.col("second"), F.col("h"))).alias("a"), F.collect_list(F.when(F.col("second"), F.col("h"))).alias("b"))
     pairs = sides.select("node", "b", F.explode("a").alias("x")).select("node", "x", F.explode("b").alias("y"))
@@ -221,7 +240,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return laid.mapInArrow(_confirm(percent), "u bigint, v bigint")
 
 
-def _alike(share: float):
+def _alike(m: int, need: int):
     def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """Rows with equal h, a and b together: asks, node, comp, bands, sketch."""
         held: list[tuple] = []
@@ -233,8 +252,8 @@ def _alike(share: float):
             key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             rows = (
                 *(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)),
-                batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * M),
-                np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, 2 * M * T),
+                batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * m),
+                np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, 2 * m * T),
             )
             change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
             for s, e in zip([0, *change], [*change, n], strict=True):
@@ -251,13 +270,12 @@ def _alike(share: float):
         """Columns h, a, b, asks, node, comp, bands, sketch; yields pairs u > v."""
         out: list[np.ndarray] = []
         size = 0
-        need = int(np.ceil(share * 2 * M * T))
         for asks, node, comp, keys, raw in groups(batches):
             base = np.flatnonzero(~asks)
             for i in np.flatnonzero(asks):
                 j = base[comp[base] != comp[i]]
                 agree = keys[j] == keys[i]
-                j = j[agree[:, :M].any(axis=1) & agree[:, M:].any(axis=1)]  # they meet in a table
+                j = j[agree[:, :m].any(axis=1) & agree[:, m:].any(axis=1)]  # they meet in a table
                 j = j[(raw[j] == raw[i]).sum(axis=1) >= need]
                 if len(j):
                     out.append(np.stack([np.maximum(node[j], node[i]), np.minimum(node[j], node[i])]))
@@ -273,7 +291,7 @@ def _alike(share: float):
     return run
 
 
-def alike_across(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+def alike_across(nodes: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """u, v: the pairs of nodes of different components (or families, as given) that meet in
     a table and whose sketches are alike. nodes: node, bands, sketch.
 
@@ -281,8 +299,9 @@ def alike_across(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     of the second, too, is seen there, so that the tables' pairs of keys needn't be laid
     out again. Of each group the nodes outside its largest component ask all its nodes,
     in blocks against blocks."""
+    m, need = search(percent)
     named = nodes.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bands", "sketch")
-    rows = named.select("node", "comp", F.explode(F.slice("bands", 1, M)).alias("h"))
+    rows = named.select("node", "comp", F.explode(F.slice("bands", 1, m)).alias("h"))
     parts = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"))
     per = parts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "comp")).alias("main")).where("c > 1")
     per = per.select("h", "n", (F.col("n") - F.col("main.n")).alias("k"), F.col("main.comp").alias("main"))
@@ -295,7 +314,7 @@ def alike_across(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     asked = F.transform(across("na"), lambda a: F.struct(a.alias("a"), theirs.alias("b"), F.lit(False).alias("asks")))
     laid = opened.select("h", F.explode(F.concat(asking, asked)).alias("x"), "node", "comp", "bands", "sketch").select("h", "x.a", "x.b", "x.asks", "node", "comp", "bands", "sketch")
     laid = laid.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
-    return laid.mapInArrow(_alike(SKETCH_SHARE), "u bigint, v bigint").distinct()
+    return laid.mapInArrow(_alike(m, need), "u bigint, v bigint").distinct()
 
 
 def _confirm_blocks(percent: int):
@@ -464,12 +483,13 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    signed = written(sign(docs), "signed")
+    m, need = search(percent)
+    signed = written(sign(docs, m), "signed")
     known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     sets = written(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
     nodes = known.select(F.col("doc_id").alias("node"), "set_key", "bands", "sketch").join(sets, ["node", "set_key"])
     nodes = written(nodes.select("node", "bands", "sketch"), "nodes")
-    entries = written(tables(nodes), "tables")
+    entries = written(tables(nodes, m), "tables")
 
     leads = entries.groupBy("key").agg(F.min("node").alias("v"))
     first = entries.join(leads, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"))
@@ -478,13 +498,13 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").hint("merge"), "node").dropDuplicates(["node"]), "texts")
     forget(spark, nodes)
 
-    tried = written(_alike_enough(first, met.select("node", "sketch")), "tried")
+    tried = written(_alike_enough(first, met.select("node", "sketch"), m, need), "tried")
     forget(spark, entries)
     families = components(tried)
     links = written(confirm(tried, texts, percent), "links")
     links = links.union(written(within_families(families, components(links), met, texts, percent), "links"))
     comps = components(links)
-    across = written(alike_across(met, families), "across")
+    across = written(alike_across(met, families, percent), "across")
     if not across.isEmpty():
         links = links.union(written(confirm_in_blocks(across, comps, families, texts, percent), "links"))
         comps = components(links)
@@ -496,13 +516,13 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _alike_enough(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _alike_enough(pairs: DataFrame, sketches: DataFrame, m: int, need: int) -> DataFrame:
     """The pairs whose sketches have enough equal bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 2 * M * T) for i in (2, 3))
-            good = pa.array((x == y).sum(axis=1) >= SKETCH_SHARE * 2 * M * T)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 2 * m * T) for i in (2, 3))
+            good = pa.array((x == y).sum(axis=1) >= need)
             yield batch.filter(good).select(["u", "v"])
 
     s = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x"))
