@@ -210,6 +210,18 @@ def test_repeats_of_odd_tables(spark):
     assert [x for x in got if x[0] != 2] == [(1, 60, 0), (3, 60, 60), (3, 60, 60)] and [x[:2] for x in got if x[0] == 2] == [(2, 0), (2, 5), (2, 61)]
 
 
+@pytest.mark.parametrize("hot", [1 << 17, 3])
+def test_every_text_of_a_doc_id_is_judged_and_searched(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_array, "HOT_ANCHORS", hot)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, None, r[0] % 40, r[0]]), *r[1:]) for r in corpus(60, 5)]
+    assert len({r[1] for r in rows if r[0] is None}) > 10
+    got = suffix_array.remove_repeats(frame(spark, rows)).collect()
+    want = passages_by_force([(2**63 if r[0] is None else r[0], *r[1:]) for r in rows])
+    assert len(got) == len(rows)
+    assert {(2**63 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 @given(st.lists(st.text("ab", min_size=50, max_size=84), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_two_stage_order(texts):

@@ -198,69 +198,69 @@ def _by_document(key: tuple, table: pd.DataFrame, flags: pd.DataFrame) -> pd.Dat
     return pd.DataFrame(out).astype({"id": "int64", "n": "int64"})
 
 
-SEGMENTS = "bucket int, ids binary, starts binary, counts binary, text binary"
+SEGMENTS = "bucket int, ids binary, keys binary, starts binary, counts binary, text binary"
 
 
 def _flagged(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns id, text, n, bits, hot; by block: ids, text, offsets, and of the repeated
-    anchors row, start, count, hash and whether they are hot."""
-    names = _ids(batch.column(0))
-    data, offsets = text_bytes(batch.column(1))
-    sizes, bits, hot = batch.column(2).to_pylist(), batch.column(3), batch.column(4)
+    """Columns id, key, text, n, bits, hot; by block: ids, keys, text, offsets, and of the
+    repeated anchors row, start, count, hash and whether they are hot."""
+    names, keys = _ids(batch.column(0)), _ids(batch.column(1))
+    data, offsets = text_bytes(batch.column(2))
+    sizes, bits, hot = batch.column(3).to_pylist(), batch.column(4), batch.column(5)
     for a, b in blocks(offsets):
         at = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
         row, start, count, gram = anchors(part, at)
         use = np.concatenate([np.unpackbits(np.frombuffer(bits[i].as_py(), np.uint8), count=sizes[i]) for i in range(a, b)]).astype(bool)
         much = np.concatenate([np.unpackbits(np.frombuffer(hot[i].as_py() or b"\0" * (sizes[i] // 8 + 1), np.uint8), count=sizes[i]) for i in range(a, b)]).astype(bool)
-        yield names[a:b], part, at, row[use], start[use], count[use], gram[use], much[use]
+        yield names[a:b], keys[a:b], part, at, row[use], start[use], count[use], gram[use], much[use]
 
 
 def _hot_passages():
-    """The passages of hot anchors, one by one: text of the passage, id, start."""
+    """The passages of hot anchors, one by one: text of the passage, id, key, start."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, part, at, row, start, count, _, hot in _flagged(batch):
+            for names, keys, part, at, row, start, count, _, hot in _flagged(batch):
                 row, start, count = row[hot], start[hot], count[hot]
                 if not len(row):
                     continue
                 owner = np.repeat(row, count)
                 first = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays([binary_array(raw[i : i + PASSAGE] for i in first.tolist()), pa.array(names[owner]), pa.array(first - at[owner])], names=["passage", "id", "start"])
+                yield pa.RecordBatch.from_arrays([binary_array(raw[i : i + PASSAGE] for i in first.tolist()), pa.array(names[owner]), pa.array(keys[owner]), pa.array(first - at[owner])], names=["passage", "id", "key", "start"])
 
     return run
 
 
 def _hot_found(groups: int):
-    """Columns id, start of removed passages, as rows of FOUND."""
+    """Columns key, start of removed passages, as rows of FOUND."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            group = (mix64(ids.view(U64)) % U64(groups)).astype(np.int64)
-            out = [(k, ids[i].tobytes(), starts[i].astype(np.uint32).tobytes(), np.ones(len(i), U64).tobytes()) for k, i in _split(group)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *[binary_array(x[j] for x in out) for j in (1, 2, 3)]], names=["grp", "ids", "starts", "masks"])
+            keys, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            group = (mix64(keys.view(U64)) % U64(groups)).astype(np.int64)
+            out = [(k, keys[i].tobytes(), starts[i].astype(np.uint32).tobytes(), np.ones(len(i), U64).tobytes()) for k, i in _split(group)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *[binary_array(x[j] for x in out) for j in (1, 2, 3)]], names=["grp", "keys", "starts", "masks"])
 
     return run
 
 
-def _segment_rows(buckets: int):
-    """Columns id, text, n, bits, hot."""
+def _segment_rows(buckets: int, several: bool):
+    """Columns id, key, text, n, bits, hot. Keys are sent where they aren't the ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, part, at, row, start, count, gram, hot in _flagged(batch):
+            for names, keys, part, at, row, start, count, gram, hot in _flagged(batch):
                 row, start, count, gram = row[~hot], start[~hot], count[~hot], gram[~hot]
                 padded = np.concatenate([part, np.zeros(SEGMENT, np.uint8)])
                 out = []
                 for k, i in _split(_bucket_of(gram, buckets)):
                     matrix = padded[start[i, None] + np.arange(SEGMENT)]
                     inside = np.arange(SEGMENT) < count[i, None] + (PASSAGE - 1)
-                    out.append((k, names[row[i]].tobytes(), (start[i] - at[row[i]]).astype(np.uint32).tobytes(), count[i].astype(np.uint8).tobytes(), matrix[inside].tobytes()))
+                    out.append((k, names[row[i]].tobytes(), keys[row[i]].tobytes() if several else None, (start[i] - at[row[i]]).astype(np.uint32).tobytes(), count[i].astype(np.uint8).tobytes(), matrix[inside].tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[binary_array(x[j] for x in out) for j in range(1, 5)]], names=["bucket", "ids", "starts", "counts", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[binary_array(x[j] for x in out) for j in range(1, 6)]], names=["bucket", "ids", "keys", "starts", "counts", "text"])
 
     return run
 
@@ -392,9 +392,10 @@ def first_documents(matrix: np.ndarray, counts: np.ndarray, docs: np.ndarray) ->
     return out
 
 
-def _passages(groups: int):
+def _passages(groups: int, several: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = np.concatenate([np.frombuffer(x, np.int64) for x in pdf.ids])
+        keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]]) if several else docs
         starts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.starts])
         counts = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf.counts]).astype(np.int64)
         matrix = np.zeros((len(docs), SEGMENT), np.uint8)
@@ -407,14 +408,14 @@ def _passages(groups: int):
         for k in range(SHARED):
             mask |= ((earliest[back, k] < docs) & (counts > k)).astype(U64) << U64(k)
         hit = np.flatnonzero(mask)
-        group = (mix64(docs[hit].view(U64)) % U64(groups)).astype(np.int64)
-        out = [(k, docs[hit[i]].tobytes(), starts[hit[i]].tobytes(), mask[hit[i]].tobytes()) for k, i in _split(group)]
-        return pd.DataFrame(out, columns=["grp", "ids", "starts", "masks"])
+        group = (mix64(keys[hit].view(U64)) % U64(groups)).astype(np.int64)
+        out = [(k, keys[hit[i]].tobytes(), starts[hit[i]].tobytes(), mask[hit[i]].tobytes()) for k, i in _split(group)]
+        return pd.DataFrame(out, columns=["grp", "keys", "starts", "masks"])
 
     return run
 
 
-FOUND = "grp bigint, ids binary, starts binary, masks binary"
+FOUND = "grp bigint, keys binary, starts binary, masks binary"
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>"
 
 
@@ -433,13 +434,13 @@ def _spans(starts: np.ndarray, masks: np.ndarray) -> list[int]:
 
 def _apply(with_text: bool):
     def run(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        ids, starts, masks = (np.concatenate([np.frombuffer(x.as_py(), t) for x in found.column(c)]) if found.num_rows else np.zeros(0, t) for c, t in (("ids", np.int64), ("starts", np.uint32), ("masks", U64)))
-        order = np.argsort(ids, kind="stable")
-        ids, starts, masks = ids[order], starts[order].astype(np.int64), masks[order]
+        keys, starts, masks = (np.concatenate([np.frombuffer(x.as_py(), t) for x in found.column(c)]) if found.num_rows else np.zeros(0, t) for c, t in (("keys", np.int64), ("starts", np.uint32), ("masks", U64)))
+        order = np.argsort(keys, kind="stable")
+        keys, starts, masks = keys[order], starts[order].astype(np.int64), masks[order]
         out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
-        for name, text in zip(texts.column("id").to_pylist(), texts.column("text"), strict=True):
+        for name, mine, text in zip(texts.column("id").to_pylist(), texts.column("key").to_pylist(), texts.column("text"), strict=True):
             raw = (text.as_py() or "").encode()
-            a, b = np.searchsorted(ids, name), np.searchsorted(ids, name, side="right")
+            a, b = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
             turn = _spans(starts[a:b], masks[a:b])
             kept = b"".join(raw[x:y] for x, y in zip([0, *turn[1::2]], [*turn[::2], len(raw)], strict=True))
             out["id"].append(name)
@@ -460,8 +461,8 @@ def _group_of(groups: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((mix64(ids.view(U64)) % U64(groups)).astype(np.int64)), batch.column(1)], names=["id", "grp", "text"])
+            keys = _ids(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((mix64(keys.view(U64)) % U64(groups)).astype(np.int64)), batch.column(2)], names=["id", "key", "grp", "text"])
 
     return run
 
@@ -473,9 +474,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Texts are taken as UTF-8; null counts as empty; passages don't cross documents.
     A null doc_id counts as larger than any other. Rows that repeat one doc_id and
-    text keep what each would keep. Of the texts of a doc_id that has several, the one
-    with the smallest hash is the document; the others stay whole and are compared
-    with nothing. Other columns don't matter; an empty table gives an empty result.
+    text keep what each would keep. Of a doc_id that has several texts each is a document,
+    compared with those of smaller doc_ids and not with one another. Other columns don't matter; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -483,36 +483,29 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     length = F.coalesce(F.octet_length("text"), F.lit(0))
     per = every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("size"), F.min(h).alias("lo"), F.max(h).alias("hi"))
-    several = F.col("lo") != F.col("hi")
-    n, size, doubtful = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(several)).first()
-    pairs, others = every, None
-    if doubtful:
-        marked = every.join(per.where(several).select("id", "lo"), "id", "left")
-        pairs = marked.where(F.col("lo").isNull() | (h == F.col("lo"))).select("id", "text")
-        raw = F.coalesce("text", F.lit("")).cast("binary")
-        others = marked.where(F.col("lo").isNotNull() & (h != F.col("lo"))).select(
-            "id", length.cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), (raw if with_text else F.lit(None).cast("binary")).alias("kept"), F.array().cast("array<bigint>").alias("spans")
-        )
+    n, size, doubtful = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("lo") != F.col("hi"))).first()
+    several = bool(doubtful)
+    # names a text; a hash is needed only where the doc_id doesn't
+    pairs = every.select("id", (F.xxhash64("id", F.coalesce("text", F.lit(""))) if several else F.col("id")).alias("key"), "text")
 
     groups = max(1, -(-n // GROUP_DOCS))
-    marked = written(pairs.mapInArrow(_anchor_rows(max(1, size // ANCHOR_BUCKET)), ANCHORED), "anchors")
+    marked = written(pairs.select("key", "text").mapInArrow(_anchor_rows(max(1, size // ANCHOR_BUCKET)), ANCHORED), "anchors")
     again = marked.where("bucket >= 0").select("bucket", "block", "hashes", "times").groupBy("bucket").applyInPandas(_repeated(HOT_ANCHORS), "bucket int, block bigint, bits binary, hot binary")
     again = written(again, "repeated")
     tables = marked.where("bucket < 0").select("block", "hashes", "ids", "counts", "buckets")
     flags = written(tables.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_by_document, "id bigint, n bigint, bits binary, hot binary"), "flags")
     forget(spark, marked, again)
-    once = flags.dropDuplicates(["id"])
-    flagged = pairs.join(once, "id").select("id", "text", "n", "bits", "hot")
-    segments = flagged.mapInArrow(_segment_rows(max(1, size // SEGMENT_BUCKET)), SEGMENTS)
-    found = written(segments.groupBy("bucket").applyInPandas(_passages(groups), FOUND), "passages")
+    once = flags.withColumnRenamed("id", "key").dropDuplicates(["key"])
+    flagged = pairs.join(once, "key").select("id", "key", "text", "n", "bits", "hot")
+    segments = flagged.mapInArrow(_segment_rows(max(1, size // SEGMENT_BUCKET), several), SEGMENTS)
+    found = written(segments.groupBy("bucket").applyInPandas(_passages(groups, several), FOUND), "passages")
     if not flags.where("hot is not null").isEmpty():
         # no group holds these: each passage is aggregated before it is shuffled
-        hot = flagged.where("hot is not null").mapInArrow(_hot_passages(), "passage binary, id bigint, start bigint")
+        hot = flagged.where("hot is not null").mapInArrow(_hot_passages(), "passage binary, id bigint, key bigint, start bigint")
         least = hot.groupBy("passage").agg(F.min("id").alias("least"))
-        removed = hot.join(least, "passage").where("least < id").select("id", "start")
+        removed = hot.join(least, "passage").where("least < id").select("key", "start")
         found = found.union(written(removed.mapInArrow(_hot_found(groups), FOUND), "hot"))
     forget(spark, flags)
-    placed = pairs.mapInArrow(_group_of(groups), "id bigint, grp bigint, text string")
+    placed = pairs.mapInArrow(_group_of(groups), "id bigint, key bigint, grp bigint, text string")
     out = placed.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_apply(with_text), RESULT)
-    out = out if others is None else out.unionByName(others)
     return out.select(F.when(F.col("id") != NO_DOC, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
