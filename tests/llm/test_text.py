@@ -57,6 +57,25 @@ def test_language_of_odd_tables(spark):
     assert kept.columns == with_clashes(frame(spark)).columns
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    words = _words("en"), _words("fr"), _words("de")
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        n, lang = (40, "en") if i % 3 == 0 else (900, ("fr", "de")[i % 3 - 1])
+        rows.append((None if i % 7 == 0 else i, ("1" * 3000 + " " if n > 40 else "") + " ".join(rng.choice(words[i % 3], n)), lang, None, None))
+    got = string_kernel.identify(frame(spark, rows), train_chars=2000).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
+def test_lettered_documents_stay_where_nothing_is_learned(spark):
+    rows = [(1, "abc", None, None, 3), (2, "123", None, None, 3), (3, None, None, None, None), (None, "été", None, None, 3)]
+    assert {r.doc_id for r in string_kernel.keep_identified(frame(spark, rows)).collect()} == {1, None}
+    long = [(i, "the house " * 3000, "en", None, None) for i in range(8)]
+    assert string_kernel.keep_identified(frame(spark, long)).count() == 8
+
+
 # winnowing
 
 

@@ -14,8 +14,9 @@ presence matrix with [landmarks' vectors x K^(-1/2) x weights]: the products are
 associated from the right, once, as the kernel is linear in presence.
 
 Training uses a bounded sample: at most train_per_language texts of each
-language, those with the smallest hash of doc_id, of at most train_chars
-characters each. Every text is scored whole.
+language, those with the smallest hash of doc_id, first of at most train_chars
+characters; of longer ones so many characters from the first letter on are used.
+Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -127,14 +128,16 @@ def fit(texts: list[str], languages: list[str], landmarks_per_language: int = LA
 
 def train(labelled: DataFrame, train_per_language: int = TRAIN_PER_LANGUAGE, train_chars: int = TRAIN_CHARS) -> SpectrumModel | None:
     """From doc_id, text and lang; None without a labelled text that has a letter."""
-    use = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= train_chars) & F.col("text").rlike(r"\p{L}"))
-    ranked = use.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("r") <= train_per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "r").collect()
+    use = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_t", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "_t")
+    ranked = use.select("doc_id", "lang", "_t", (F.length("text") > train_chars).alias("long"), F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(first))
+    chosen = ranked.where(F.col("r") <= train_per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.col("_t").alias("t"), "r").collect()
     if not chosen:
         return None
-    place = {(x.id, x.l): x.r for x in chosen}
-    rows = use.where(F.col("doc_id").isin([x.id for x in chosen])).select("doc_id", "lang", "text").collect()
-    rows = sorted((place[x.doc_id, x.lang], x.lang, x.text) for x in rows if (x.doc_id, x.lang) in place)
+    place = {(x.id, x.l, x.t): x.r for x in chosen}
+    part = F.when(F.length("text") <= train_chars, F.col("text")).otherwise(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, train_chars))
+    rows = use.where(F.col("_t").isin([x.t for x in chosen])).select("doc_id", "lang", "_t", part.alias("text")).dropDuplicates(["doc_id", "lang", "_t"]).collect()
+    rows = sorted((place[x.doc_id, x.lang, x["_t"]], x.lang, x.text) for x in rows if (x.doc_id, x.lang, x["_t"]) in place)
     return fit([x[2] for x in rows], [x[1] for x in rows])
 
 
@@ -191,6 +194,9 @@ def identify(docs: DataFrame, **bounds: int) -> DataFrame:
 
 def keep_identified(docs: DataFrame, **bounds: int) -> DataFrame:
     """docs without the rows whose language can't be told; columns unchanged. Rows are
-    scored where they are read, and none is shuffled."""
+    scored where they are read, and none is shuffled. Where nothing was learned, those
+    with a letter stay."""
     model = train(docs.where(~held_out(F.col("doc_id"))), **bounds)
+    if model is None:
+        return docs.where(has_letter(F.col("text")))
     return score_rows(docs, model, docs.columns).where(F.col("_lang_pred") != UNDETERMINED).select(*docs.columns)
