@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at once.
 BLOCK_BYTES = 2 << 20
@@ -23,11 +24,14 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder in spark.checkpoint.dir. Only a local master, whose executors are this
+    process, gets a folder of this machine where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
@@ -60,15 +64,72 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    _PATHS.append(path)
     return out
 
 
+#: Folders of written() that are still there, in the order in which they were written.
+_PATHS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+    if path in _PATHS:
+        _PATHS.remove(path)
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files of frames from written() that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
-        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, df.written_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes what written() writes inside, but for the frames that are put into the list
+    it gives: for a step whose result is itself written there."""
+    before, out = set(_PATHS), list(keep)
+    yield out
+    kept = {df.written_at for df in out}
+    for path in [p for p in _PATHS if p not in before and p not in kept]:
+        _delete(spark, path)
+
+
+#: At most so many keys can each have more than the same fraction of all rows.
+HOT_KEYS = 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """rows.join(table, key) for a table with one row a key, with the count of that key's
+    rows among all n. Fewer than HOT_KEYS keys can have more than n / HOT_KEYS rows each;
+    only these are broadcast, so that no task gets all rows of a frequent key."""
+    hot = F.col(count) * HOT_KEYS > n
+    frequent = table.where(hot)
+    rest = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(table.where(~hot), key)
+    return rest.unionByName(rows.join(F.broadcast(frequent), key))
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes, _k1 and _k2, over all columns: rows with equal ones are taken to
+    be equal, in every column. Nulls count by their place."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    values = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t.simpleString() or "variant" in t.simpleString() else F.col(f"`{c}`") for c, t in kinds.items()]
+    empty = [F.col(f"`{c}`").isNull() for c in kinds]
+    return [F.xxhash64(F.lit(i), *values, *empty).alias(f"_k{i}") for i in (1, 2)]
+
+
+def keep_rows(docs: DataFrame, gone: DataFrame, twins: DataFrame) -> DataFrame:
+    """docs without the rows whose keys (_k1, _k2 of row_key) are in gone, and with one of
+    the equal rows for each key in twins; the tables have no key in common."""
+    key = ["_k1", "_k2"]
+    named = docs.select("*", *row_key(docs))
+    if twins.isEmpty():
+        return named.join(gone.select(*key).distinct(), key, "left_anti").select(*docs.columns)
+    rest = named.join(gone.select(*key).union(twins.select(*key)).distinct(), key, "left_anti")
+    once = named.join(twins.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
+    return rest.union(once.select(*rest.columns)).select(*docs.columns)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -32,12 +32,19 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether every node has edges to one smaller node alone, which has none to a smaller
+    one: then nothing is left to do."""
+    inner = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return inner.isEmpty() and e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of links (u, v) that isn't
     the smallest of its own component; written to the shared folder."""
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    mark = _mark(now)
-    while mark[0]:
+    mark = None
+    while not _is_stars(now):
         then, now = now, written(_small_star(_large_star(now)), "links")
         last, mark = mark, _mark(now)
         forget(links.sparkSession, then)
