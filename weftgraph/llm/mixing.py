@@ -10,7 +10,9 @@ any is taken twice.
 Nothing runs in one task for a whole source: documents are shuffled into
 cells by a hash, running totals are taken within a cell and then over the
 cells' sums, and slots are ranked within stretches and then over the
-stretches' counts.
+stretches' counts. A row is named by the hashes of all its columns and its
+number among the rows that are equal to it, so that rows that share a doc_id, or
+have none, are mixed one by one, and equal rows are dealt over all cells.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, written
+from .common import WHITE_SPACE, row_key, written
 
 #: Weights of the sources in code point order, repeating. Fixed values.
 WEIGHTS = (5, 2, 1)
@@ -28,6 +30,10 @@ WEIGHTS = (5, 2, 1)
 #: The mix has this share of all words; a source gives its words so often at most.
 SHARE, MOST = 1.5, 2.0
 
+#: Rows of a part of the table within which equal rows are numbered, and runs of equal
+#: rows that get their text from one copy of it.
+EQUAL_ROWS = 1 << 12
+
 #: Cells of the unit interval by which points meet intervals.
 GRID = 1024
 
@@ -78,24 +84,27 @@ class Mix:
     give, 16 at least and 4096 at most.
 
     Null text has no words, null source is a source of its own and comes last, rows
-    with a null doc_id are mixed like others. Repeated rows are shuffled to
-    neighbouring places, each with its own words. An empty table, or one without
-    words, gives an empty schedule, and documents of which nothing is taken.
+    with a null doc_id are mixed like others. Rows that share a doc_id, or are equal in
+    all columns, have places of their own, each with its own words. An empty table, or one
+    without words, gives an empty schedule, and documents of which nothing is taken.
     """
 
     def __init__(self, docs: DataFrame, seed: int = 17, block: int | None = None):
         spark = docs.sparkSession
-        rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+        named = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row_key(docs))
+        rows = written(named.withColumn("part", F.floor(F.monotonically_increasing_id() / EQUAL_ROWS)), "mix-sizes")
         per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
         self.plan = written(targets(per.select("source", "source_size")).withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1), "mix-plan")
         n, least, total = rows.agg(F.count(F.lit(1))).crossJoin(self.plan.where("target > 0").agg(F.min("target"), F.sum("target"))).first()
         self.block = block or int(min(4096, max(16, (least or 0) / 256)))
         self.slots = int(math.ceil((total or 0) / self.block))
         cells = max(1, math.isqrt(n))  # a cell has as many rows as there are cells
-        h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+        # equal rows are numbered, by parts of the table first; which of them has which number doesn't matter
+        rows = _running(rows.withColumn("one", F.lit(1)), ["_k1", "_k2"], "part", [F.col("doc_id")], "one", "twin").drop("part", "one")
+        h = F.xxhash64(F.col("_k1"), F.col("_k2"), F.col("twin"), F.lit(seed))
         placed = rows.withColumns({"h": h, "cell": F.pmod(F.shiftright(h, 20), F.lit(cells)).cast("int")})
         placed = placed.join(self.plan.select(F.col("source").alias("_s"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        self.places = written(_running(placed, ["s"], "cell", [F.col("h"), F.col("doc_id"), F.col("size")], "size", "at").drop("cell", "h", "source"), "mix-places")
+        self.places = written(_running(placed, ["s"], "cell", [F.col("h"), F.col("_k1"), F.col("_k2"), F.col("twin")], "size", "at").drop("cell", "h", "source"), "mix-places")
         self.spark = spark
 
     def schedule(self) -> DataFrame:
@@ -113,46 +122,72 @@ class Mix:
         return _running(named, ["s"], "stretch", [F.col("slot")], "one", "rank").select("slot", "s", "rank")
 
     def blocks(self) -> DataFrame:
-        """s, block, doc_id, skip, words: block b of source s has words of a document
-        from its word skip on. A document lies in as many blocks as it touches."""
+        """s, block, at, size, skip, words: block b of source s has words of a document
+        from its word skip on, (s, at) names its row. It lies in as many blocks as it touches."""
         b = self.block
         held = self.places.where("size > 0")
         held = held.select("*", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))).alias("b"))
         start, end = F.greatest(F.col("at"), F.col("b") * b), F.least(F.col("at") + F.col("size"), (F.col("b") + 1) * b)
-        return held.select("s", F.col("b").alias("block"), "doc_id", "at", "size", (start - F.col("at")).alias("skip"), (end - start).alias("words"))
+        return held.select("s", F.col("b").alias("block"), "at", "size", (start - F.col("at")).alias("skip"), (end - start).alias("words"))
 
     def taken_blocks(self) -> DataFrame:
-        """s, block, times, first: how often and from which slot on the schedule takes
-        each block; a source never gives a block more than MOST times."""
-        counts = self.plan.select("s", F.ceil(F.col("source_size") / self.block).alias("n"))
-        slots = self.schedule().join(counts, "s").where(F.col("rank") < MOST * F.col("n"))
-        return slots.groupBy("s", F.expr("rank % n").alias("block")).agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("first"))
+        """s, block, times, first, rest: how often and from which slot on the mix takes each
+        block; of rest, where it isn't null, only so many words the last time. A source
+        gives just the words of its target: slots beyond them aren't taken, and those
+        that the schedule leaves out follow behind it."""
+        b, size = self.block, F.col("source_size")
+        words = F.round("target").cast("bigint")
+        counts = self.plan.where("target > 0").select("s", F.ceil(size / b).alias("n"), F.expr("cast(round(target) as bigint) div source_size").alias("passes"), F.pmod(words, size).alias("more"))
+        counts = counts.withColumn("need", F.col("passes") * F.col("n") + F.ceil(F.col("more") / b))
+        schedule = self.schedule()
+        slots = schedule.join(counts, "s").where("rank < need").select("s", "slot", "rank", "n", "more")
+        have = schedule.groupBy("s").agg(F.count(F.lit(1)).alias("have"))
+        late = counts.join(have, "s", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
+        late = late.select("s", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"), "n", "more").select("s", (F.col("rank") + self.slots).alias("slot"), "rank", "n", "more")
+        taken = slots.union(late).groupBy("s", F.expr("rank % n").alias("block")).agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("first"), F.first("more").alias("more"))
+        rest = F.col("more") - F.col("block") * b
+        return taken.withColumn("rest", F.when((rest > 0) & (rest < b), rest)).drop("more")
 
     def pieces(self) -> DataFrame:
-        """s, block, doc_id, at, size, skip, words, times, first: the blocks' words with
-        how often they are taken. (s, at) names one row of docs."""
-        return self.blocks().join(self.taken_blocks(), ["s", "block"])
+        """s, block, at, size, skip, words, times, first, last: the blocks' words with how
+        often they are taken, and how many of them the last time. (s, at) names one row of
+        docs."""
+        p = self.blocks().join(self.taken_blocks(), ["s", "block"])
+        ahead = F.col("at") + F.col("skip") - F.col("block") * self.block  # words of the block before these
+        last = F.greatest(F.lit(0), F.least("words", F.coalesce("rest", F.lit(self.block)) - ahead))
+        return p.withColumn("last", last).drop("rest")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for every row of docs."""
-        sums = self.pieces().groupBy("s", "at", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        sums = self.pieces().groupBy("s", "at", "size").agg(F.sum(F.col("words") * (F.col("times") - 1) + F.col("last")).alias("taken"))
         return self.places.join(sums.where("size > 0"), ["s", "at", "size"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, block: int | None = None) -> DataFrame:
     """The mix as rows with the columns of docs, in the order of the schedule. A
     document comes as often as the schedule takes it, cut at the words where its
-    turns begin and end: all of it where all its blocks are taken equally often. Rows
-    that share a doc_id each come as often as all of them together."""
+    turns begin and end: all of it where all its blocks are taken equally often. So does
+    each of several rows that share a doc_id, have none, or are equal in all columns."""
     mix = Mix(docs, seed, block)
-    p = mix.pieces().select("doc_id", "s", "at", "skip", "words", "first", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
-    runs = p.groupBy("doc_id", "s", "at", "turn").agg(F.min("skip").alias("_skip"), F.sum("words").alias("_words"), F.min("first").alias("_first"), F.max("turn").alias("_turn"))
-    runs = runs.join(mix.places.select("s", "at", "size"), ["s", "at"]).where("size > 0")
-    runs = runs.select(F.col("doc_id").alias("_id"), "_skip", "_words", "_first", "_turn", F.col("size").alias("_size"))
-    whole = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")))
+    p = mix.pieces().select("s", "at", "skip", "words", "first", "last", "times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
+    p = p.withColumn("words", F.when(F.col("turn") < F.col("times"), F.col("words")).otherwise(F.col("last"))).where("words > 0")
+    runs = p.groupBy("s", "at", "turn").agg(F.min("skip").alias("_skip"), F.sum("words").alias("_words"), F.min("first").alias("_first"), F.max("turn").alias("_turn"))
+    runs = runs.join(mix.places.where("size > 0").select("s", "at", "size", "_k1", "_k2", "twin"), ["s", "at"])
+    runs = runs.select("_k1", "_k2", F.expr(f"cast(twin div {EQUAL_ROWS} as int)").alias("_salt"), "_skip", "_words", "_first", "_turn", F.col("size").alias("_size"))
+    key = ["_k1", "_k2"]
+    named = docs.select("*", *row_key(docs))
+    most = mix.places.agg(F.max("twin")).first()[0] or 0
+    if most:
+        named = named.dropDuplicates(key)
+    whole = named.join(runs.where("_salt = 0").drop("_salt"), key)
+    if most >= EQUAL_ROWS:  # a text that very many rows have is copied for every so many of them
+        salted = runs.where("_salt > 0")
+        tops = salted.groupBy(*key).agg(F.max("_salt").alias("_top"))
+        copies = named.join(tops, key).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.col("_top")))).drop("_top")
+        whole = whole.unionByName(copies.join(salted, [*key, "_salt"]).drop("_salt"))
     word = rf"[^{WHITE_SPACE}]+[{WHITE_SPACE}]*"
     part = F.expr(f"array_join(slice(regexp_extract_all(text, '{word}', 0), cast(_skip + 1 as int), cast(_words as int)), '')".replace("\\", "\\\\"))
     text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part)
     ordered = whole.withColumn("text", text).repartitionByRange(F.col("_turn"), F.col("_first")).sortWithinPartitions("_turn", "_first", "doc_id")
-    columns = [F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return ordered.select(*columns)
