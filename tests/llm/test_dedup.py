@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from weftgraph.llm import exact_dedup, suffix_array, tensor_minhash
+from weftgraph.llm import common, exact_dedup, suffix_array, tensor_minhash
 from weftgraph.llm.components import components
 
 from .corpus import corpus, frame, with_clashes
@@ -91,6 +91,7 @@ def test_near_dedup_against_all_pairs(spark, seed):
 def test_near_dedup_of_a_large_family(spark, monkeypatch):
     """More nodes than a block, at the threshold's both sides, in small blocks."""
     monkeypatch.setattr(tensor_minhash, "CONFIRMED_ROWS", 16)
+    monkeypatch.setattr(tensor_minhash, "CHUNK_SHINGLES", 1000)
     monkeypatch.setattr(tensor_minhash, "BLOCK_NODES", 16)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
@@ -110,7 +111,103 @@ def test_near_dedup_of_odd_tables(spark):
     assert tensor_minhash.near_dedup(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f", None, None, None), (4, "a b c d e f", None, None, None), (4, "a b c d e f", None, None, None), (7, "A B c d e f", None, None, None), (9, None, None, None, None), (8, " ", None, None, None)]
     got = sorted(map(tuple, tensor_minhash.near_dedup(frame(spark, rows)).collect()), key=str)
-    assert got == sorted([(None, 2, None, True), (4, 2, 4, True), (4, 2, 4, True), (7, 2, 4, False), (9, 0, 9, True), (8, 0, 8, True)], key=str)
+    assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (7, 2, 4, False), (9, 0, 9, True), (8, 0, 8, True)], key=str)
+
+
+def test_families_of_many_sizes(spark, monkeypatch):
+    """Links between steps of size, each in several chunks."""
+    monkeypatch.setattr(tensor_minhash, "CHUNK_SHINGLES", 300)
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(rng.randint(60, 110))]
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), None, None, None))
+    everything = frame(spark, rows)
+    full = tensor_minhash.hashed_sets(everything.selectExpr("doc_id as node", "text"))
+    families = spark.createDataFrame([(i, 0) for i in range(1, 120)], "node bigint, component bigint")
+    comps = families.limit(0)
+    links = [(r.u, r.v) for r in tensor_minhash.within_families(families, comps, full).collect()]
+    sets = [shingle_set(r[1]) for r in rows]
+    alike = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    assert all(alike(sets[u], sets[v]) for u, v in links)
+    root = {i: i for i in range(120)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    assert {(i, find(i)) for i in range(120)} == {(k, c) for k, _, c, _ in near_by_force(rows)}
+
+
+def odd_ids(rows, seed=2):
+    """The rows with null, shared and own doc_ids; some of them twice."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, r[0] % 40, r[0]]), *r[1:]) for r in rows]
+    return rows + [rng.choice(rows) for _ in range(len(rows) // 5)]
+
+
+def classes_by_force(rows, percent):
+    """The near-duplicate classes of the distinct texts, as lists of rows."""
+    texts = sorted({r[1] for r in rows if shingle_set(r[1])})
+    of = {k: c for k, _, c, _ in near_by_force([(i, t) for i, t in enumerate(texts)], percent)}
+    out = defaultdict(list)
+    for r in rows:
+        if shingle_set(r[1]):
+            out[of[texts.index(r[1])]].append(r)
+    return list(out.values())
+
+
+def test_near_dedup_of_null_and_shared_doc_ids(spark):
+    rows = odd_ids(corpus(90, 4))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in tensor_minhash.near_dedup(frame(spark, rows)).collect()), key=str)
+    want = [(r[0], 0, r[0], True) for r in rows if not shingle_set(r[1])]
+    for members in classes_by_force(rows, 85):
+        least = min((r[0] for r in members if r[0] is not None), default=None)
+        want += [(r[0], len(shingle_set(r[1])), least, r[0] == least) for r in members]
+    assert got == sorted(want, key=str)
+
+
+def test_stages_lose_no_text_and_keep_one_row_each(spark):
+    rows = odd_ids(corpus(90, 4))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r[1])].append(r)
+    kept = [tuple(r) for r in exact_dedup.drop_exact_repeats(frame(spark, rows)).collect()]
+    assert sorted(norm(r[1]) for r in kept) == sorted(groups)
+    last = lambda r: (r[0] is None, r[0])
+    for r in kept:
+        assert r in groups[norm(r[1])] and last(r) == min(map(last, groups[norm(r[1])]))
+
+    kept = [tuple(r) for r in tensor_minhash.drop_near_duplicates(frame(spark, rows), 80).collect()]
+    classes = classes_by_force(rows, 80)
+    none = [r for r in rows if not shingle_set(r[1])]
+    assert len(kept) == len(classes) + len(none)
+    for members in classes:
+        (one,) = [r for r in kept if r in members]
+        assert last(one) == min(map(last, members))
+    assert all(r in kept for r in none)
+
+
+def test_stages_of_few_odd_rows(spark):
+    rows = [(1, "a"), (7, "a"), (7, "unique text"), (None, "b"), (None, "b"), (9, "c"), (9, "c")]
+    docs = frame(spark, [(*r, None, None, None) for r in rows])
+    for stage in (exact_dedup.drop_exact_repeats, tensor_minhash.drop_near_duplicates):
+        assert sorted(((r.doc_id, r.text) for r in stage(docs).collect()), key=str) == [(1, "a"), (7, "unique text"), (9, "c"), (None, "b")]
+
+
+def test_frequent_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 0, i) for i in range(3000)], "k bigint, i bigint")
+    table = rows.groupBy("k").count()
+    for n in (3000, 3000 * common.HOT_KEYS):
+        got = common.join_counted(rows, table, "k", "count", n).collect()
+        assert sorted((r.k, r.i, r["count"]) for r in got) == sorted((r.k, r.i, r["count"]) for r in rows.join(table, "k").collect())
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -207,7 +304,7 @@ def test_repeats_of_odd_tables(spark):
     assert got == {(None, 60), (2, 0), (1, 0)}
     twice = [(1, t, None, None, 0), (2, t + "x", None, None, 0), (2, "other", None, None, 0), (2, None, None, None, 0), (3, t, None, None, 0), (3, t, None, None, 0)]
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_array.remove_repeats(frame(spark, twice)).collect())
-    assert [x for x in got if x[0] != 2] == [(1, 60, 0), (3, 60, 60), (3, 60, 60)] and [x[:2] for x in got if x[0] == 2] == [(2, 0), (2, 5), (2, 61)]
+    assert got == [(1, 60, 0), (2, 0, 0), (2, 5, 0), (2, 61, 60), (3, 60, 60), (3, 60, 60)]
 
 
 @pytest.mark.parametrize("hot", [1 << 17, 3])

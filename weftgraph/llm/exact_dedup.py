@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE_SPACE, mix64, written
+from .common import U64, WHITE_SPACE, join_counted, keep_rows, mix64, row_key, written
 
 #: Digests a bucket is meant to hold; with 56 bytes a digest, some 2 MB.
 BUCKET_DIGESTS = 1 << 15
@@ -145,22 +145,35 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WHITE_SPACE}]+", " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text."""
-    return docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"))
+def digests(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """doc_id and the SHA-256 of the normalised text, and more columns."""
+    return docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"), *more)
 
 
 def _grouped(marked: DataFrame) -> DataFrame:
     return marked.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_DOC)).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
+def find_groups(marked: DataFrame, history_share: float) -> tuple[DataFrame, int]:
+    """digest, keep_id (null where no row has a doc_id) and group_size, and how many
+    rows there are. marked: doc_id and digest of every row.
 
     The earlier documents (those up to the history_share quantile of doc_id) are
     the history whose distinct digests are indexed; the later ones are looked up.
     The quantile may be approximate: where the cut falls does not change the
-    result. kept is false for a row whose doc_id isn't the group's smallest.
+    result."""
+    cut, n = marked.agg(F.percentile_approx("doc_id", history_share), F.count(F.lit(1))).first()
+    buckets = max(1, -(-n // BUCKET_DIGESTS))
+    early = F.col("doc_id") <= F.lit(cut if cut is not None else 0)
+    index = build_index(_grouped(marked.where(early)), buckets)
+    late = _grouped(marked.where(F.coalesce(~early, F.lit(True))))
+    groups = look_up(index, late, buckets)
+    return groups.withColumn("keep_id", F.when(F.col("keep_id") != NO_DOC, F.col("keep_id"))), n
+
+
+def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, digest. kept is false
+    for a row whose doc_id isn't the group's smallest.
 
     Null text counts as empty. Rows with a null doc_id join their text's group
     and are kept only if all its rows have none. Repeated rows with one doc_id
@@ -168,23 +181,23 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     gives an empty result.
     """
     marked = written(digests(docs), "digests")
-    cut, n = marked.agg(F.percentile_approx("doc_id", history_share), F.count(F.lit(1))).first()
-    buckets = max(1, -(-n // BUCKET_DIGESTS))
-    early = F.col("doc_id") <= F.lit(cut if cut is not None else 0)
-    index = build_index(_grouped(marked.where(early)), buckets)
-    late = _grouped(marked.where(F.coalesce(~early, F.lit(True))))
-    groups = look_up(index, late, buckets)
-    keep = F.when(F.col("keep_id") != NO_DOC, F.col("keep_id"))
-    return marked.join(groups, "digest").select(
-        "doc_id",
-        keep.alias("keep_id"),
-        "group_size",
-        F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
-        "digest",
-    )
+    groups, n = find_groups(marked, history_share)
+    groups = written(groups, "groups")
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return join_counted(marked, groups, "digest", "group_size", n).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def drop_exact_repeats(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """docs without the rows that repeat an earlier text; columns unchanged."""
-    dropped = exact_dedup(docs, history_share).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row for each text; columns unchanged.
+
+    The row that stays is one with the group's smallest doc_id; of several such rows,
+    also where no row of a group has a doc_id, one stays, the same in every run. Texts are
+    judged one by one: a doc_id that has several texts keeps those that are new.
+    """
+    marked = written(digests(docs, *row_key(docs)), "digests")
+    groups, n = find_groups(marked, history_share)
+    repeated = written(groups.where("group_size > 1").select("digest", "keep_id", "group_size"), "groups")
+    rows = join_counted(marked, repeated, "digest", "group_size", n)
+    best = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+    best = written(best.groupBy("digest").agg(F.min(F.struct("_k1", "_k2", "n")).alias("x")).select("x.*"), "winners")
+    return keep_rows(docs, rows.select("_k1", "_k2").distinct().join(best, ["_k1", "_k2"], "left_anti"), best.where("n > 1"))

@@ -9,14 +9,16 @@ collection.
 
 From the tables to components, with links confirmed on full sets only:
 
-1. Documents with equal sets are one node, named by its smallest doc_id.
+1. Documents with equal sets are one node, named by its smallest doc_id, or by a hash
+   of the set where the table has doc_ids that several texts share, or rows without one.
 2. Keys of either collection that only one node has are dropped before pairs of
    keys are formed, so that most documents form none.
 3. Each node is confirmed against the smallest node of a table, the one with
    which it shares the most tables.
    Nodes that such pairs join, confirmed or not, are a family.
 4. In a family with several components, the nodes outside the largest are compared
-   on full sets with all the family's nodes, in blocks of bounded size.
+   on full sets with all the family's nodes of about their size, in blocks of a bounded
+   number of shingles. The sets go there as hashes, made once from the texts.
 5. Nodes of different families that meet in a table are compared by the sketches of
    their minhashes, in blocks, and pairs that are alike enough are confirmed. Pairs
    within a component need no comparison.
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_array, blocks, forget, mix64, odd_words, small_batches, text_bytes, written
+from .common import U64, binary_array, blocks, forget, join_counted, keep_rows, mix64, odd_words, row_key, small_batches, text_bytes, written
 from .components import components
 
 WORDS = 5
@@ -55,9 +57,13 @@ MISSED, UNLIKE = 1.5e-4, 1.1e-4
 #: Nodes of a block of those that share a band.
 BLOCK_NODES = 256
 
-#: Documents confirmed against one node by one task, and nodes of a chunk of a family.
+#: Documents confirmed against one node by one task, and nodes of a chunk of a family
+#: of which pairs are given.
 CONFIRMED_ROWS = 512
 
+#: Shingles of a chunk of a family whose nodes are all compared.
+CHUNK_SHINGLES = 1 << 19
+
 #: Shingles of a matrix.
 MATRIX_COLUMNS = 4096
 
@@ -150,7 +156,7 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"
+SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary, text_hash bigint"
 
 
 def _sign(m: int):
@@ -170,8 +176,8 @@ def _sign(m: int):
                         lists[i] = row
                         sketches[i] = v.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), binary_array(keys), pa.array(lists, pa.list_(pa.int64())), binary_array(sketches)],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), binary_array(keys), pa.array(lists, pa.list_(pa.int64())), binary_array(sketches), batch.column(2).slice(a, b - a)],
+                    names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "text_hash"],
                 )
 
     return run
@@ -179,9 +185,27 @@ def _sign(m: int):
 
 def sign(docs: DataFrame, m: int) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), the
-    keys of the bands and the sketch (a byte of each minhash)."""
+    keys of the bands, the sketch (a byte of each minhash) and a hash of the text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sign(m), SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sign(m), SIGNED)
+
+
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns node, text."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for a, b in blocks(offsets):
+            sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), binary_array(x.tobytes() for x in sets)], names=["node", "n", "hashes"])
+
+
+def hashed_sets(texts: DataFrame) -> DataFrame:
+    """node, n and hashes: the sorted hashes of the distinct shingles of each text."""
+    return texts.select("node", "text").mapInArrow(_hashed, "node bigint, n bigint, hashes binary")
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", U64) for x in column.to_pylist()]
 
 
 def tables(nodes: DataFrame, m: int) -> DataFrame:
@@ -208,35 +232,31 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 def _confirm(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns v, chunk, u, text; a row with u = v is v's own and comes before the
+        """Columns v, chunk, u, hashes; a row with u = v is v's own and comes before the
         rows that are to be confirmed with it."""
         held, mine = None, np.zeros(0, U64)
         for batch in batches:
             v, u = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            data, offsets = text_bytes(batch.column(3))
             out: tuple[list, list] = ([], [])
-            for a, b in blocks(offsets):
-                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for i, s in enumerate(sets, a):
-                    if u[i] == v[i]:
-                        held, mine = v[i], s
-                    elif held == v[i]:
-                        if similar(s, mine, percent):
-                            out[0].append(u[i])
-                            out[1].append(v[i])
+            for i, s in enumerate(_sets(batch.column(3))):
+                if u[i] == v[i]:
+                    held, mine = v[i], s
+                elif held == v[i] and similar(s, mine, percent):
+                    out[0].append(u[i])
+                    out[1].append(v[i])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["u", "v"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) that are similar enough on full sets. texts: node, text. The
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) that are similar enough on full sets. sets: node, hashes. The
     pairs of one v are dealt over as many chunks as they need."""
     n = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CONFIRMED_ROWS).cast("int").alias("chunks"))
     asked = pairs.join(n, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int").alias("chunk"))
     own = n.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    rows = asked.union(own).join(texts.withColumnRenamed("node", "u"), "u")
-    laid = rows.select("v", "chunk", "u", "text").repartition("v", "chunk").sortWithinPartitions("v", "chunk", F.col("u") != F.col("v"), "u")
+    rows = asked.union(own).join(sets.withColumnRenamed("node", "u"), "u")
+    laid = rows.select("v", "chunk", "u", "hashes").repartition("v", "chunk").sortWithinPartitions("v", "chunk", F.col("u") != F.col("v"), "u")
     return laid.mapInArrow(_confirm(percent), "u bigint, v bigint")
 
 
@@ -319,8 +339,8 @@ def alike_across(nodes: DataFrame, comps: DataFrame, percent: int = PERCENT) ->
 
 def _confirm_blocks(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns block, pair, u, v, text: a block's nodes u with their components v and
-        texts, then its pairs. Pairs that others of the block have linked are passed by."""
+        """Columns block, pair, u, v, hashes: a block's nodes u with their components v and
+        sets, then its pairs. Pairs that others of the block have linked are passed by."""
         block, sets, root = None, {}, {}
 
         def find(x: int) -> int:
@@ -330,23 +350,21 @@ def _confirm_blocks(percent: int):
 
         for batch in batches:
             key, pair, u, v = (batch.column(i).to_pylist() for i in range(4))
-            data, offsets = text_bytes(batch.column(4))
+            own = _sets(batch.column(4))
             out: tuple[list, list] = ([], [])
-            for a, b in blocks(offsets):
-                own = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if offsets[b] > offsets[a] else []
-                for i in range(a, b):
-                    if key[i] != block:
-                        block, sets, root = key[i], {}, {}
-                    if not pair[i]:
-                        sets[u[i]] = (own[i - a], v[i])
-                        root.setdefault(v[i], v[i])
-                        continue
-                    (s, c), (t, d) = sets[u[i]], sets[v[i]]
-                    c, d = find(c), find(d)
-                    if c != d and similar(s, t, percent):
-                        root[c] = d
-                        out[0].append(u[i])
-                        out[1].append(v[i])
+            for i in range(batch.num_rows):
+                if key[i] != block:
+                    block, sets, root = key[i], {}, {}
+                if not pair[i]:
+                    sets[u[i]] = (own[i], v[i])
+                    root.setdefault(v[i], v[i])
+                    continue
+                (s, c), (t, d) = sets[u[i]], sets[v[i]]
+                c, d = find(c), find(d)
+                if c != d and similar(s, t, percent):
+                    root[c] = d
+                    out[0].append(u[i])
+                    out[1].append(v[i])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["u", "v"])
 
     return run
@@ -402,60 +420,67 @@ def _links(asks: list[int], base: list[int], comp: list, sets: list[np.ndarray],
 
 def _family_blocks(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns family, a, b, node, comp, asks, base, text."""
-        name, held = None, ([], [], [], [], [])
+        """Columns block, asks, node, comp, hashes. Nodes that ask and that are asked are rows
+        of their own, also where a node is both."""
+        name: int | None = None
+        held: tuple[list, list, list, list] = ([], [], [], [])
 
         def flush() -> pa.RecordBatch:
-            nodes, comps, asks, base, sets = held
-            found = _links([i for i, x in enumerate(asks) if x], [i for i, x in enumerate(base) if x], comps, sets, percent)
+            asks, nodes, comps, sets = held
+            found = _links([i for i, x in enumerate(asks) if x], [i for i, x in enumerate(asks) if not x], comps, sets, percent)
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            data, offsets = text_bytes(batch.column(7))
-            for low, high in blocks(offsets):
-                own = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                for i in range(low, high):
-                    at = (columns[0][i], columns[1][i], columns[2][i])
-                    if at != name:
-                        if held[0]:
-                            yield flush()
-                        name, held = at, ([], [], [], [], [])
-                    for k in range(4):
-                        held[k].append(columns[3 + k][i])
-                    held[4].append(own[i - low])
+            keys, *columns = (batch.column(i).to_pylist() for i in range(4))
+            for key, *row in zip(keys, *columns, _sets(batch.column(4)), strict=True):
+                if key != name:
+                    if held[0]:
+                        yield flush()
+                    name, held = key, ([], [], [], [])
+                for k in range(4):
+                    held[k].append(row[k])
         if held[0]:
             yield flush()
 
     return run
 
 
-def within_families(families: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def within_families(families: DataFrame, comps: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links that join the components within each family (node, component): of a family
     with several, the nodes outside the largest are compared with all the family's, on
-    full sets, in blocks against blocks."""
-    named = nodes.select("node").join(families.withColumnRenamed("component", "family"), "node", "left").join(comps, "node", "left")
-    named = named.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("component", "node").alias("comp"))
-    parts = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
-    per = parts.groupBy("family").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), F.max(F.struct("n", "comp")).alias("main")).where("c > 1")
-    per = per.select("family", F.ceil((F.col("n") - F.col("main.n")) / CONFIRMED_ROWS).cast("int").alias("na"), F.ceil(F.col("n") / CONFIRMED_ROWS).cast("int").alias("nb"), F.col("main.comp").alias("main"))
-    rows = named.join(per, "family")
+    full sets, in blocks against blocks. sets: node, n, hashes.
+
+    Sets of a similar pair differ little in size, so a family is cut into steps of size, and
+    a node asks those of its own step and of the neighbouring ones; steps are cut into
+    chunks of some CHUNK_SHINGLES shingles. A set is shuffled as often as its step, or the
+    step it asks, has chunks."""
     at = F.xxhash64("node")
+    step = F.floor(F.log("n") / (-1.001 * math.log(percent / 100)))  # a little wider, for what rounding does
+    named = sets.select("node", "n", step.alias("step")).join(families.withColumnRenamed("component", "family"), "node", "left").join(comps, "node", "left")
+    named = named.select("node", "n", "step", F.coalesce("family", "node").alias("family"), F.coalesce("component", "node").alias("comp"))
+    total = named.agg(F.count(F.lit(1))).first()[0]
+    parts = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
+    per = parts.groupBy("family").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp")).alias("main")).where("k > 1")
+    rows = written(join_counted(named, per.select("family", "size", F.col("main.comp").alias("main")), "family", "size", total).withColumn("asks", F.expr("comp <> main")), "family-nodes")
+    rows = rows.withColumn("key", F.xxhash64("family", "step"))
+    asking = rows.where("asks").select("node", "comp", "n", F.explode(F.array(*[F.xxhash64("family", F.col("step") + d) for d in (-1, 0, 1)])).alias("key"))
+    chunks = F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int")
+    both = rows.groupBy("key").agg(chunks.alias("nb"), F.count(F.lit(1)).alias("cb")).join(asking.groupBy("key").agg(chunks.alias("na"), F.count(F.lit(1)).alias("ca")), "key")
+    both = written(both, "family-steps")
+    places = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = lambda a, b: F.xxhash64("key", a, b)
     mine, theirs = F.pmod(at, F.col("na")).cast("int"), F.pmod(at, F.col("nb")).cast("int")
-    across = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    asking = F.when(F.col("comp") != F.col("main"), F.transform(across("nb"), lambda b: place(mine, b))).otherwise(F.array())
-    asked = F.transform(across("na"), lambda a: place(a, theirs))
-    rows = rows.select("family", "node", "comp", asking.alias("x"), asked.alias("y"))
-    rows = rows.select("family", "node", "comp", F.explode(F.array_union("x", "y")).alias("p"), "x", "y")
-    placed = rows.select("family", "p.a", "p.b", "node", "comp", F.array_contains("x", F.col("p")).alias("asks"), F.array_contains("y", F.col("p")).alias("base"))
-    laid = placed.join(texts, "node").select("family", "a", "b", "node", "comp", "asks", "base", "text").repartition("family", "a", "b")
-    return laid.sortWithinPartitions("family", "a", "b", "node").mapInArrow(_family_blocks(percent), "u bigint, v bigint")
+    ask = join_counted(asking, both, "key", "ca", 3 * total)
+    ask = ask.select(F.explode(F.transform(places("nb"), lambda b: block(mine, b))).alias("block"), F.lit(True).alias("asks"), "node", "comp")
+    asked = join_counted(rows.select("key", "node", "comp"), both, "key", "cb", total)
+    asked = asked.select(F.explode(F.transform(places("na"), lambda a: block(a, theirs))).alias("block"), F.lit(False).alias("asks"), "node", "comp")
+    laid = ask.union(asked).join(sets.select("node", "hashes"), "node").select("block", "asks", "node", "comp", "hashes").repartition("block")
+    return laid.sortWithinPartitions("block", "asks", "node").mapInArrow(_family_blocks(percent), "u bigint, v bigint")
 
 
-def confirm_in_blocks(pairs: DataFrame, comps: DataFrame, families: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm_in_blocks(pairs: DataFrame, comps: DataFrame, families: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links that join the components that confirmed pairs join. A block has the pairs
-    between two chunks of families (node, component), so that a text goes to few blocks
+    between two chunks of families (node, component), so that a set goes to few blocks
     however many pairs it is in."""
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     named = ends.join(families, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
@@ -467,53 +492,81 @@ def confirm_in_blocks(pairs: DataFrame, comps: DataFrame, families: DataFrame, t
     block = F.xxhash64(F.least("hu", "hv"), F.greatest("hu", "hv"))
     placed = written(pairs.join(x, "u").join(y, "v").select(block.alias("block"), "u", "v", "cu", "cv"), "placed")
     asked = placed.select("block", F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("cu").alias("v")), F.struct(F.col("v").alias("u"), F.col("cv").alias("v")))).alias("e")).select("block", "e.u", "e.v").distinct()
-    nodes = asked.join(texts.withColumnRenamed("node", "u"), "u").select("block", F.lit(False).alias("pair"), "u", "v", "text")
-    rows = nodes.union(placed.select("block", F.lit(True), "u", "v", F.lit(None).cast("string")))
+    nodes = asked.join(sets.withColumnRenamed("node", "u"), "u").select("block", F.lit(False).alias("pair"), "u", "v", "hashes")
+    rows = nodes.union(placed.select("block", F.lit(True), "u", "v", F.lit(None).cast("binary")))
     return rows.repartition("block").sortWithinPartitions("block", "pair", "u", "v").mapInArrow(_confirm_blocks(percent), "u bigint, v bigint")
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id
-    that links lead to) and kept (doc_id = component_id).
-
-    A-Z count as a-z, words are what stands between white space (space, TAB to CR).
-    A text of fewer than five words is one shingle; null, empty and blank texts have
-    none and are linked with nothing. Rows with one doc_id are one node. Rows with a
-    null doc_id are kept, and are linked with nothing. Other columns don't matter; an
-    empty table gives an empty result.
-    """
-    spark = docs.sparkSession
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, text_hash and, as keep_id, the smallest doc_id that links lead
+    to (null where no row there has one), and group: equal for the rows of a component,
+    null for rows without a shingle."""
     m, need = search(percent)
     signed = written(sign(docs, m), "signed")
-    known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    sets = written(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = known.select(F.col("doc_id").alias("node"), "set_key", "bands", "sketch").join(sets, ["node", "set_key"])
-    nodes = written(nodes.select("node", "bands", "sketch"), "nodes")
-    entries = written(tables(nodes, m), "tables")
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min(named).alias("of"), F.count(F.lit(1)).alias("rows")).select("set_key", F.col("of.doc_id").alias("first"), F.col("of.text_hash").alias("text_hash"), "rows"), "sets")
+    # a doc_id names a set where it is that of no other set
+    odd = not sets.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or first is null").isEmpty()
+    node = F.xxhash64("set_key") if odd else F.col("first")
+    sets = sets.select("set_key", "first", "text_hash", "rows", node.alias("node"))
+    of = sets.select("node", F.col("set_key").alias("k"), F.col("first").alias("f"), F.col("text_hash").alias("t"))
+    same = (F.col("set_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f")) & (F.col("text_hash") == F.col("t"))
+    nodes = written(signed.join(of, same).select("node", "bands", "sketch"), "nodes")
+    entries = written(tables(nodes.select("node", "bands").dropDuplicates(["node"]), m), "tables")
 
     leads = entries.groupBy("key").agg(F.min("node").alias("v"))
     first = entries.join(leads, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
     met = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "met")
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").hint("merge"), "node").dropDuplicates(["node"]), "texts")
-    forget(spark, nodes)
+    wanted = of.join(met.select("node"), "node").select("node", "f", "t")
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = text.join(wanted.hint("merge"), (F.col("h") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("f"))).select("node", "text")
+    full = written(hashed_sets(texts.dropDuplicates(["node"])), "full")
+    forget(docs.sparkSession, nodes)
 
     tried = written(_alike_enough(first, met.select("node", "sketch"), m, need), "tried")
-    forget(spark, entries)
+    forget(docs.sparkSession, entries)
     families = components(tried)
-    links = written(confirm(tried, texts, percent), "links")
-    links = links.union(written(within_families(families, components(links), met, texts, percent), "links"))
+    links = written(confirm(tried, full, percent), "links")
     comps = components(links)
+    more = written(within_families(families, comps, full, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        comps = components(links)
     across = written(alike_across(met, families, percent), "across")
     if not across.isEmpty():
-        links = links.union(written(confirm_in_blocks(across, comps, families, texts, percent), "links"))
-        comps = components(links)
-    forget(spark, met, texts, tried, across)
+        more = written(confirm_in_blocks(across, comps, families, full, percent), "links")
+        if not more.isEmpty():
+            comps = components(links.union(more))
+    forget(docs.sparkSession, met, full, tried, across)
+
+    classes = sets.join(comps, "node", "left").select("set_key", "first", "rows", F.coalesce("component", "node").alias("group"))
+    if odd:  # a node's number says nothing about the smallest doc_id
+        classes = classes.join(classes.groupBy("group").agg(F.min("first").alias("keep_id")), "group")
+    else:
+        classes = classes.withColumn("keep_id", F.col("group"))
+    classes = written(classes.select("set_key", "rows", "keep_id", "group"), "classes")
+    columns = ["doc_id", "n_shingles", "text_hash", "keep_id", "group"]
+    out = join_counted(signed.where("set_key is not null"), classes, "set_key", "rows", signed.count()).select(*columns)
+    none = F.lit(None).cast("bigint")
+    return out.union(signed.where("set_key is null").select("doc_id", "n_shingles", "text_hash", none.alias("keep_id"), none.alias("group")))
+
 
-    named = sets.join(comps, "node", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("component"))
-    out = signed.join(named, F.col("set_key") == F.col("k"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id
+    that links lead to) and kept (doc_id = component_id).
+
+    A-Z count as a-z, words are what stands between white space (space, TAB to CR).
+    A text of fewer than five words is one shingle; null, empty and blank texts have
+    none and are linked with nothing. Every row is judged by its own text: rows with one
+    doc_id and several texts may be in several components. Rows with a null doc_id are
+    linked like others; they are kept where no row of their component has a doc_id, and
+    component_id is null there. Other columns don't matter; an empty table gives an empty
+    result.
+    """
+    found = _linked(docs, percent)
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _alike_enough(pairs: DataFrame, sketches: DataFrame, m: int, need: int) -> DataFrame:
@@ -531,6 +584,16 @@ def _alike_enough(pairs: DataFrame, sketches: DataFrame, m: int, need: int) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component; columns unchanged."""
-    dropped = near_dedup(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component, and all rows without a shingle; columns
+    unchanged. The row that stays is one with the component's smallest doc_id; of several
+    such rows, also where no row of a component has a doc_id, one stays, the same in
+    every run."""
+    found = written(_linked(docs, percent).where("group is not null").select("doc_id", "text_hash", "keep_id", "group"), "found")
+    several = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = join_counted(found, written(several, "several"), "group", "n", found.count()).select("doc_id", "text_hash", "keep_id", "group").distinct()
+    keys = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), *row_key(docs))
+    rows = keys.join(found, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("d", "keep_id", "group", "_k1", "_k2")
+    rows = written(rows, "rows")
+    best = rows.where(F.col("d").eqNullSafe(F.col("keep_id"))).groupBy("group", "_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+    best = written(best.groupBy("group").agg(F.min(F.struct("_k1", "_k2", "n")).alias("x")).select("x.*"), "winners")
+    return keep_rows(docs, rows.select("_k1", "_k2").distinct().join(best, ["_k1", "_k2"], "left_anti"), best.where("n > 1"))
