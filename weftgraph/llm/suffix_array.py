@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_array, blocks, forget, mix64, odd_words, small_batches, text_bytes, written
+from .common import U64, binary_array, blocks, forget, join_counted, mix64, odd_words, small_batches, text_bytes, written
 
 PASSAGE, GRAM = 50, 16
 
@@ -48,8 +48,8 @@ SEGMENT = SHARED + PASSAGE - 1
 #: Bytes of text for each bucket of anchors, and for each of segments.
 ANCHOR_BUCKET, SEGMENT_BUCKET = 12 << 20, 3 << 20
 
-#: Documents of a group to which the removals of its documents come back.
-GROUP_DOCS = 256
+#: Documents, and bytes, of a group to which the removals of its documents come back.
+GROUP_DOCS, GROUP_BYTES = 256, 4 << 20
 
 NO_DOC = (1 << 63) - 1
 
@@ -135,7 +135,7 @@ def _anchor_rows(buckets: int):
                 low = gram.astype(np.uint32)
                 # a block sends each hash once, however often it has it
                 once = ((k, *np.unique(low[i], return_counts=True)) for k, i in _split(where))
-                parts = [(k, h.tobytes(), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes()) for k, h, c in once]
+                parts = [(k, h.tobytes(), c.astype(np.uint32).tobytes()) for k, h, c in once]
                 n = len(parts) + 1
                 nothing = [None] * len(parts)
                 counts = np.bincount(row, minlength=b - a).astype(np.uint32)
@@ -160,7 +160,7 @@ def _repeated(most: int):
         """Of a bucket, for each block: a bit for each of its hashes that occurs again, and
         one for each that occurs more than so often."""
         every = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.hashes])
-        times = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf.times]).astype(np.int64)
+        times = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.times]).astype(np.int64)
         _, back = np.unique(every, return_inverse=True)
         total = np.bincount(back, times)[back]
         again, hot, out, at = total > 1, total > most, ([], []), 0
@@ -473,7 +473,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     within a character) and spans (starts and ends of the runs).
 
     Texts are taken as UTF-8; null counts as empty; passages don't cross documents.
-    A null doc_id counts as larger than any other. Rows that repeat one doc_id and
+    A null doc_id counts as larger than any other, and 2^63 - 1 as null. Rows that repeat one doc_id and
     text keep what each would keep. Of a doc_id that has several texts each is a document,
     compared with those of smaller doc_ids and not with one another. Other columns don't matter; an empty table gives an empty result.
     """
@@ -488,7 +488,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     # names a text; a hash is needed only where the doc_id doesn't
     pairs = every.select("id", (F.xxhash64("id", F.coalesce("text", F.lit(""))) if several else F.col("id")).alias("key"), "text")
 
-    groups = max(1, -(-n // GROUP_DOCS))
+    groups = max(1, -(-n // GROUP_DOCS), -(-size // GROUP_BYTES))
     marked = written(pairs.select("key", "text").mapInArrow(_anchor_rows(max(1, size // ANCHOR_BUCKET)), ANCHORED), "anchors")
     again = marked.where("bucket >= 0").select("bucket", "block", "hashes", "times").groupBy("bucket").applyInPandas(_repeated(HOT_ANCHORS), "bucket int, block bigint, bits binary, hot binary")
     again = written(again, "repeated")
@@ -501,10 +501,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     found = written(segments.groupBy("bucket").applyInPandas(_passages(groups, several), FOUND), "passages")
     if not flags.where("hot is not null").isEmpty():
         # no group holds these: each passage is aggregated before it is shuffled
-        hot = flagged.where("hot is not null").mapInArrow(_hot_passages(), "passage binary, id bigint, key bigint, start bigint")
-        least = hot.groupBy("passage").agg(F.min("id").alias("least"))
-        removed = hot.join(least, "passage").where("least < id").select("key", "start")
+        hot = written(flagged.where("hot is not null").mapInArrow(_hot_passages(), "passage binary, id bigint, key bigint, start bigint"), "hot-passages")
+        least = hot.groupBy("passage").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("times"))
+        least = written(least.where("least < most").select("passage", "least", "times"), "least")
+        removed = join_counted(hot, least, "passage", "times", hot.count()).where("least < id").select("key", "start")
         found = found.union(written(removed.mapInArrow(_hot_found(groups), FOUND), "hot"))
+        forget(spark, hot, least)
     forget(spark, flags)
     placed = pairs.mapInArrow(_group_of(groups), "id bigint, key bigint, grp bigint, text string")
     out = placed.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_apply(with_text), RESULT)
