@@ -44,11 +44,75 @@ def test_kernel_products_are_the_kernel():
     known = set().union(*map(grams, texts))
     data = [t.encode() for t in [*texts, "wholly new words"]]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-    x = model.presence(np.frombuffer(b"".join(data), np.uint8), offsets)
+    x, familiar = model.presence(np.frombuffer(b"".join(data), np.uint8), offsets)
+    every = lambda t: [t.lower().encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)]
+    assert familiar == pytest.approx([sum(g in known for g in every(d.decode())) / len(every(d.decode())) for d in data])
     assert [int(v) for v in x.sum(axis=1)] == [len(grams(d.decode()) & known) for d in data]
     assert int((x[0] * x[3]).sum()) == len(grams(texts[0]) & grams(texts[3]))
 
 
+def test_scores_against_plain_loops():
+    """Kernel, landmarks, K^(-1/2), ridge and scores, without a product over blocks."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(_words(lang)) for _ in range(rng.randint(3, 9))) for lang in ("en", "fr", "de") * 6]
+    languages = ["en", "fr", "de"] * 6
+    marks = [i for lang in ("de", "en", "fr") for i in [k for k, x in enumerate(languages) if x == lang][:3]]
+    grams = lambda t: {bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    vocabulary = set().union(*[grams(texts[i]) for i in marks])
+    spectrum = lambda t: grams(t) & vocabulary
+
+    def kernel(s, t):
+        a, b = spectrum(s), spectrum(t)
+        return len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+
+    k = np.array([[kernel(texts[i], texts[j]) for j in marks] for i in marks])
+    value, vector = np.linalg.eigh(k)
+    half = sum(np.outer(vector[:, i], vector[:, i]) / math.sqrt(value[i]) for i in range(len(marks)) if value[i] > 1e-9 * value.max())
+    features = lambda t: half @ np.array([kernel(t, texts[j]) for j in marks])
+    x = np.array([features(t) for t in texts])
+    new = [*texts, "The RIVER and été", "x", "über ***", ""]
+    model = string_kernel.fit(texts, languages, landmarks_per_language=3)
+    data = [t.encode() for t in new]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got, _ = model.scores(np.frombuffer(b"".join(data), np.uint8), offsets)
+    for column, lang in enumerate(("de", "en", "fr")):
+        y = np.array([1.0 if z == lang else -1.0 for z in languages])
+        # ridge with an intercept that isn't penalised, as one linear system
+        n = x.shape[1]
+        a = np.zeros((n + 1, n + 1))
+        a[:n, :n] = x.T @ x + string_kernel.RIDGE * np.eye(n)
+        a[:n, n] = a[n, :n] = x.sum(axis=0)
+        a[n, n] = len(x)
+        solved = np.linalg.solve(a, np.append(x.T @ y, y.sum()))
+        want = [features(t) @ solved[:n] + solved[n] for t in new]
+        assert got[:, column] == pytest.approx(want, abs=1e-5)
+
+
+def test_texts_of_another_script_are_rejected(spark):
+    rows = [(i, " ".join(np.random.default_rng(i).choice(_words(x), 30)), x, None, None) for i, x in enumerate(["en", "fr", "de"] * 20)]
+    strange = [(100, "Привет мир, как дела сегодня", "en", None, None), (101, "你好世界今天天气很好", None, None, None), (102, "De.", None, None, None), (103, "123 456", None, None, None)]
+    held = lambda i: binascii.crc32(str(i).encode()) % 4 == 2
+    kept = {r.doc_id for r in string_kernel.keep_identified(frame(spark, rows + [(next(i for i in range(200, 400) if held(i)), *strange[0][1:]), *strange[1:]])).collect()}
+    assert kept == {r[0] for r in rows} | {102}
+
+
+def test_training_is_bounded_and_counts_equal_texts_once(spark):
+    rows = [(i % 3, "the house", "en", None, None) for i in range(50)] + [(None, "la maison", "fr", None, None)] * 9 + [(70 + i, f"wort{i}", f"l{i}", None, None) for i in range(12)]
+    model = string_kernel.train(frame(spark, rows), train_per_language=4, languages=5)
+    assert len(model.languages) == 5
+    few = string_kernel.SCORED_PLACES
+    try:
+        string_kernel.SCORED_PLACES = 1  # one row at a time
+        one = sorted(map(tuple, string_kernel.predict(frame(spark, rows), model).collect()), key=str)
+    finally:
+        string_kernel.SCORED_PLACES = few
+    many = sorted(map(tuple, string_kernel.predict(frame(spark, rows), model).collect()), key=str)
+    assert [x[:2] for x in one] == [x[:2] for x in many] and [x[2] for x in one] == pytest.approx([x[2] for x in many], abs=1e-6)
+
+
 def test_language_of_odd_tables(spark):
     assert string_kernel.identify(frame(spark, [])).count() == 0
     got = string_kernel.identify(frame(spark, [(1, "abc", None, None, 3), (None, None, None, None, None)])).collect()
@@ -79,15 +143,28 @@ def test_lettered_documents_stay_where_nothing_is_learned(spark):
 # winnowing
 
 
+def hashes_by_force(text, k):
+    """The polynomial of each k code points, term by term, mixed and cut to 32 bits."""
+    word, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & word
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    return [mixed(sum((ord(c) + 1) * base ** (k - 1 - j) for j, c in enumerate(text[i : i + k])) & word) >> 32 for i in range(len(text) - k + 1)]
+
+
 def winnow_by_force(text, k=winnowing.K, w=winnowing.WINDOW):
-    points = np.array([ord(c) for c in text], np.uint32)
-    if not len(points):
+    if not text:
         return [], []
-    h = winnowing.grams(points, min(k, len(points)))
+    h = hashes_by_force(text, min(k, len(text)))
     chosen = []
     for i in range(max(1, len(h) - w + 1)):
         part = h[i : i + w]
-        at = i + max(j for j, x in enumerate(part) if x == part.min())
+        at = i + max(j for j, x in enumerate(part) if x == min(part))
         if not chosen or chosen[-1] != at:
             chosen.append(at)
     return [int(h[i]) for i in chosen], chosen

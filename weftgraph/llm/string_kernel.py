@@ -13,10 +13,16 @@ others) is fitted on them. A block of texts is scored as one product of its
 presence matrix with [landmarks' vectors x K^(-1/2) x weights]: the products are
 associated from the right, once, as the kernel is linear in presence.
 
-Training uses a bounded sample: at most train_per_language texts of each
-language, those with the smallest hash of doc_id, first of at most train_chars
-characters; of longer ones so many characters from the first letter on are used.
-Every text is scored whole.
+Training uses a bounded sample: of the languages with the most texts, at most
+LANGUAGES of them, at most train_per_language distinct texts each, those with the
+smallest hash of doc_id, first of at most train_chars characters; of longer ones so
+many characters from the first letter on are used. Every text is scored whole.
+
+A text's score is (the largest of the regressions' values + 1) / 2, within 0 and 1.
+Its familiarity is the share of its n-grams, each as often as it occurs, that any
+landmark has. A text of a language that was not learned, in another script, has little
+of it: its kernels are next to nothing, and what the regressions say of it is the
+intercept's. keep_identified rejects such texts, and those without a letter.
 """
 
 from __future__ import annotations
@@ -33,12 +39,15 @@ from pyspark.sql import types as T
 from .common import blocks, small_batches, text_bytes
 
 #: Bounds of the training sample and of the model.
-TRAIN_PER_LANGUAGE, TRAIN_CHARS, LANDMARKS_PER_LANGUAGE = 240, 20_000, 32
+LANGUAGES, TRAIN_PER_LANGUAGE, TRAIN_CHARS, LANDMARKS_PER_LANGUAGE = 200, 240, 20_000, 32
 
 RIDGE = 1e-2
 
-#: Bytes of text scored at once.
-SCORED_BYTES = 1 << 19
+#: Bytes of text, and places of a presence matrix, scored at once.
+SCORED_BYTES, SCORED_PLACES = 1 << 19, 1 << 25
+
+#: Familiarity below which the language of a text can't be told.
+FAMILIAR = 0.25
 
 UNDETERMINED = "und"
 
@@ -55,12 +64,13 @@ class SpectrumModel:
     weights: np.ndarray  # width x languages
     intercept: np.ndarray
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows x width, 1.0 where the n-gram occurs."""
+    def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows x width, 1.0 where the n-gram occurs; and the rows' familiarity."""
         rows = len(offsets) - 1
         out = np.zeros((rows, self.width + 1), dtype=np.float32)  # the last column takes what is no n-gram of the landmarks
+        known = np.zeros(rows)
         if not len(data):
-            return out[:, :-1]
+            return out[:, :-1], known
         flat = out.reshape(-1)
         base = np.repeat(np.arange(rows, dtype=np.int64) * (self.width + 1), np.diff(offsets))
         r = self.rank[data]
@@ -70,13 +80,20 @@ class SpectrumModel:
             if n > 1:
                 code = code[:-1] * size + r[n - 1 :]
             keep = left[: len(code)] >= n
-            flat[base[: len(code)][keep] + column[code[keep]]] = 1.0
-        return out[:, :-1]
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = self.presence(data, offsets)
+            at = column[code]
+            flat[base[: len(code)][keep] + at[keep]] = 1.0
+            upto = np.concatenate([[0], np.cumsum(keep & (at >= 0))])
+            ends = np.minimum(offsets, len(code))
+            known += upto[ends[1:]] - upto[ends[:-1]]
+        sizes = np.diff(offsets)
+        total = sum(np.maximum(sizes - n, 0) for n in range(len(self.column)))
+        return out[:, :-1], known / np.maximum(total, 1)
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows x languages, the regressions' values; and the rows' familiarity."""
+        x, known = self.presence(data, offsets)
         norm = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1.0))
-        return (x @ self.weights) / norm[:, None] + self.intercept
+        return (x @ self.weights) / norm[:, None] + self.intercept, known
 
 
 def fit(texts: list[str], languages: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> SpectrumModel:
@@ -109,7 +126,7 @@ def fit(texts: list[str], languages: list[str], landmarks_per_language: int = LA
     model = SpectrumModel(known, rank, tuple(columns), width, np.zeros((width, len(known)), np.float32), np.zeros(len(known)))
 
     def vectors(index: np.ndarray) -> np.ndarray:
-        x = model.presence(*laid(index)).astype(np.float64)
+        x = model.presence(*laid(index))[0].astype(np.float64)
         return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
 
     z = vectors(marks)
@@ -126,53 +143,61 @@ def fit(texts: list[str], languages: list[str], landmarks_per_language: int = LA
     return model
 
 
-def train(labelled: DataFrame, train_per_language: int = TRAIN_PER_LANGUAGE, train_chars: int = TRAIN_CHARS) -> SpectrumModel | None:
-    """From doc_id, text and lang; None without a labelled text that has a letter."""
-    use = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_t", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "_t")
-    ranked = use.select("doc_id", "lang", "_t", (F.length("text") > train_chars).alias("long"), F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(first))
-    chosen = ranked.where(F.col("r") <= train_per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.col("_t").alias("t"), "r").collect()
-    if not chosen:
-        return None
-    place = {(x.id, x.l, x.t): x.r for x in chosen}
+def train(labelled: DataFrame, train_per_language: int = TRAIN_PER_LANGUAGE, train_chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> SpectrumModel | None:
+    """From doc_id, text and lang; None without a labelled text that has a letter. What
+    comes to the driver is bounded by the parameters: equal texts of a language count
+    once."""
+    use = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("text").alias("_t"))
+    texts = use.groupBy("lang", "_t").agg(F.min("doc_id").alias("id"), F.min(F.length("text") > train_chars).alias("long"))
+    most = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id", "_t")
+    ranked = texts.join(F.broadcast(most), "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= train_per_language)
     part = F.when(F.length("text") <= train_chars, F.col("text")).otherwise(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, train_chars))
-    rows = use.where(F.col("_t").isin([x.t for x in chosen])).select("doc_id", "lang", "_t", part.alias("text")).dropDuplicates(["doc_id", "lang", "_t"]).collect()
-    rows = sorted((place[x.doc_id, x.lang, x["_t"]], x.lang, x.text) for x in rows if (x.doc_id, x.lang, x["_t"]) in place)
-    return fit([x[2] for x in rows], [x[1] for x in rows])
+    chosen = use.join(F.broadcast(ranked.select("lang", "_t", "r")), ["lang", "_t"]).select("lang", "r", part.alias("text")).dropDuplicates(["lang", "r"])
+    rows = sorted((x.r, x.lang, x.text) for x in chosen.collect())  # languages * train_per_language texts at most
+    return fit([x[2] for x in rows], [x[1] for x in rows]) if rows else None
 
 
 def _scorer(model: SpectrumModel):
-    """Column text first; adds the best language and its score before the other columns."""
+    """Column text first; adds the best language, its score and the familiarity before the
+    other columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            best, score = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
-            for a, b in blocks(offsets, SCORED_BYTES):
-                s = model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            best, score, known = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+            for a, b in _bounded(offsets, max(1, SCORED_PLACES // (model.width + 1))):
+                s, known[a:b] = model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 best[a:b], score[a:b] = s.argmax(axis=1), np.clip((s.max(axis=1) + 1) / 2, 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([pa.array(names[best], pa.string()), pa.array(score), *batch.columns[1:]], names=["_lang_pred", "_score", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array(known), *batch.columns[1:]], names=["_lang_pred", "_score", "_known", *batch.schema.names[1:]])
 
     return run
 
 
+def _bounded(offsets: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of so many bytes and rows at most, or of one row."""
+    for a, b in blocks(offsets, SCORED_BYTES):
+        yield from ((i, min(b, i + rows)) for i in range(a, b, rows))
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def score_rows(docs: DataFrame, model: SpectrumModel | None, kept: list[str]) -> DataFrame:
-    """The kept columns of every row, and _lang_pred and _score: und and 0.0 where the text
-    is null or has no letter, or nothing was learned."""
-    unknown = (F.lit(UNDETERMINED).alias("_lang_pred"), F.lit(0.0).alias("_score"))
+    """The kept columns of every row, and _lang_pred, _score and _known (the familiarity):
+    und and 0.0 where the text is null or has no letter, or nothing was learned."""
+    unknown = (F.lit(UNDETERMINED).alias("_lang_pred"), F.lit(0.0).alias("_score"), F.lit(0.0).alias("_known"))
     if model is None:
         return docs.select(*unknown, *kept)
     small_batches(docs.sparkSession)
     marked = docs.select(F.col("text").alias("_text"), has_letter(F.col("text")).alias("_lettered"), *kept)
-    schema = T.StructType([T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), *marked.schema.fields[1:]])
+    schema = T.StructType([T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_known", T.DoubleType()), *marked.schema.fields[1:]])
     found = marked.mapInArrow(_scorer(model), schema)
     lettered = F.col("_lettered")
-    return found.select(F.when(lettered, F.col("_lang_pred")).otherwise(unknown[0]).alias("_lang_pred"), F.when(lettered, F.col("_score")).otherwise(unknown[1]).alias("_score"), *kept)
+    names = ("_lang_pred", "_score", "_known")
+    return found.select(*[F.when(lettered, F.col(c)).otherwise(u).alias(c) for c, u in zip(names, unknown, strict=True)], *kept)
 
 
 def predict(docs: DataFrame, model: SpectrumModel | None) -> DataFrame:
@@ -192,11 +217,12 @@ def identify(docs: DataFrame, **bounds: int) -> DataFrame:
     return predict(docs, train(docs.where(~held_out(F.col("doc_id"))), **bounds)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, **bounds: int) -> DataFrame:
-    """docs without the rows whose language can't be told; columns unchanged. Rows are
-    scored where they are read, and none is shuffled. Where nothing was learned, those
-    with a letter stay."""
+def keep_identified(docs: DataFrame, familiar: float = FAMILIAR, **bounds: int) -> DataFrame:
+    """docs without the rows whose language can't be told: those without a letter, and
+    those of less familiarity. Columns unchanged. Rows are scored where they are
+    read, and none is shuffled. Where nothing was learned, those with a letter stay."""
     model = train(docs.where(~held_out(F.col("doc_id"))), **bounds)
     if model is None:
         return docs.where(has_letter(F.col("text")))
-    return score_rows(docs, model, docs.columns).where(F.col("_lang_pred") != UNDETERMINED).select(*docs.columns)
+    told = (F.col("_lang_pred") != UNDETERMINED) & (F.col("_known") >= familiar)
+    return score_rows(docs, model, docs.columns).where(told).select(*docs.columns)
