@@ -43,13 +43,15 @@ def test_cuts_are_the_best_of_all(sizes, documents):
     assert np.diff(at).max() <= window and set(ends) <= set(at)
     chosen = dp_packing.cut(at, penalty, window)
 
+    pad = lambda n: 0 if bin(n).count("1") == 1 else window - n
+
     def cost(cuts):
         edges = [0, *at[cuts]]
-        return sum(window - (b - a) for a, b in zip(edges, edges[1:], strict=False)) + sum(penalty[c] for c in cuts)
+        return sum(pad(int(b - a)) + dp_packing.WINDOW_COST for a, b in zip(edges, edges[1:], strict=False)) + sum(penalty[c] for c in cuts)
 
     best = [0.0] + [np.inf] * (len(at) - 1)
     for j in range(1, len(at)):
-        best[j] = min(best[i] + window - (at[j] - at[i]) + penalty[j] for i in range(j) if at[j] - at[i] <= window)
+        best[j] = min(best[i] + pad(int(at[j] - at[i])) + dp_packing.WINDOW_COST + penalty[j] for i in range(j) if at[j] - at[i] <= window)
     edges = np.concatenate([[0], at[chosen]])
     assert edges[-1] == at[-1] and np.diff(edges).max() <= window
     assert cost(chosen.tolist()) == pytest.approx(best[-1])
@@ -79,7 +81,9 @@ def test_packed_windows_hold_every_id_once(spark):
             at += length
         assert at <= 1024
     used = sum(map(len, want.values()))
-    assert len(by_sequence) * 1024 - used < 0.03 * used + 4 * 1024
+    lengths = np.array([sum(n for _, n in parts) for parts in by_sequence.values()])
+    assert dp_packing.padding(lengths, 1024).sum() < 0.03 * used + 4 * 1024
+    assert dp_packing.padding(np.array([1, 2, 3, 512, 513, 1000, 1024]), 1024).tolist() == [0, 0, 1021, 0, 511, 24, 0]
 
 
 def test_packing_query_digests(spark, tmp_path):
@@ -92,10 +96,16 @@ def test_packing_query_digests(spark, tmp_path):
     assert sum(p.length for p in got) == sum(len(x) // 4 for x in want.values())
 
 
-@pytest.mark.parametrize("pack", [dp_packing.pack, bfd_packing.pack_rows])
-def test_packing_of_odd_tables(spark, pack):
-    assert pack(frame(spark, [])).count() == 0
-    assert pack(frame(spark, [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0)])).count() in (1, 3)
+def test_packing_of_odd_tables(spark):
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "a b", None, None, 0)]
+    assert dp_packing.pack(frame(spark, [])).count() == 0 and bfd_packing.pack_rows(frame(spark, [])).count() == 0
+    pieces = sorted(((p.doc_id, p.start, p.length, p.doc_tokens, np.frombuffer(p.ids, "<u4").tolist()) for p in dp_packing.pack(frame(spark, rows)).collect()), key=str)
+    ids = [*slow_ids("a b"), 0]
+    assert pieces == sorted([(None, 0, 1, 1, [0]), (1, 0, 1, 1, [0]), (1, 0, 1, 1, [0]), (2, 0, 3, 3, ids)], key=str)
+    packed = bfd_packing.pack_rows(frame(spark, rows)).collect()
+    segments = [(d, a, np.frombuffer(r.ids, "<u4")[x:y].tolist()) for r in packed for d, a, x, y in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False)]
+    end = bfd_packing.END_ID
+    assert sorted(segments, key=str) == sorted([(None, 0, [end]), (1, 0, [end]), (1, 0, [end]), (2, 0, [*ids[:-1], end])], key=str)
 
 
 # best fit

@@ -4,12 +4,19 @@ The documents' ids, one after another, are cut into windows of at most a given
 number of ids. A window may end where a document or a sentence ends, and, at a
 higher penalty, at certain places inside a long sentence. The cuts minimise
 
-    padding of all windows + penalties of the cuts that divide a document,
+    padding of all windows + WINDOW_COST for each of them
+    + penalties of the cuts that divide a document,
 
-with best(j) = min over i, b(j) - b(i) <= window, of best(i) + window -
-(b(j) - b(i)) + penalty(j). As best(i) + b(i) is all that depends on i, a queue
-of candidates with rising values holds the minimum of the sliding range, and
-every boundary enters and leaves it once.
+where a window is padded to its full size, except at a power of two, at which it isn't
+padded. So best(j) is penalty(j) + WINDOW_COST + the less of
+
+    min over i, b(j) - b(i) <= window, of best(i) + window - (b(j) - b(i)),
+    min over i, b(j) - b(i) a power of two, of best(i).
+
+As best(i) + b(i) is all of the first that depends on i, a queue of candidates with
+rising values holds the minimum of the sliding range, and every boundary enters and
+leaves it once. The second has one candidate for each power at most. WINDOW_COST keeps
+a text from falling into many small windows.
 
 Each task packs its documents in the order it reads them, some millions of ids
 at a time; no rows are shuffled, and a stretch leaves one short window at most.
@@ -33,6 +40,9 @@ WINDOW = 1024
 #: Ids of padding that a cut at the end of a sentence, or inside one, must save.
 SENTENCE_PENALTY, INSIDE_PENALTY = 4.0, 12.0
 
+#: Ids of padding that a window more must save.
+WINDOW_COST = 8.0
+
 #: A sentence of more than twice so many ids may be cut after every so many.
 INSIDE_EVERY = 16
 
@@ -61,20 +71,55 @@ def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) ->
     return at, penalty
 
 
+def padding(lengths: np.ndarray, window: int) -> np.ndarray:
+    """Of windows of these lengths: up to the full size, except at a power of two."""
+    return np.where(lengths & (lengths - 1) == 0, 0, window - lengths)
+
+
+def unpadded(at: np.ndarray, window: int) -> tuple[list[int], list[int], list[int]]:
+    """Pairs of boundaries a power of two apart, less than a window: for the later one, in
+    order, the places of its pairs, the earlier one, and the power."""
+    later, earlier, power = [], [], []
+    size = 1
+    while size < window:
+        i = np.searchsorted(at, at - size)
+        j = np.flatnonzero((at >= size) & (at[i] == at - size))
+        later.append(j)
+        earlier.append(i[j])
+        power.append(np.full(len(j), size))
+        size *= 2
+    j = np.concatenate([*later, np.zeros(0, np.int64)])
+    order = np.argsort(j, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(j, minlength=len(at)))])
+    take = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])[order].tolist()
+    return first.tolist(), take(earlier), take(power)
+
+
 def cut(at: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
     """The ends of the best windows, as indexes into at."""
-    b, pen, n = at.tolist(), penalty.tolist(), len(at)
+    b, pen, n = at.tolist(), (penalty + WINDOW_COST).tolist(), len(at)
+    first, earlier, power = unpadded(at, window)
     came = [0] * n
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # best(i) + b(i), b(i), i
+    values = [0.0] * n  # best(i) + b(i)
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # the same, b(i), i
     push, pop, drop = queue.append, queue.pop, queue.popleft
+    begin = 0
     for j in range(1, n):
         x = b[j]
         low = x - window
         while queue[0][1] < low:
             drop()
         value, _, i = queue[0]
+        value += window
+        end = first[j + 1]
+        if begin != end:
+            for k in range(begin, end):
+                other = values[earlier[k]] + power[k]
+                if other < value:
+                    value, i = other, earlier[k]
+            begin = end
         came[j] = i
-        value += window + pen[j]  # best(j) + b(j)
+        values[j] = value = value + pen[j]  # best(j) + b(j)
         while queue and queue[-1][0] >= value:
             pop()
         push((value, x, j))
