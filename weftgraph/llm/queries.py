@@ -131,16 +131,22 @@ with u as (
 h as (
   select page_id, url, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from u),
-l as (select *, string_split(host, '.') as ls from h),
+l as (
+  select *, string_split(name, '.') as ls, regexp_matches(name, '^([0-9.]+|\[.*)$') as address
+  from (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') as name from h)),
 t as (select *, len(ls) >= 2 and ls[-2] || '.' || ls[-1] in ({suffixes}) as two from l),
 p as (
-  select page_id, url, host, path, array_to_string(ls[-(two::int + 1):], '.') as suffix, array_to_string(ls[-(two::int + 2):], '.') as domain from t),
+  select page_id, url, host, path, name, case when address then name else array_to_string(ls[-(two::int + 1):], '.') end as suffix,
+    case when address then name else array_to_string(ls[-(two::int + 2):], '.') end as domain from t),
 o as (
   select page_id, max(bad) as bad from pages
   join (select doc_id, max(greatest(1 - quality, toxic)) as bad from labels group by 1) x
     on x.doc_id = try_cast(nullif(regexp_extract(url, '^[^:]*://[^/]*/[a-z]+/([0-9]{{1,18}})', 1), '') as bigint)
   group by 1),
-hs as materialized (select host, any_value(domain) as domain, any_value(suffix) as suffix, count(*)::double as n, sum(bad)::double as bad from p join o using (page_id) where bad is not null group by host),
+hs as materialized (
+  select name, any_value(domain) as domain, any_value(suffix) as suffix, count(*)::double as n, sum(bad)::double as bad
+  from (select page_id, min(name) as name, min_by(domain, name) as domain, min_by(suffix, name) as suffix from p where page_id is not null group by 1)
+  join o using (page_id) where bad is not null group by name),
 ds as (select domain, any_value(suffix) as suffix, sum(n) as n, sum(bad) as bad from hs group by domain),
 ss as (select suffix, sum(n) as n, sum(bad) as bad from ds group by suffix),
 q as (
@@ -155,19 +161,19 @@ one as (
 sm as (select suffix, (bad + cs * m0) / (n + cs) as ms from ss, one),
 dm as (select domain, (bad + cd * ms) / (n + cd) as md from ds join sm using (suffix), one),
 ab as (
-  select x.host, ch * coalesce(md, ms, m0) + coalesce(bad, 0) as a, ch * (1 - coalesce(md, ms, m0)) + coalesce(n - bad, 0) as b
-  from (select distinct host, domain, suffix from p) x left join (select host, n, bad from hs) hh using (host) left join dm using (domain) left join sm using (suffix), one),
+  select x.name, ch * coalesce(md, ms, m0) + coalesce(bad, 0) as a, ch * (1 - coalesce(md, ms, m0)) + coalesce(n - bad, 0) as b
+  from (select distinct name, domain, suffix from p) x left join (select name, n, bad from hs) hh using (name) left join dm using (domain) left join sm using (suffix), one),
 judged as (
-  select host, a / (a + b) as mean, greatest(a / (a + b) - sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0.0) as low from ab),
+  select name, a / (a + b) as mean, greatest(a / (a + b) - sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0.0) as low from ab),
 r as (
   select page_id, p.host, path, mean, low, (select max_by(column1, length(column1)) from (values {rules}) z(column0, column1)
     where (p.host = split_part(column1, '/', 1) or ends_with(p.host, '.' || split_part(column1, '/', 1)))
       and starts_with(path, substr(column1, instr(column1, '/')))) as rule
-  from p join judged using (host))
+  from p join judged using (name))
 select page_id, host, path, rule, coalesce((select any_value(column0) from (values {rules}) z(column0, column1) where column1 = rule),
-  case when low > 0.5 or mean > 0.9 then 'block' else 'allow' end) as verdict
+  case when low > 0.5 then 'block' else 'allow' end) as verdict
 from r
-""".format(suffixes=", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES), rules=", ".join(f"('{a}', '{b}')" for a, b in URL_RULES))
+""".format(suffixes=", ".join(f"'{x}'" for x in url_reputation.SUFFIX_RULES), rules=", ".join(f"('{a}', '{b}')" for a, b in URL_RULES))
 
 _OP6_SQL = """
 with t as (
