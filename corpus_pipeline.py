@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import dp_packing, exact_dedup, mixing, string_kernel, tensor_minhash
-from weftgraph.llm.common import written
+from weftgraph.llm.common import forget, scratch, written
 
 #: Similarity of near-duplicates, in percent; op4's own is higher.
 NEAR_PERCENT = 80
@@ -17,17 +17,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told by the kernel go: those without a letter,
+    and those whose n-grams the landmarks mostly lack."""
     return string_kernel.keep_identified(docs)
 
 
 def drop_exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space the one with the smallest doc_id stays."""
+    """Of documents equal but for white space one with the smallest doc_id stays."""
     return exact_dedup.drop_exact_repeats(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest doc_id stays."""
+    """Of each group of near-duplicates one with the smallest doc_id stays."""
     return tensor_minhash.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
@@ -55,6 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # what the stage wrote on its way goes
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep.append(docs)
+        forget(spark, *last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,10 +3,10 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
-from weftgraph.llm import queries, tokens
+from weftgraph.llm import common, queries, tokens
 
 from .corpus import corpus, frame, with_clashes
-from .test_dedup import near_by_force
+from .test_dedup import classes_by_force, near_by_force, odd_ids
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {tuple(r) for r in kept} == set(first.values())
 
     kept = stages["near_dedup"](spark, frame(spark, [tuple(r) for r in kept]), str(tmp_path)).collect()
-    want = {x[0] for x in near_by_force(list(first.values())) if x[3]}
+    want = {x[0] for x in near_by_force(list(first.values()), corpus_pipeline.NEAR_PERCENT) if x[3]}
     assert {r.doc_id for r in kept} == want and len(kept) == len(want)
 
     mixed = stages["mixing"](spark, frame(spark, [tuple(r) for r in kept]), str(tmp_path)).collect()
@@ -59,6 +59,35 @@ def test_run_and_columns(spark, tmp_path):
         assert out.columns == docs.columns, name
 
 
+def test_run_with_null_and_shared_doc_ids_and_no_labels(spark, tmp_path):
+    rows = [(*r[:2], None, *r[3:]) for r in odd_ids(corpus(60, 4))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = corpus_pipeline.STAGES
+    for _, stage in stages[:3]:
+        docs = frame(spark, [tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()])
+    lettered = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert docs.count() == len(classes_by_force(lettered, 80))
+    size = sum(len(r.text.split()) for r in docs.collect())
+    mixed = stages[3][1](spark, docs, str(tmp_path)).collect()
+    assert abs(sum(len(r.text.split()) for r in mixed) - 1.5 * size) <= 4 + 0.001 * size
+    bpe = tokens.ByteBpe(tokens.default_vocabulary())
+    want = Counter()
+    for r in mixed:
+        want[r.doc_id] += len(bpe.encode(r.text)) + 1
+    got = Counter()
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[p.doc_id] += p.length
+    assert got == want
+
+
+def test_run_leaves_one_table_behind(spark, tmp_path):
+    frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(common._PATHS)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(set(common._PATHS) - before) == 1
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
