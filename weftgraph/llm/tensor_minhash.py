@@ -61,8 +61,9 @@ BLOCK_NODES = 256
 #: of which pairs are given.
 CONFIRMED_ROWS = 512
 
-#: Shingles of a chunk of a family whose nodes are all compared.
-CHUNK_SHINGLES = 1 << 19
+#: Shingles of a chunk of a family whose nodes are all compared; a family of fewer than
+#: FEW_CHUNKS such chunks is cut finer, into as many at most, to be dealt over tasks.
+CHUNK_SHINGLES, FEW_CHUNKS, LEAST_SHINGLES = 1 << 19, 8, 1 << 15
 
 #: Shingles of a matrix.
 MATRIX_COLUMNS = 4096
@@ -464,7 +465,8 @@ def within_families(families: DataFrame, comps: DataFrame, sets: DataFrame, perc
     rows = written(join_counted(named, per.select("family", "size", F.col("main.comp").alias("main")), "family", "size", total).withColumn("asks", F.expr("comp <> main")), "family-nodes")
     rows = rows.withColumn("key", F.xxhash64("family", "step"))
     asking = rows.where("asks").select("node", "comp", "n", F.explode(F.array(*[F.xxhash64("family", F.col("step") + d) for d in (-1, 0, 1)])).alias("key"))
-    chunks = F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int")
+    fine = F.least(F.lit(FEW_CHUNKS), F.ceil(F.sum("n") / LEAST_SHINGLES))
+    chunks = F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), fine).cast("int")
     both = rows.groupBy("key").agg(chunks.alias("nb"), F.count(F.lit(1)).alias("cb")).join(asking.groupBy("key").agg(chunks.alias("na"), F.count(F.lit(1)).alias("ca")), "key")
     both = written(both, "family-steps")
     places = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
