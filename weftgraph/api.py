@@ -70,8 +70,7 @@ class Engine:
         return analytics.schema(self.nodes, self.edges)
 
     def get_architecture(self, *aspects: str) -> dict[str, DataFrame]:
-        every = analytics.architecture(self.nodes, self.edges) | {"clusters": analytics.communities(self.nodes, self.edges)}
-        return {k: v for k, v in every.items() if not aspects or k in aspects}
+        return analytics.architecture(self.nodes, self.edges, *aspects)
 
     def detect_changes(self, changed: DataFrame, depth: int = 0) -> dict[str, DataFrame]:
         out = {"symbols": traverse.changed_symbols(self.nodes, changed)}

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where none is set, as on one machine, a local
-    folder is used."""
+    """The session's checkpoint folder. Only a local master, whose executors are this
+    process, gets a folder of this machine where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="weftgraph-")

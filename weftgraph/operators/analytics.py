@@ -104,17 +104,23 @@ def file_tree(nodes: DataFrame, depth: int = 3) -> DataFrame:
     return pairs.groupBy("path").agg(F.count(F.lit(1)).alias("children"))
 
 
-def architecture(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "languages": languages(nodes),
-        "packages": packages(nodes),
-        "entry_points": entry_points(nodes),
-        "routes": routes(nodes),
-        "hotspots": hotspots(nodes, edges),
-        "boundaries": boundaries(nodes, edges),
-        "layers": layers(nodes, edges),
-        "file_tree": file_tree(nodes),
-    }
+#: What an architecture report may have, and how it is made.
+ASPECTS = {
+    "languages": lambda nodes, edges: languages(nodes),
+    "packages": lambda nodes, edges: packages(nodes),
+    "entry_points": lambda nodes, edges: entry_points(nodes),
+    "routes": lambda nodes, edges: routes(nodes),
+    "hotspots": lambda nodes, edges: hotspots(nodes, edges),
+    "boundaries": lambda nodes, edges: boundaries(nodes, edges),
+    "layers": lambda nodes, edges: layers(nodes, edges),
+    "file_tree": lambda nodes, edges: file_tree(nodes),
+    "clusters": lambda nodes, edges: communities(nodes, edges),
+}
+
+
+def architecture(nodes: DataFrame, edges: DataFrame, *aspects: str) -> dict[str, DataFrame]:
+    """The aspects that are asked for, all if none is named; no others are computed."""
+    return {k: make(nodes, edges) for k, make in ASPECTS.items() if not aspects or k in aspects}
 
 
 def schema(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
@@ -129,14 +135,14 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the smallest id that edges of either direction lead to. Each round
     takes the least label around and then that label's own label, which halves the
-    distance that is left."""
+    distance that is left; the last is the one that changes nothing."""
     around = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     around = cut(around)
     labels = nodes.select("id", F.col("id").alias("c"))
-    for _ in range(rounds):
+    while True:
         near = around.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         least = labels.join(near, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = least.select(F.col("id").alias("n"), F.col("n").alias("t"))
@@ -144,8 +150,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -
         changed = new.where("c <> n").limit(1).count()
         labels = new.select("id", F.col("n").alias("c"))
         if not changed:
-            break
-    return labels.withColumnRenamed("c", "component")
+            return labels.withColumnRenamed("c", "component")
 
 
 def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 10) -> DataFrame:

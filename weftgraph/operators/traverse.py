@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_file, risk
 from . import reach
-from .store import degrees
+from .store import degrees, top_per
 
 #: Edge types that a trace follows, by mode. Fixed values.
 MODES = {"calls": ("CALLS",), "data_flow": ("CALLS", "DATA_FLOWS"), "cross_service": ("HTTP_CALLS", "ASYNC_CALLS", "DATA_FLOWS", "CALLS")}
@@ -82,18 +82,20 @@ def dead_code(nodes: DataFrame, edges: DataFrame, label: str = "Function", types
     return nodes.where(F.col("label") == label).join(called, "id", "left_anti")
 
 
-def call_depth(edges: DataFrame, depth: int = reach.DEPTH) -> DataFrame:
-    """node, depth: edges from the nearest node that nothing leads to."""
-    roots = degrees(edges).where("in_degree = 0").select("id")
-    return reach.shortest(roots, edges, depth).groupBy("node").agg(F.min("hop").alias("depth"))
+def call_depth(edges: DataFrame) -> DataFrame:
+    """node, depth: edges from the nearest node that nothing leads to; 0 for nodes that
+    none of these leads to, as on a cycle."""
+    ends = degrees(edges)
+    found = reach.shortest(ends.where("in_degree = 0").select("id"), edges).groupBy("node").agg(F.min("hop").alias("depth"))
+    return ends.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def connected(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and the sorted names of its direct neighbours."""
     ids = found.select("id")
     around = reach.steps(edges, "any").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    named = around.join(nodes.select(F.col("id").alias("dst"), "name"), "dst")
-    return named.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("neighbours"))
+    named = around.join(nodes.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("id"), "name").distinct()
+    return named.groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("neighbours"))
 
 
 #: Edge types of callers and callees. Fixed values.
@@ -104,5 +106,5 @@ def neighbour_names(nodes: DataFrame, edges: DataFrame, direction: str = "out",
     """id, names: for every node up to limit distinct names of what it calls, or of what
     calls it, in order."""
     travel = reach.steps(edges.where(F.col("type").isin(*CALLING)), direction)
-    named = travel.join(nodes.select(F.col("id").alias("dst"), "name"), "dst")
-    return named.groupBy(F.col("src").alias("id")).agg(F.slice(F.array_sort(F.collect_set("name")), 1, limit).alias("names"))
+    named = travel.join(nodes.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("id"), "name").distinct()
+    return top_per(named, "id", [F.col("name")], limit).groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("names"))
