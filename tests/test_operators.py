@@ -64,7 +64,10 @@ def test_upserts_and_merges(spark):
     assert out["test.HandleOrder"] == "Renamed" and len(out) == 6
     e = g.edges.where("src = 1 and dst = 2")
     merged = store.upsert_edges(e.withColumn("properties", F.lit('{"a":1,"b":2}')), e.withColumn("properties", F.lit('{"b":null,"c":"x"}'))).collect()
-    assert [r.properties for r in merged] == ['{"a":"1","c":"x"}']
+    assert [r.properties for r in merged] == ['{"a":1,"c":"x"}']
+    nested = store.upsert_edges(e.withColumn("properties", F.lit('{"a":1,"o":{"x":1,"z":[1,{"y":null}]},"é":1.5}')), e.withColumn("properties", F.lit('{"o":{"y":2,"x":null},"f":true,"a":{"b":null}}'))).collect()
+    assert [r.properties for r in nested] == ['{"a":{},"o":{"z":[1,{"y":null}],"y":2},"é":1.5,"f":true}']
+    assert [r.properties for r in store.upsert_edges(e, e.limit(0)).collect()] == [r.properties for r in e.collect()]
     left, kept = store.delete_nodes(g.nodes, g.edges, spark.createDataFrame([(1,)], "id bigint"))
     assert left.count() == 4 and [(r.src, r.dst) for r in kept.collect()] == [(2, 3)]
     nodes, edges = store.merge_buffers(g.nodes, g.nodes.withColumn("id", F.col("id") + 100).withColumn("label", F.lit("New")), g.edges.withColumns({"src": F.col("src") + 100, "dst": F.col("dst") + 100}))

@@ -78,7 +78,23 @@ def test_streamed_edges(spark, tmp_path):
     for p in ('{"a":1}', '{"b":2}'):
         g.edges.withColumn("properties", F.lit(p)).coalesce(1).write.mode("append").parquet(source)
         upserts.stream_edges(spark.readStream.schema(g.edges.schema).parquet(source), table, str(tmp_path / "cp")).awaitTermination()
-    assert table.version() == 1 and {r.properties for r in table.read().collect()} == {'{"a":"1","b":"2"}'} and table.read().count() == 4
+    assert table.version() == 1 and {r.properties for r in table.read().collect()} == {'{"a":1,"b":2}'} and table.read().count() == 4
+
+
+def test_streams_with_new_checkpoints_add_to_the_table(spark, tmp_path):
+    g = standard(spark)
+    table = upserts.VersionedTable(spark, str(tmp_path / "table"), upserts.NODE_SCHEMA, upserts.NODE_KEY, 3)
+    for i in range(1, 5):
+        source = str(tmp_path / f"in{i}")
+        g.nodes.where(f"id = {i}").withColumn("name", F.lit(f"n{i}")).write.parquet(source)
+        upserts.stream_nodes(spark.readStream.schema(g.nodes.schema).parquet(source), table, str(tmp_path / f"cp{i}")).awaitTermination()
+        assert {r.name for r in table.read().collect()} == {f"n{k}" for k in range(1, i + 1)}
+    assert table.version() == 3 and table.read(2).count() == 3
+    table.merge(g.nodes.where("id = 1"), upserts.upsert_nodes, str(tmp_path / "cp4"), 0)  # a batch tried again
+    assert table.version() == 3
+    folders = [p for p in (tmp_path / "table").glob("v*/bucket=*")]
+    named = {(f, k) for v in (2, 3) for k, f in table.manifest(v)["parts"].items()}
+    assert {(p.parent.name, p.name[7:]) for p in folders} == named
 
 
 def test_reread_files(spark):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.coerce import glob_to_like, with_case_flag
 
@@ -130,22 +134,46 @@ def upsert_nodes(old: DataFrame, new: DataFrame, key: Iterable[str] = NODE_KEY)
     return latest(both, key, "_v").drop("_v")
 
 
-def merge_json(column: str, version: str) -> Column:
-    """An aggregate: JSON objects merged in version order; later keys win, null deletes
-    a key. Values keep their JSON text."""
-    parsed = F.from_json(F.coalesce(column, F.lit("{}")), "map<string,string>")
-    entries = F.transform(F.map_entries(parsed), lambda e: F.struct(F.col(version).alias("v"), e.key.alias("k"), e.value.alias("x")))
-    ordered = F.array_sort(F.flatten(F.collect_list(entries)))
-    seen = F.aggregate(ordered, F.create_map().cast("map<string,string>"), lambda m, e: F.map_from_entries(F.concat(F.filter(F.map_entries(m), lambda y: y.key != e.k), F.array(F.struct(e.k.alias("key"), e.x.alias("value"))))))
-    return F.to_json(F.map_filter(seen, lambda _, v: v.isNotNull()))
+def _merged(target: Any, patch: Any) -> Any:
+    """A JSON merge patch: objects are merged key by key, null deletes a key, all else
+    takes the target's place."""
+    if not isinstance(patch, dict):
+        return patch
+    out = dict(target) if isinstance(target, dict) else {}
+    for k, v in patch.items():
+        if v is None:
+            out.pop(k, None)
+        else:
+            out[k] = _merged(out.get(k), v)
+    return out
+
+
+@F.pandas_udf(StringType())
+def _merge_versions(versions: pd.Series) -> pd.Series:
+    def one(texts: Iterable[str]) -> str:
+        out: Any = {}
+        for t in texts:
+            out = _merged(out, json.loads(t or "{}"))
+        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+    return versions.map(one)
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges with one source, target and type are one, with merged properties."""
+    """Edges with one source, target and type are one; their properties are merged as JSON
+    merge patches, the old ones first, of several new ones in the order of their text.
+    Values keep their types. Properties of which there is one version are left as they
+    are, without a step through Python; equal versions count once."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
     rest = [c for c in old.columns if c not in (*EDGE_KEY, "properties")]
     kept = [F.min_by(c, "_v").alias(c) for c in rest]
-    return both.groupBy(*EDGE_KEY).agg(*kept, merge_json("properties", "_v").alias("properties")).select(*old.columns)
+    version = F.struct("_v", F.coalesce("properties", F.lit("{}")).alias("p"))
+    merged = both.groupBy(*EDGE_KEY).agg(*kept, F.array_sort(F.collect_set(version))["p"].alias("_all"))
+    columns = [c for c in old.columns if c != "properties"]
+    plain = (F.size("_all") == 1) & ~F.col("_all")[0].contains("null")
+    one = merged.where(plain).select(*columns, F.col("_all")[0].alias("properties"))
+    several = merged.where(~plain).select(*columns, _merge_versions("_all").alias("properties"))
+    return one.unionByName(several).select(*old.columns)
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
