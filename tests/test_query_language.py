@@ -1,4 +1,5 @@
 import pytest
+from weftgraph.graph import Graph
 from weftgraph.plans.compiler import compile_query
 from weftgraph.plans.lexer import QueryError, UnsupportedFeatureError, tokens
 from weftgraph.plans.parser import Comparison, Logic, parse
@@ -126,3 +127,32 @@ def test_plans_have_no_python_and_push_filters(spark):
     assert "Python" not in plan and "EqualNullSafe(c_mktsegment,FURNITURE)" in plan
     assert plan.count("FileScan") == 2  # the orders' own table isn't needed
     assert "c_acctbal" not in plan
+
+
+def test_order_of_steps_changes_no_rows(spark):
+    """Several MATCH clauses against loops over all assignments, with and without what is
+    known of edges that lead to one node."""
+    import random
+
+    rng = random.Random(3)
+    nodes = [(i, "AB"[i % 2], f"n{i}") for i in range(12)]
+    edges = [(k, rng.randrange(12), rng.randrange(12), rng.choice("XY")) for k in range(40)]
+    df = spark.createDataFrame([(i, "p", lab, n, n, "", 0, 0, "{}") for i, lab, n in nodes], "id bigint, project string, label string, name string, qualified_name string, file_path string, start_line int, end_line int, properties string")
+    ed = spark.createDataFrame([(k, "p", s, d, t, "{}") for k, s, d, t in edges], "id bigint, project string, src bigint, dst bigint, type string, properties string")
+    query = "MATCH (a:A)-[:X]->(b)-[:Y]-(c) MATCH (d)-[:X]->(c), (b)-[:Y]->(e:B) WHERE a.name <> 'n4' RETURN a.name AS a, b.name AS b, c.name AS c, d.name AS d, e.name AS e"
+    x, y = [(s, d) for _, s, d, t in edges if t == "X"], [(s, d) for _, s, d, t in edges if t == "Y"]
+    both = y + [(d, s) for s, d in y]
+    want = sorted(
+        tuple(f"n{i}" for i in (a, b, c, d, e))
+        for a, b in x
+        if a % 2 == 0 and a != 4
+        for b2, c in both
+        if b2 == b
+        for d, c2 in x
+        if c2 == c
+        for b3, e in y
+        if b3 == b and e % 2 == 1
+    )
+    for single in ({}, {"X": "out", "Y": "in"}):
+        got = compile_query(Graph(df, ed, single=single), query)
+        assert sorted(map(tuple, got.collect())) == want

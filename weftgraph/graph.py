@@ -36,7 +36,8 @@ class Graph:
     """nodes and edges, or tables by label and type, or both.
 
     whole: every edge's ends are nodes; an edge whose other end is neither labelled
-    nor used then needs no join with the nodes."""
+    nor used then needs no join with the nodes. ends: the labels at both ends of a type.
+    single: out or in, for types of which a node has at most one edge that way."""
 
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
@@ -45,6 +46,12 @@ class Graph:
     project: str | None = None
     whole: bool = True
     ends: Mapping[str, tuple[frozenset[str], frozenset[str]]] = field(default_factory=dict)
+    single: Mapping[str, str] = field(default_factory=dict)
+
+    def leads_to_one(self, types: Iterable[str], direction: str) -> bool:
+        """Whether from a node at most one edge of these types leads in this direction."""
+        types = list(types)
+        return len(types) == 1 and direction != "any" and self.single.get(types[0]) == direction
 
     def scan(self, label: str | None = None) -> DataFrame:
         """The nodes, or those of a label."""

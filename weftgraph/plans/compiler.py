@@ -49,6 +49,26 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _or_null(df: DataFrame) -> DataFrame:
+    """df, or one row of nulls where it is empty: the right side of an outer join without a
+    key, which is then an inner one that no side has to be broadcast for."""
+    some = df.limit(1).select(F.lit(1).alias("~some"))
+    none = df.sparkSession.range(1).join(some, F.lit(True), "left_anti")  # against one row at most
+    return df.unionByName(none.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]))
+
+
+@dataclass
+class _Step:
+    """A relationship between two variables."""
+
+    here: str
+    rel: Any
+    there: str
+
+
+_BACK = {"out": "in", "in": "out", "any": "any"}
+
+
 class Compiler:
     def __init__(self, graph: Graph):
         self.graph = graph
@@ -155,6 +175,8 @@ class Compiler:
     def joined(self, left: _Rows, right: _Rows, how: str) -> _Rows:
         """By the variables that both have."""
         both = [n for n in right.kinds if n in left.kinds]
+        if how == "left" and not both:
+            return _Rows(left.df.crossJoin(_or_null(right.df)), left.kinds | right.kinds)
         twin = {c: f"~{c}" for n in both for c in right.columns(n)}
         df = right.df.withColumnsRenamed(twin)
         keys = [_c(f"{n}#id").eqNullSafe(_c(f"~{n}#id")) if right.kinds[n] != "value" else _c(f"{n}#").eqNullSafe(_c(f"~{n}#")) for n in both]
@@ -176,6 +198,9 @@ class Compiler:
         for k, rel in enumerate(path.rels):
             here, there, pattern = names[k], names[k + 1], path.nodes[k + 1]
             bound = there in rows.kinds
+            if bound and rel.hops is None:
+                rows = self.again(self.closed(rows, rel, here, there), pattern, there)
+                continue
             end = self.name() if bound else there
             if rel.hops is None:
                 rows = self.step(rows, rel, here, end)
@@ -189,7 +214,8 @@ class Compiler:
                 rows = self.bind(rows, pattern, there, pattern.name in used, certain)
         return rows
 
-    def step(self, rows: _Rows, rel, here: str, end: str) -> _Rows:
+    def edges(self, rows: _Rows, rel, end: str) -> tuple[DataFrame, dict[str, str]]:
+        """Edges of a relationship with _from and end#id, and the variable it binds."""
         edges = self.graph.scan_edges(rel.types)
         name = rel.name or self.name()
         if name in rows.kinds:
@@ -197,10 +223,71 @@ class Compiler:
         as_is = _renamed(edges, name).withColumns({"_from": _c(f"{name}#src"), f"{end}#id": _c(f"{name}#dst")})
         turned = _renamed(edges, name).withColumns({"_from": _c(f"{name}#dst"), f"{end}#id": _c(f"{name}#src")})
         found = {"out": as_is, "in": turned}[rel.direction] if rel.direction != "any" else as_is.unionByName(turned)
-        if rel.name is None:
-            found = found.select("_from", f"`{end}#id`")
-        joined = rows.df.join(found, _c(f"{here}#id") == F.col("_from")).drop("_from")
-        return _Rows(joined, rows.kinds | ({rel.name: "edge"} if rel.name else {}))
+        return (found, {rel.name: "edge"}) if rel.name else (found.select("_from", f"`{end}#id`"), {})
+
+    def step(self, rows: _Rows, rel, here: str, end: str) -> _Rows:
+        found, kinds = self.edges(rows, rel, end)
+        return _Rows(rows.df.join(found, _c(f"{here}#id") == F.col("_from")).drop("_from"), rows.kinds | kinds)
+
+    def closed(self, rows: _Rows, rel, here: str, there: str) -> _Rows:
+        """A step between two bound nodes: one join by both, which multiplies no rows on
+        its way."""
+        found, kinds = self.edges(rows, rel, "_to")
+        both = (_c(f"{here}#id") == F.col("_from")) & (_c(f"{there}#id") == _c("_to#id"))
+        return _Rows(rows.df.join(found, both).drop("_from", "_to#id"), rows.kinds | kinds)
+
+    def together(self, rows: _Rows, paths: list[Path], used: set[str]) -> _Rows:
+        """Several paths of single steps as one set of steps, in an order that keeps rows
+        few: steps between bound nodes come first, then those that lead to one node, then
+        others; last those that fan out of a node to which many rows came by one that
+        leads to one node, as these pair all of the rows with all of its neighbours."""
+        named = [[(n.name or self.name(), n) for n in p.nodes] for p in paths]
+        steps = [_Step(ns[k][0], rel, ns[k + 1][0]) for ns, p in zip(named, paths, strict=True) for k, rel in enumerate(p.rels)]
+        patterns: dict[str, list[NodePattern]] = {}
+        for ns in named:
+            for name, pattern in ns:
+                patterns.setdefault(name, []).append(pattern)
+
+        def put(rows: _Rows, name: str, types: list[str] | None = None, direction: str = "out") -> _Rows:
+            first, *more = patterns.pop(name)
+            if types is None:
+                found = self.scan(first, name)
+                rows = _Rows(found if rows.df is None else rows.df.crossJoin(found), rows.kinds | {name: "node"})
+            else:
+                certain = self.graph.certain(types, direction, first.label)
+                rows = self.bind(rows, first, name, first.name in used or bool(more), certain)
+            for pattern in more:
+                rows = self.again(rows, pattern, name)
+            return rows
+
+        for name in [n for n in patterns if n in rows.kinds]:
+            for pattern in patterns.pop(name):
+                rows = self.again(rows, pattern, name)
+        gathered: set[str] = set()  # nodes that many rows came to
+
+        def cost(s: _Step) -> int:
+            if s.here in rows.kinds and s.there in rows.kinds:
+                return 0
+            start, way = (s.here, s.rel.direction) if s.here in rows.kinds else (s.there, _BACK[s.rel.direction])
+            if self.graph.leads_to_one(s.rel.types, way):
+                return 1
+            return 3 if start in gathered else 2
+
+        while steps or patterns:
+            open_ = [s for s in steps if s.here in rows.kinds or s.there in rows.kinds]
+            if not open_:
+                rows = put(rows, next(iter(patterns)))
+                continue
+            s = min(open_, key=cost)
+            steps.remove(s)
+            if s.here in rows.kinds and s.there in rows.kinds:
+                rows = self.closed(rows, s.rel, s.here, s.there)
+                continue
+            here, there, rel = (s.here, s.there, s.rel) if s.here in rows.kinds else (s.there, s.here, replace(s.rel, direction=_BACK[s.rel.direction]))
+            if self.graph.leads_to_one(rel.types, rel.direction):
+                gathered.add(there)
+            rows = put(self.step(rows, rel, here, there), there, rel.types, rel.direction)
+        return rows
 
     def leap(self, rows: _Rows, rel, here: str, end: str) -> _Rows:
         """Without a type only CALLS are followed."""
@@ -212,18 +299,22 @@ class Compiler:
 
     def match(self, rows: _Rows, m: Match, used: set[str]) -> _Rows:
         if not m.optional or rows.df is None:
-            for p in m.paths:
-                rows = self.path(rows, p, used)
-            return self.filtered(rows, m.where)
+            return self.filtered(self.paths(rows, m.paths, used), m.where)
         known = set(rows.kinds)
         ends = {n.name for p in m.paths for n in p.nodes if n.name in known}
         anchored = _Rows(None, {})
         if ends:  # the whole pattern over the distinct nodes it starts from
             columns = [f"`{c}`" for n in sorted(ends) for c in rows.columns(n)]
             anchored = _Rows(rows.df.select(*columns).dropDuplicates([f"{n}#id" for n in sorted(ends)]), {n: rows.kinds[n] for n in ends})
-        for p in m.paths:
-            anchored = self.path(anchored, p, used)
-        return self.joined(rows, self.filtered(anchored, m.where), "left")
+        return self.joined(rows, self.filtered(self.paths(anchored, m.paths, used), m.where), "left")
+
+    def paths(self, rows: _Rows, paths: list[Path], used: set[str]) -> _Rows:
+        """One path is walked as it is written; several of single steps are one set."""
+        if len(paths) > 1 and all(rel.hops is None for p in paths for rel in p.rels):
+            return self.together(rows, paths, used)
+        for p in paths:
+            rows = self.path(rows, p, used)
+        return rows
 
     def unwind(self, rows: _Rows, u: Unwind) -> _Rows:
         if isinstance(u.values, Value):
@@ -351,7 +442,7 @@ class Compiler:
     def part(self, part: Part) -> DataFrame:
         used = _used(part)
         rows = _Rows(None, {})
-        for clause in part.clauses:
+        for clause in _merged(part.clauses):
             if isinstance(clause, Match):
                 rows = self.match(rows, clause, used)
             elif isinstance(clause, With):
@@ -370,6 +461,18 @@ class Compiler:
         return out if len(parts) == 1 or q.keep_all else out.distinct()
 
 
+def _merged(clauses: list[Any]) -> list[Any]:
+    """Neighbouring MATCH clauses as one: both ask for the same rows."""
+    out: list[Any] = []
+    for c in clauses:
+        if out and all(isinstance(x, Match) and not x.optional for x in (c, out[-1])):
+            tests = [x.where for x in (out[-1], c) if x.where is not None]
+            out[-1] = Match(out[-1].paths + c.paths, False, Logic("AND", tests) if len(tests) > 1 else next(iter(tests), None))
+        else:
+            out.append(c)
+    return out
+
+
 def _turns(path: Path, names: list[str], at: str) -> bool:
     """Whether the path can be walked from its last node."""
     return names[-1] == at and names.count(at) == 1

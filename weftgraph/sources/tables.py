@@ -27,6 +27,10 @@ ENDS = {
 }
 
 
+#: Ways that a key of one table to another has one target for.
+SINGLE = {"PLACED": "in", "LOCATED_IN": "out", "PART_OF": "out"}
+
+
 def _label(df: DataFrame, label: str, key: Column, name: Column, props: dict[str, str]) -> DataFrame:
     """props: graph property by column."""
     own = [F.col(c).alias(p) for c, p in props.items()]
@@ -83,4 +87,4 @@ def tpch_graph(spark: SparkSession, sf_dir: str, turns: bool = False) -> Graph:
         after = talk.select(F.col("conv_id").alias("next_conv"), F.col("turn").alias("next_turn"))
         pairs = talk.join(after, (F.col("conv_id") == F.col("next_conv")) & (F.col("turn") + 1 == F.col("next_turn"))).select(at.alias("k"))
         types["NEXT"] = _edges(pairs, "NEXT", _key("Turn", "k"), _key("Turn", "k") + 1)
-    return Graph(by_label=labels, by_type=types, ends=ENDS)
+    return Graph(by_label=labels, by_type=types, ends=ENDS, single=SINGLE)
