@@ -396,3 +396,23 @@ def test_semantic_signals(spark):
     tokens = spark.createDataFrame([("parse", [1.0, 0.0]), ("draw", [0.0, 1.0])], "token string, vector array<double>")
     idf = spark.createDataFrame([("parse", 2.0), ("draw", 1.0)], "token string, idf double")
     assert {r.id: r.vector for r in semantic.document_vectors(fields, tokens, idf).collect()} == {1: [6.0, 0.0], 2: [6.0, 0.0], 3: [0.0, 3.0]}
+
+
+def test_expansion_without_a_bound_goes_on_to_the_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 26)] + [(40, 41), (41, 40)], "src bigint, dst bigint")
+    roots = spark.createDataFrame([(1,), (40,)], "id bigint")
+    want = {(1, i + 1, i) for i in range(1, 26)}
+    assert {tuple(r) for r in reach.expand(roots, edges).collect()} == want | {(40, 41, 1), (40, 40, 2)}
+    assert {tuple(r) for r in reach.expand(roots, edges, 24).collect()} == {(1, 25, 24), (1, 26, 25), (40, 40, 24), (40, 41, 25)}
+    assert {tuple(r) for r in reach.shortest(roots, edges).collect()} == want | {(1, 1, 0), (40, 40, 0), (40, 41, 1)}
+    assert {(r.node, r.depth) for r in traverse.call_depth(edges).collect()} == {(i + 1, i) for i in range(26)} | {(40, 0), (41, 0)}
+
+
+def test_written_index_ranks_like_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "cat"), (3, None), (4, "a dog, a dog"), (5, "")], "id bigint, text string")
+    text_search.write_index(docs, "id", "text", str(tmp_path))
+    for query in ("cat", "dog THE", "nothing", "", "a cat dog"):
+        scan = {r.id: round(r.score, 9) for r in text_search.bm25(docs, "id", "text", query).collect()}
+        found = {r.id: round(r.score, 9) for r in text_search.search_index(spark, str(tmp_path), "id", query).collect()}
+        assert found == scan
+    assert [r.id for r in text_search.search_index(spark, str(tmp_path), "id", "cat", 1).collect()] == [2]

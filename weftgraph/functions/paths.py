@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Languages by file extension. Fixed values.
 LANGUAGES = {
-    ".py": "Python", ".go": "Go", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript",
-    ".rs": "Rust", ".java": "Java", ".kt": "Kotlin", ".scala": "Scala", ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".hpp": "C++",
-    ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".lua": "Lua", ".ex": "Elixir", ".exs": "Elixir", ".erl": "Erlang",
-    ".hs": "Haskell", ".ml": "OCaml", ".r": "R", ".sh": "Bash", ".bash": "Bash", ".sql": "SQL", ".html": "HTML", ".css": "CSS",
-    ".scss": "SCSS", ".yaml": "YAML", ".yml": "YAML", ".toml": "TOML", ".json": "JSON", ".md": "Markdown", ".tf": "HCL", ".vue": "Vue",
-    ".svelte": "Svelte", ".dart": "Dart", ".zig": "Zig", ".pl": "Perl",
+    ".py": "Python", ".go": "Go", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".rs": "Rust", ".java": "Java",
+    ".cpp": "C++", ".cc": "C++", ".cxx": "C++", ".c": "C", ".h": "C", ".cs": "C#", ".php": "PHP", ".lua": "Lua",
+    ".scala": "Scala", ".kt": "Kotlin", ".rb": "Ruby", ".sh": "Bash", ".bash": "Bash", ".zig": "Zig", ".ex": "Elixir", ".exs": "Elixir",
+    ".hs": "Haskell", ".ml": "OCaml", ".mli": "OCaml", ".html": "HTML", ".css": "CSS", ".yaml": "YAML", ".yml": "YAML", ".toml": "TOML",
+    ".hcl": "HCL", ".tf": "HCL", ".sql": "SQL", ".erl": "Erlang", ".swift": "Swift", ".dart": "Dart", ".groovy": "Groovy", ".pl": "Perl",
+    ".r": "R", ".scss": "SCSS", ".vue": "Vue", ".svelte": "Svelte",
 }
 
 

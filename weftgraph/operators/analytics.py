@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def type_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """what, n: how many nodes, edges and vectors there are."""
+    parts = {"nodes": nodes, "edges": edges} | ({} if vectors is None else {"vectors": vectors})
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("what"), "n") for k, df in parts.items()]
+    return reduce(DataFrame.union, rows)
+
+
 def property_keys(rows: DataFrame, by: str, column: str = "properties", most: int = KEYS) -> DataFrame:
     """by, keys: the sorted distinct keys of the JSON objects, at most so many."""
     keys = rows.select(by, F.explode(F.json_object_keys(column)).alias("k")).distinct()

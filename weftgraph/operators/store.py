@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.coerce import glob_to_like, with_case_flag
+from ..lineage import cut
 
 # lookups
 
 
+def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes with the asked ids (column id)."""
+    return nodes.join(ids.select("id"), "id", "left_semi").select(*nodes.columns)
+
+
 def by_qualified_names(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """qualified_name, id of each asked name; 0 where there is no such node."""
     known = nodes.select("qualified_name", "id")
@@ -195,6 +201,20 @@ def merge_buffers(first: DataFrame, second: DataFrame, edges: DataFrame) -> tupl
     return upsert_nodes(first, moved), turned.select(*[F.col("s").alias("src") if c == "src" else F.col("d").alias("dst") if c == "dst" else F.col(c) for c in edges.columns])
 
 
+def renumbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with ids from 1 on in the order of their ids, and the edges between them. The
+    nodes are dealt by ranges; only the ranges' sizes are added up in one place."""
+    dealt = cut(nodes.repartitionByRange("id").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("id"))
+    placed = dealt.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn("_new", F.col("_before") + F.col("_rank"))
+    ids = cut(placed.select("id", "_new"))
+    moved = edges.join(ids.select(F.col("id").alias("src"), F.col("_new").alias("_s")), "src").join(ids.select(F.col("id").alias("dst"), F.col("_new").alias("_d")), "dst")
+    turned = moved.select(*[F.col("_s").alias(c) if c == "src" else F.col("_d").alias(c) if c == "dst" else F.col(c) for c in edges.columns])
+    return placed.select(*[F.col("_new").alias(c) if c == "id" else F.col(c) for c in nodes.columns]), turned
+
+
 def without_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)

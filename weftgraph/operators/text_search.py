@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import literal_hints
-from ..functions.text import camel_split, word_tokens
+from ..functions.text import camel_split, without_accents, word_tokens
 from .store import tightest
 
 #: Parameters of the ranking function. Fixed values.
@@ -22,9 +23,45 @@ NOISE = ("File", "Folder", "Module", "Section", "Variable", "Project", "Package"
 
 
 def index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (token, key, tf) and lengths (key, dl)."""
-    rows = docs.select(key, F.explode(word_tokens(F.col(text))).alias("token"))
-    return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf")), docs.select(key, F.size(word_tokens(F.col(text))).cast("bigint").alias("dl"))
+    """Postings (token, key, tf, dl) and one row of figures (n, avgdl). dl: words of the
+    document."""
+    rows = docs.select(F.col(key).alias("key"), word_tokens(F.col(text)).alias("words")).withColumn("dl", F.coalesce(F.size("words"), F.lit(0)).cast("bigint"))
+    rows = rows.withColumn("dl", F.greatest("dl", F.lit(0).cast("bigint")))
+    postings = rows.select("key", "dl", F.explode("words").alias("token")).groupBy("token", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return postings.withColumnRenamed("key", key), rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+#: Folders over which the words of a written index are dealt by a hash.
+INDEX_BUCKETS = 64
+
+
+def _index_bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Writes the index below path: postings by a hash of the word, each folder in the order
+    of words, so that a search reads the row groups of its own words."""
+    postings, figures = index(docs, key, text)
+    laid = postings.withColumn("bucket", _index_bucket(F.col("token"))).repartition("bucket").sortWithinPartitions("bucket", "token")
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def search_index(spark: SparkSession, path: str, key: str, query: str, limit: int | None = None) -> DataFrame:
+    """key, score of the documents with any word of the query, as bm25 gives them, from a
+    written index. Only the folders of the query's words are read."""
+    words = query_tokens(query)
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, words)).cast("array<string>")).alias("token"))
+    buckets = [r[0] for r in wanted.select(_index_bucket(F.col("token"))).distinct().collect()]  # one for a word at most
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("token").isin(words))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))  # a row for a word
+    rows = postings.join(F.broadcast(df), "token").crossJoin(F.broadcast(spark.read.parquet(f"{path}/figures")))  # one row
+    tf = F.col("tf").cast("double")
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = rows.groupBy(key).agg(F.sum(part).alias("score"))
+    return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 
 def query_tokens(query: str) -> list[str]:
@@ -36,11 +73,13 @@ _WORD = r"\p{L}\p{N}_"
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = None) -> DataFrame:
-    """key, score of the documents with any word of the query. Words are counted in the
-    text by regular expressions, so that no list of words is ever made."""
+    """key, score of the documents with any word of the query, without an index. Words are
+    counted in the text by regular expressions, so that no list of words is ever made; a
+    text that doesn't contain a word is not searched for it. For more searches than one
+    write_index and search_index."""
     words = query_tokens(query)
     lowered = F.lower(text)
-    counts = [F.regexp_count(lowered, F.lit(rf"(?<![{_WORD}]){re.escape(w)}(?![{_WORD}])")) for w in words]
+    counts = [F.when(lowered.contains(w), F.regexp_count(lowered, F.lit(rf"(?<![{_WORD}]){re.escape(w)}(?![{_WORD}])"))).otherwise(F.lit(0)) for w in words]
     rows = docs.select(key, F.regexp_count(text, F.lit(f"[{_WORD}]+")).cast("double").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.coalesce("dl", F.lit(0.0))).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words))])
     joined = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(words))) or "false").crossJoin(F.broadcast(stats))  # one row
@@ -55,10 +94,11 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = N
 
 def search_nodes(nodes: DataFrame, query: str, limit: int = 100) -> DataFrame:
     """id, score: nodes by the words of their name (also split), qualified name, label
-    and path, labels that matter more ranked up."""
+    and path, all without accents; labels that matter more ranked up."""
     inner = nodes.where(~F.col("label").isin(*NOISE))
     text = F.concat_ws(" ", camel_split(F.col("name")), F.col("qualified_name"), F.col("label"), F.col("file_path"))
-    scored = bm25(inner.withColumn("_text", text), "id", "_text", query)
+    plain = "".join(c for c in unicodedata.normalize("NFD", query) if not unicodedata.combining(c))
+    scored = bm25(inner.withColumn("_text", without_accents(text)), "id", "_text", plain)
     boost = F.create_map(*[F.lit(x) for pair in BOOSTS.items() for x in pair])
     ranked = scored.join(nodes.select("id", "name", "label"), "id").select("id", "name", "label", (F.col("score") + F.coalesce(F.try_element_at(boost, F.col("label")), F.lit(0.0))).alias("score"))
     return ranked.orderBy(F.desc("score"), "id").limit(limit)
