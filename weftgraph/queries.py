@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, paths, text
 from .graph import Graph
-from .lineage import shared_folder
+from .lineage import cut, shared_folder
 from .operators import analytics, derive, reach, similarity, store, text_search, traverse, vector_search
 from .plans.compiler import compile_query
 from .sources.tables import OFFSETS, tpch_graph
@@ -98,6 +99,9 @@ _pattern("pattern_unwind", "UNWIND ['ASIA', 'EUROPE', 'x'] AS want MATCH (r:Regi
 _pattern("pattern_return_star", "MATCH (r:Region) RETURN *", "select r_name as \"r.name\", 'tpch.region.' || r_regionkey as \"r.qualified_name\", 'Region' as \"r.label\", 'region/' || r_regionkey as \"r.file_path\" from region")
 _pattern("pattern_no_return", "MATCH (r:Region)", "select r_name as \"r.name\", 'tpch.region.' || r_regionkey as \"r.qualified_name\", 'Region' as \"r.label\" from region")
 _pattern("pattern_edge_property", "MATCH (n:Nation)-[e]->(r:Region) WHERE e.type = 'PART_OF' RETURN e.type AS type, COUNT(*) AS n", "select 'PART_OF' as type, count(*) as n from nation")
+_pattern("pattern_match_into_bound", "MATCH (r:Region) WHERE r.name <> 'ASIA' MATCH (c:Customer)-[:LOCATED_IN]->(n:Nation)-[:PART_OF]->(r) WHERE c.segment = 'BUILDING' RETURN r.name AS region, COUNT(c) AS n", "select r_name as region, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name <> 'ASIA' and c_mktsegment = 'BUILDING' group by r_name")
+_pattern("pattern_triangle", "MATCH (o:Order)-[:CONTAINS]->(p:Part)-[:SUPPLIED_BY]->(s:Supplier)-[:LOCATED_IN]->(n:Nation) MATCH (c:Customer)-[:PLACED]->(o) MATCH (c)-[:LOCATED_IN]->(n) RETURN n.name AS nation, COUNT(*) AS n", "select n_name as nation, count(*) as n from (select distinct l_orderkey, l_partkey from lineitem) a join (select distinct l_partkey, l_suppkey from lineitem) b using (l_partkey) join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey and c_nationkey = s_nationkey join nation on n_nationkey = s_nationkey group by n_name")
+_pattern("pattern_optional_unshared", "MATCH (r:Region) OPTIONAL MATCH (n:Nation) WHERE n.name = 'NATION_3' OPTIONAL MATCH (x:Nation) WHERE x.name = 'NOWHERE' RETURN r.name AS region, n.name AS nation, x.name AS nothing", "select r_name as region, n_name as nation, null::varchar as nothing from region, nation where n_name = 'NATION_3'")
 _pattern("pattern_global_aggregate_of_nothing", "MATCH (r:Region {name: 'NOWHERE'}) RETURN COUNT(*) AS n", "select count(*) as n from region where r_name = 'NOWHERE' having count(*) > 0")
 
 # scans, lookups, degrees, changes
@@ -158,12 +162,12 @@ def _(spark, sf_dir):
     return store.upsert_nodes(orders.select(*cols("old")), orders.where("o_orderstatus = 'F'").select(*cols("new")))
 
 
-@_operator("upsert_merged_properties", "select o_custkey as src, o_orderkey as dst, case when o_orderpriority = '1-URGENT' then '2' else '1' end as a, case when o_orderpriority = '1-URGENT' then null else 'x' end as b from orders")
+@_operator("upsert_merged_properties", """select o_custkey as src, o_orderkey as dst, case when o_orderpriority = '1-URGENT' then json_merge_patch('{"a":1,"b":"x","o":{"x":1,"y":[1,2]}}', '{"a":2.5,"b":null,"o":{"y":true,"x":null},"n":{"z":"w"}}')::varchar else '{"a":1,"b":"x","o":{"x":1,"y":[1,2]}}' end as properties from orders""")
 def _(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     cols = lambda v: [F.col("o_orderkey").alias("id"), F.lit("p").alias("project"), F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("PLACED").alias("type"), F.lit(v).alias("properties")]
-    merged = store.upsert_edges(orders.select(*cols('{"a":1,"b":"x"}')), orders.where("o_orderpriority = '1-URGENT'").select(*cols('{"a":2,"b":null}')))
-    return merged.select("src", "dst", F.get_json_object("properties", "$.a").alias("a"), F.get_json_object("properties", "$.b").alias("b"))
+    old, new = '{"a":1,"b":"x","o":{"x":1,"y":[1,2]}}', '{"a":2.5,"b":null,"o":{"y":true,"x":null},"n":{"z":"w"}}'
+    return store.upsert_edges(orders.select(*cols(old)), orders.where("o_orderpriority = '1-URGENT'").select(*cols(new))).select("src", "dst", "properties")
 
 
 @_operator("delete_cascade", f"with {_GRAPH} select type, count(*) as n from edges where src not in (select {C} + c_custkey from customer where c_mktsegment = 'BUILDING') and dst not in (select {C} + c_custkey from customer where c_mktsegment = 'BUILDING') group by type")
@@ -229,11 +233,19 @@ def _(spark, sf_dir):
     return traverse.neighbour_names(g.scan(), _calls(g, "PART_OF"), "in", 3)
 
 
-@_operator("connected_components", f"with {_GRAPH} select min_id as component, count(*) as n from (select case when n_regionkey is null then id else {N} + (select min(n_nationkey) from nation m where m.n_regionkey = x.n_regionkey) end as a, case when n_regionkey is null then id else {R} + n_regionkey end as min_id from (select id, n_regionkey from (select {N} + n_nationkey as id, n_regionkey from nation union all select {R} + r_regionkey, r_regionkey from region union all select {C} + c_custkey, n_regionkey from customer join nation on c_nationkey = n_nationkey union all select {S} + s_suppkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey)) x) group by min_id")
+@_operator("connected_components", f"with t as (select distinct conv_id, turn from conversations), i as (select *, turn - row_number() over (partition by conv_id order by turn) as island from t) select min({T} + conv_id * 1000000 + turn) as component, count(*) as n from i group by conv_id, island")
 def _(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    nodes = g.scan().where(F.col("label").isin("Region", "Nation", "Customer", "Supplier"))
-    return analytics.connected_components(nodes, g.scan_edges(["LOCATED_IN", "PART_OF"])).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    g = tpch_graph(spark, sf_dir, turns=True)
+    nodes = g.scan("Turn").select("id").distinct()
+    return analytics.connected_components(nodes, g.scan_edges(["NEXT"])).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_operator("order_chains", "select min(o_orderkey) as root, count(*) - 1 as hops from orders group by o_custkey")
+def _(spark, sf_dir):
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    edges = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), after.alias("dst")).where("dst is not null")
+    roots = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("id")).select("id")
+    return reach.shortest(roots, edges).groupBy("root").agg(F.max("hop").cast("bigint").alias("hops"))
 
 
 @_operator("communities")
@@ -243,6 +255,18 @@ def _(spark, sf_dir):
     return analytics.communities(nodes, g.scan_edges(["LOCATED_IN", "PART_OF"]))
 
 
+@_operator("communities_quality", f"with {_GRAPH} select count(*) as nodes, true as no_worse_than_by_label from nodes")
+def _(spark, sf_dir):
+    """Over the whole graph: each node is in one community, and modularity is no less than
+    that of one community for each label."""
+    g = _graph(spark, sf_dir)
+    nodes, edges = g.scan(), g.scan_edges()
+    found = cut(analytics.communities(nodes, edges, 4))
+    code = F.xxhash64("label").alias("community")
+    both = analytics.modularity(found, edges).select(F.col("q").alias("a")).crossJoin(analytics.modularity(nodes.select("id", code), edges).select(F.col("q").alias("b")))
+    return found.agg(F.count_distinct("id").alias("nodes")).crossJoin(both).select("nodes", (F.col("a") >= F.col("b")).alias("no_worse_than_by_label"))
+
+
 # analytics
 
 
@@ -287,10 +311,10 @@ def _(spark, sf_dir):
     return analytics.co_change(changes, score=0.05).select("file_a", "file_b", "co_changes", F.round("coupling_score", 6).alias("coupling_score"))
 
 
-@_operator("file_history", "select l_partkey as file, count(distinct l_orderkey) as change_count from lineitem group by 1")
+@_operator("file_history", "select l_partkey as file, count(distinct l_orderkey) as change_count, max(l_shipdate) as last_modified from lineitem group by 1")
 def _(spark, sf_dir):
     changes = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_shipdate").alias("ts"), F.col("l_partkey").alias("file"))
-    return analytics.file_history(changes).drop("last_modified")
+    return analytics.file_history(changes)
 
 
 @_operator("p99_by_type", "select event_type, list_sort(list(value))[least((count(*) * 99) // 100, count(*) - 1) + 1] as p99 from events group by event_type")
@@ -301,11 +325,49 @@ def _(spark, sf_dir):
 # search
 
 
-@_operator("bm25_search", r"""with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as t from documents), s as (select count(*)::double as n, avg(len(t)) as a from d), q as (select unnest(['tion', 'the', 'nicht']) as w), f as (select doc_id, w, len(t)::double as dl, len(list_filter(t, lambda x: x = w))::double as tf from d, q), i as (select w, count(*) filter (tf > 0)::double as df from f group by w) select doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) as score from f join i using (w), s where tf > 0 group by doc_id""")
+_BM25_SQL = r"""with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as t from documents), s as (select count(*)::double as n, avg(len(t)) as a from d), q as (select unnest(['tion', 'the', 'nicht']) as w), f as (select doc_id, w, len(t)::double as dl, len(list_filter(t, lambda x: x = w))::double as tf from d, q), i as (select w, count(*) filter (tf > 0)::double as df from f group by w) select doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) as score from f join i using (w), s where tf > 0 group by doc_id"""
+
+
+@_operator("bm25_search", _BM25_SQL)
 def _(spark, sf_dir):
     return text_search.bm25(_table(spark, sf_dir, "documents"), "doc_id", "text", "tion the nicht").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@_operator("bm25_indexed", _BM25_SQL)
+def _(spark, sf_dir):
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex[:12]}"
+    text_search.write_index(_table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return text_search.search_index(spark, path, "doc_id", "tion the nicht").select("doc_id", F.round("score", 6).alias("score"))
+
+
+_BOOSTED = "case label when 'Function' then 10 when 'Class' then 5 else 0 end"
+
+
+@_operator("search_nodes", rf"""with {_GRAPH}, x as (select id, case label when 'Customer' then 'Function' when 'Part' then 'Class' when 'Order' then 'Variable' else label end as label, replace(name, '#', 'Né#') as name, qn, fp from nodes),
+d as (select id, name, label, list_filter(string_split_regex(lower(strip_accents(concat_ws(' ', name, regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), qn, label, fp))), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') as t from x where label <> 'Variable'),
+s as (select count(*)::double as n, avg(len(t)) as a from d), q as (select unnest(['nation_7', 'ring', 'nee']) as w),
+f as (select id, name, label, w, len(t)::double as dl, len(list_filter(t, lambda x: x = w))::double as tf from d, q), i as (select w, count(*) filter (tf > 0)::double as df from f group by w)
+select id, name, label, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) + {_BOOSTED}, 6) as score from f join i using (w), s where tf > 0 group by id, name, label order by score desc, id limit 40""")
+def _(spark, sf_dir):
+    label = F.when(F.col("label") == "Customer", "Function").when(F.col("label") == "Part", "Class").when(F.col("label") == "Order", "Variable").otherwise(F.col("label"))
+    nodes = _graph(spark, sf_dir).scan().withColumn("label", label).withColumn("name", F.replace("name", F.lit("#"), F.lit("Né#")))
+    return text_search.search_nodes(nodes, "nation_7 RING née", 40).withColumn("score", F.round("score", 6))
+
+
+_CODE = "case when doc_id % 3 = 0 then 'tests/t' when doc_id % 3 = 1 then 'vendor/v' else 'src/s' end || doc_id || '.py'"
+
+
+@_operator("search_code", f"with h as (select doc_id, count(*) as hits from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, 'worthless|pathetic') group by doc_id) select doc_id as id, case when doc_id % 2 = 0 then 'Function' else 'Route' end as label, {_CODE} as file_path, hits, (case when doc_id % 5 = 0 then 2 else 0 end + case when doc_id % 2 = 0 then 10 else 15 end - case when doc_id % 3 = 1 then 50 else 0 end - case when doc_id % 3 = 0 then 5 else 0 end)::bigint as score from h order by score desc, id limit 50")
+def _(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "tests/t").when(F.col("doc_id") % 3 == 1, "vendor/v").otherwise("src/s"), F.col("doc_id").cast("string"), F.lit(".py"))
+    files = docs.select(path.alias("file_path"), "text")
+    nodes = docs.select(F.col("doc_id").alias("id"), path.alias("name"), F.when(F.col("doc_id") % 2 == 0, "Function").otherwise("Route").alias("label"), path.alias("qualified_name"), path.alias("file_path"), F.lit(1).alias("start_line"), F.lit(1 << 30).alias("end_line"))
+    edges = docs.where("doc_id % 5 = 0").select(F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))).alias("src"), F.col("doc_id").alias("dst"), F.lit("CALLS").alias("type"))
+    found = text_search.search_code(files, nodes, edges, "worthless|pathetic")
+    return found.select("id", "label", "file_path", "hits", F.col("score").cast("bigint").alias("score"))
+
+
 @_operator("document_frequency", r"select token, df, round(ln((select count(*) from documents) / df), 6) as idf from (select token, count(*) as df from (select distinct doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) as token from documents) group by token)")
 def _(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("t"))
@@ -327,10 +389,10 @@ def _(spark, sf_dir):
     return store.tightest(nodes, hits).select("file_path", "line", "id")
 
 
-@_operator("camel_split", "select distinct p_type as name, p_type || ' ' || p_type as split from part")
+@_operator("camel_split", r"select p_partkey as id, x || ' ' || regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g') as split from (select p_partkey, lower(p_brand) || p_type || 'XMLParser' || p_size || 'aB' as x from part)")
 def _(spark, sf_dir):
-    parts = _table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
-    return parts.select("name", text.camel_split(F.col("name")).alias("split"))
+    name = F.concat(F.lower("p_brand"), "p_type", F.lit("XMLParser"), F.col("p_size").cast("string"), F.lit("aB"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.camel_split(name).alias("split"))
 
 
 @_operator("url_paths", r"select page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) as path from pages")
@@ -356,7 +418,14 @@ def _(spark, sf_dir):
     return vector_search.neighbours(v.where("vec_id % 100 = 0"), v, 5, "vec_id", "embedding").select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
-@_operator("hyperplane_pairs")
+def _hyperplane_sql(dimensions: int = 64) -> str:
+    """The planes as literals."""
+    planes = vector_search.planes_of(dimensions)
+    lists = ", ".join("[" + ", ".join(map(repr, map(float, planes[:, k]))) + "]" for k in range(planes.shape[1]))
+    return f"with p as (select unnest(range(0, 64)) as k, unnest([{lists}]) as p), b as (select vec_id, k // 4 as band, string_agg((list_dot_product(embedding::double[], p::double[]) > 0)::int, '' order by k) as h from embeddings, p group by all) select distinct x.vec_id as a, y.vec_id as b from b x join b y on x.band = y.band and x.h = y.h and x.vec_id < y.vec_id"
+
+
+@_operator("hyperplane_pairs", _hyperplane_sql())
 def _(spark, sf_dir):
     v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return vector_search.hyperplane_candidates(vector_search.hyperplane_signatures(v))
@@ -382,6 +451,14 @@ def _(spark, sf_dir):
     return similarity.band_pairs(signed, bands=8).join(a, "a").join(b, "b").select("a", "b", similarity.jaccard_estimate(F.col("x"), F.col("y")).alias("jaccard"))
 
 
+@_operator("similar_edges", f"with s as (select page_id as id, page_id % 2 as e, [list_min([md5(k || '|' || x) for x in s]) for k in range(0, 16)] as g from {_TITLES}), b as (select id, e, g, unnest(range(0, 8)) as k from s), p as (select distinct a.id as src, b.id as dst, len(list_filter(range(1, 17), lambda i: a.g[i] = b.g[i])) / 16 as jaccard from b a join b on a.k = b.k and a.g[2 * a.k + 1:2 * a.k + 2] = b.g[2 * b.k + 1:2 * b.k + 2] and a.id < b.id and a.e = b.e) select src, dst, jaccard, src % 6 = dst % 6 as same_file from p where jaccard >= 0.25 qualify row_number() over (partition by src order by jaccard desc, dst) <= 3")
+def _(spark, sf_dir):
+    signed = _titles(spark, sf_dir).select("id", similarity.signature(F.col("s"), 16).alias("signature"))
+    name = F.concat((F.col("page_id") % 6).cast("string"), F.when(F.col("page_id") % 2 == 0, ".py").otherwise(".js"))
+    files = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), name.alias("file_path"))
+    return similarity.similar_edges(signed, files, 0.25, 3, bands=8)
+
+
 # derivation, traces
 
 
@@ -400,17 +477,28 @@ def _(spark, sf_dir):
     return derive.structure(rows, "p")[1]
 
 
-@_operator("implemented_interfaces", "with m as (select distinct l_suppkey as src, p_brand as b from lineitem join part on p_partkey = l_partkey where p_size < 4), i as (select distinct p_type as dst, p_brand as b from part where p_size < 2), k as (select dst, count(*) as k from i group by dst) select 'IMPLEMENTS' as type, src::varchar as src, dst from (select src, dst, count(*) as c from m join i using (b) group by all) join k using (dst) where c = k")
+@_operator("implemented_interfaces", "with m as (select distinct l_suppkey as src, l_partkey as p from lineitem), i as (select distinct l_orderkey as dst, l_partkey as p from lineitem), k as (select dst, count(*) as k from i group by dst) select 'IMPLEMENTS' as type, 's' || src as src, 'o' || dst as dst from (select src, dst, count(*) as c from m join i using (p) group by all) join k using (dst) where c = k")
 def _(spark, sf_dir):
-    part = _table(spark, sf_dir, "part")
-    methods = _table(spark, sf_dir, "lineitem").join(part.where("p_size < 4"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").cast("string").alias("owner"), F.col("p_brand").alias("name"))
-    return derive.implements(methods, part.where("p_size < 2").select(F.col("p_type").alias("owner"), F.col("p_brand").alias("name")))
+    rows, name = _table(spark, sf_dir, "lineitem"), F.col("l_partkey").cast("string").alias("name")
+    owner = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string")).alias("owner")
+    return derive.implements(rows.select(owner("s", "l_suppkey"), name), rows.select(owner("o", "l_orderkey"), name))
+
+
+_WINDOWS_SQL = "select event_type as path, time_bucket(interval 1 day, ts) as window_start, count(*) as spans, count(*) filter (event_id % 7 = 0) as errors, round(avg(value), 6) as mean_ns from events group by all"
+
+
+def _spans(events: DataFrame) -> DataFrame:
+    status = F.when(F.col("event_id") % 7 == 0, "503").otherwise("200")
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("GET").alias("method"), F.col("event_type").alias("path"), status.alias("status"), F.col("value").alias("duration_ns"))
+
 
+def _windows(found: DataFrame) -> DataFrame:
+    return found.select("path", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "spans", "errors", F.round("mean_ns", 6).alias("mean_ns"))
 
-@_operator("span_windows", "select event_type as path, time_bucket(interval 1 day, ts) as window_start, count(*) as spans from events group by all")
+
+@_operator("span_windows", _WINDOWS_SQL)
 def _(spark, sf_dir):
-    spans = _table(spark, sf_dir, "events").select(F.col("ts").alias("ts"), F.lit("GET").alias("method"), F.col("event_type").alias("path"), F.lit("200").alias("status"), F.col("value").alias("duration_ns"))
-    return traces.windows(spans, "1 day").select("path", "window_start", "spans")
+    return _windows(traces.windows(_spans(_table(spark, sf_dir, "events")), "1 day"))
 
 
 # more of the inventory
@@ -522,6 +610,24 @@ def _(spark, sf_dir):
     return derive.resolve_calls(calls, defs, imports).select("call_id", "target", "strategy", F.round("confidence", 6).alias("confidence"))
 
 
+@_operator("resolved_calls_by_imports", """with p as (select p_partkey, p_brand, p_size % 2 = 0 as plain, p_brand || case when p_size % 2 = 0 then '.' else '.T.' end || p_partkey as q from part),
+c as (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem),
+x as (select c.*, p.*, i.p_brand = p.p_brand as reached from c join p on p.p_partkey = l_partkey join p i on i.p_partkey = l_suppkey),
+y as (select *, case when l_linenumber % 2 = 0 and reached then case when plain then 'import_map' else 'import_map_suffix' end when l_linenumber = 3 and plain then 'same_module' else 'unique_name' end as strategy from x)
+select l_linenumber::bigint * 100000000 + l_orderkey as call_id, q as target, strategy, case strategy when 'import_map' then 0.95 when 'import_map_suffix' then 0.85 when 'same_module' then 0.9 else case when reached then 0.75 else 0.375 end end::double as confidence from y""")
+def _(spark, sf_dir):
+    part, key = _table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    qn = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, ".").otherwise(".T."), key)
+    defs = part.select(qn.alias("qualified_name"), key.alias("name"), F.col("p_brand").alias("module"), F.lit("a.py").alias("file_path"))
+    file = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey"))
+    module = F.when(F.col("l_linenumber") == 3, F.col("p_brand")).otherwise(F.lit("m"))
+    callee = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("k."), key)).otherwise(key)
+    calls = rows.select((F.col("l_linenumber").cast("bigint") * 100000000 + F.col("l_orderkey")).alias("call_id"), file("l_suppkey").alias("file"), module.alias("module"), callee.alias("callee"))
+    imports = part.select(file("p_partkey").alias("file"), F.lit("k").alias("key"), F.col("p_brand").alias("module"))
+    return derive.resolve_calls(calls, defs, imports).select("call_id", "target", "strategy", F.round("confidence", 6).alias("confidence"))
+
+
 @_operator("definition_edges", "select 'DEFINES' as type, p_brand as src, p_brand || '.' || p_partkey as dst from part union select 'DEFINES_METHOD', 'K' || p_size, p_brand || '.' || p_partkey from part where p_size < 10")
 def _(spark, sf_dir):
     qn = F.concat_ws(".", "p_brand", F.col("p_partkey").cast("string"))
@@ -529,10 +635,12 @@ def _(spark, sf_dir):
     return derive.definitions(defs)
 
 
-@_operator("override_edges", "select distinct 'OVERRIDE' as type, a.p_brand || a.p_size as src, b.p_brand || b.p_size as dst from part a join part b on a.p_size = b.p_size where a.p_brand = 'Brand#11' and b.p_brand = 'Brand#12'")
+@_operator("override_edges", "with p as (select p_brand as a, lead(p_brand) over (order by p_brand) as b from part group by p_brand) select distinct 'OVERRIDE' as type, x.p_brand || x.p_size as src, y.p_brand || y.p_size as dst from p join part x on x.p_brand = a join part y on y.p_brand = b and x.p_size = y.p_size")
 def _(spark, sf_dir):
     methods = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_size").cast("string").alias("name"), F.concat("p_brand", F.col("p_size").cast("string")).alias("qualified_name")).distinct()
-    return derive.overrides(methods, spark.createDataFrame([("Brand#11", "Brand#12")], "src string, dst string"))
+    brands = methods.select(F.col("owner").alias("src")).distinct()
+    parents = brands.select("src", F.lead("src").over(Window.orderBy("src")).alias("dst")).where("dst is not null")
+    return derive.overrides(methods, parents)
 
 
 @_operator("test_edges", "select distinct 'TESTS' as type, l_orderkey as src, l_partkey + 1000000000 as dst from lineitem join part on p_partkey = l_partkey where p_size >= 25")
@@ -599,10 +707,72 @@ def _(spark, sf_dir):
     return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@_operator("identifier_tokens", r"select p_partkey as id, list_filter(string_split_regex(lower(p_brand || '_' || p_name || '-' || p_size), '[./_ (),:-]+'), lambda x: x <> '') as tokens from part")
+@_operator("identifier_tokens", r"with a as (select map([{keys}], [{words}]) as m), x as (select p_partkey as id, list_filter(string_split_regex(lower(regexp_replace('reqCtx_' || p_brand || '/' || p_name || '-' || p_size || '.errMsg', '([a-z])([A-Z])', '\1 \2', 'g')), '[./_ (),:-]+'), lambda t: t <> '') as t from part) select id, list_concat(t, list_filter(list_transform(t, lambda w: m[w]), lambda w: w is not null)) as tokens from x, a".format(keys=", ".join(f"'{k}'" for k in text.ABBREVIATIONS), words=", ".join(f"'{k}'" for k in text.ABBREVIATIONS.values())))
+def _(spark, sf_dir):
+    joined = F.concat(F.lit("reqCtx_"), "p_brand", F.lit("/"), "p_name", F.lit("-"), F.col("p_size").cast("string"), F.lit(".errMsg"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.identifier_tokens(joined).alias("tokens"))
+
+
+@_operator("trace_by_name", f"with {_GRAPH}, h as (select 1 as hop, id from nodes where label = 'Nation' and id in (select src from edges where type = 'PART_OF' and dst = (select min(id) from nodes where name = 'ASIA')) union all select 2, src from edges where type = 'LOCATED_IN' and dst in (select src from edges where type = 'PART_OF' and dst = (select min(id) from nodes where name = 'ASIA'))) select hop, case hop when 1 then 'CRITICAL' else 'HIGH' end as risk, id, name, qn as qualified_name, fp as file_path from h join nodes using (id)")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    edges = g.scan_edges(["LOCATED_IN", "PART_OF"]).withColumn("type", F.when(F.col("type") == "PART_OF", "DATA_FLOWS").otherwise("CALLS"))
+    return traverse.trace(g.scan(), edges, "ASIA", "data_flow", "in")
+
+
+@_operator("trace_by_qualified_name", f"with {_GRAPH}, h as (select 1 as hop, dst as id from edges where type = 'LOCATED_IN' and src = {S} + 1 union all select 2, b.dst from edges a join edges b on b.src = a.dst where a.type = 'LOCATED_IN' and b.type = 'PART_OF' and a.src = {S} + 1) select hop, case hop when 1 then 'CRITICAL' else 'HIGH' end as risk, id, name, qn as qualified_name, fp as file_path from h join nodes using (id)")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    edges = g.scan_edges(["LOCATED_IN", "PART_OF", "PLACED"])
+    kind = F.when(F.col("type") == "PART_OF", "ASYNC_CALLS").when(F.col("type") == "LOCATED_IN", "HTTP_CALLS").otherwise("USAGE")
+    return traverse.trace(g.scan(), edges.withColumn("type", kind), "tpch.supplier.1", "cross_service")
+
+
+@_operator("pattern_degrees", f"with {_GRAPH}, d as (select dst as id, count(*) as n from edges where type = 'LOCATED_IN' group by dst) select name, n as incoming, 0::bigint as outgoing from nodes join d using (id) where label = 'Nation' and n >= 5")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    called = replace(g, by_type={**g.by_type, "CALLS": _calls(g, "LOCATED_IN")})
+    return compile_query(called, "MATCH (n:Nation) WHERE n.in_degree >= 5 RETURN n.name AS name, n.in_degree AS incoming, n.out_degree AS outgoing")
+
+
+@_operator("architecture_languages", "select case lang when 'en' then 'Python' when 'fr' then 'C++' when 'de' then 'OCaml' end as language, count(*) as n from documents where lang in ('en', 'fr', 'de') group by 1")
 def _(spark, sf_dir):
-    joined = F.concat("p_brand", F.lit("_"), "p_name", F.lit("-"), F.col("p_size").cast("string"))
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.identifier_tokens(joined, expand=False).alias("tokens"))
+    end = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".CXX").when(F.col("lang") == "de", ".mli").otherwise(".unknown")
+    files = _table(spark, sf_dir, "documents").select(F.lit("File").alias("label"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), end).alias("file_path"))
+    return analytics.architecture(files, files, "languages")["languages"]
+
+
+@_operator("architecture_routes", "select page_id as id, 'GET' as method, url as path, 'h' || page_id as handler from pages order by id limit 20")
+def _(spark, sf_dir):
+    properties = F.to_json(F.struct(F.lit("GET").alias("method"), F.col("url").alias("path"), F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("handler")))
+    nodes = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("Route").alias("label"), F.lit("r").alias("name"), properties.alias("properties"))
+    return analytics.architecture(nodes, nodes, "routes")["routes"]
+
+
+@_operator("architecture_entry_points", "select p_partkey as id, p_name as name from part where p_size = 7 and p_partkey % 2 = 0 order by id limit 20")
+def _(spark, sf_dir):
+    path = F.when(F.col("p_partkey") % 2 == 0, "src/a.py").otherwise("tests/test_a.py")
+    nodes = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("q").alias("qualified_name"), path.alias("file_path"), F.to_json(F.struct((F.col("p_size") == 7).alias("is_entry_point"))).alias("properties"))
+    return analytics.architecture(nodes, nodes, "entry_points")["entry_points"].select("id", "name")
+
+
+@_operator("lookup_by_ids", f"with {_GRAPH} select id, name, label from nodes where id in (select {O} + l_orderkey from lineitem where l_linenumber = 2 union select {C} + 1)")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    ids = _table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select((F.col("l_orderkey") + O).alias("id"))
+    return store.by_ids(g.scan(), ids.union(spark.range(C + 1, C + 2))).select("id", "name", "label")
+
+
+@_operator("store_counts", f"with {_GRAPH} select 'nodes' as what, count(*) as n from nodes union all select 'edges', count(*) from edges union all select 'vectors', count(*) from embeddings")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return analytics.counts(g.scan(), g.scan_edges(), _table(spark, sf_dir, "embeddings"))
+
+
+@_operator("renumbered_edges", f"with {_GRAPH}, k as (select id, row_number() over (order by id) as k from nodes) select a.k as src, b.k as dst, type from edges join k a on a.id = src join k b on b.id = dst")
+def _(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return store.renumbered(g.scan(), g.scan_edges())[1].select("src", "dst", "type")
 
 
 # streams
@@ -622,14 +792,13 @@ def _(spark, sf_dir):
     return table.read().select("id", "label", "qualified_name")
 
 
-@_operator("streamed_span_windows", "select event_type as path, time_bucket(interval 1 day, ts) as window_start, count(*) as spans from events group by all")
+@_operator("streamed_span_windows", _WINDOWS_SQL)
 def _(spark, sf_dir):
-    spans = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("GET").alias("method"), F.col("event_type").alias("path"), F.lit("200").alias("status"), F.col("value").alias("duration_ns"))
     out = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex[:12]}"
-    found = traces.windows(spans, "1 day")
+    found = traces.windows(_spans(_stream(spark, sf_dir, "events")), "1 day")
     sink = found.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
     sink.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("path", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "spans")
+    return _windows(spark.read.parquet(f"{out}/rows"))
 
 
 def queries() -> dict[str, Run]:
