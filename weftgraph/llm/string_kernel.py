@@ -41,6 +41,9 @@ from .common import blocks, small_batches, text_bytes
 #: Bounds of the training sample and of the model.
 LANGUAGES, TRAIN_PER_LANGUAGE, TRAIN_CHARS, LANDMARKS_PER_LANGUAGE = 200, 240, 20_000, 32
 
+#: Parts of a language's texts that are ranked one by one.
+LANGUAGE_PARTS = 16
+
 RIDGE = 1e-2
 
 #: Bytes of text, and places of a presence matrix, scored at once.
@@ -150,8 +153,11 @@ def train(labelled: DataFrame, train_per_language: int = TRAIN_PER_LANGUAGE, tra
     use = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("text").alias("_t"))
     texts = use.groupBy("lang", "_t").agg(F.min("doc_id").alias("id"), F.min(F.length("text") > train_chars).alias("long"))
     most = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id", "_t")
-    ranked = texts.join(F.broadcast(most), "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= train_per_language)
+    # of each part of a language first, so that no task ranks more than the parts' best
+    order = ("long", F.xxhash64("id"), "id", "_t")
+    ranked = texts.join(F.broadcast(most), "lang").withColumn("part", F.pmod("_t", F.lit(LANGUAGE_PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= train_per_language)
     part = F.when(F.length("text") <= train_chars, F.col("text")).otherwise(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, train_chars))
     chosen = use.join(F.broadcast(ranked.select("lang", "_t", "r")), ["lang", "_t"]).select("lang", "r", part.alias("text")).dropDuplicates(["lang", "r"])
     rows = sorted((x.r, x.lang, x.text) for x in chosen.collect())  # languages * train_per_language texts at most
