@@ -78,9 +78,10 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = N
     text that doesn't contain a word is not searched for it. For more searches than one
     write_index and search_index."""
     words = query_tokens(query)
-    lowered = F.lower(text)
+    lowered = F.col("_low")
     counts = [F.when(lowered.contains(w), F.regexp_count(lowered, F.lit(rf"(?<![{_WORD}]){re.escape(w)}(?![{_WORD}])"))).otherwise(F.lit(0)) for w in words]
-    rows = docs.select(key, F.regexp_count(text, F.lit(f"[{_WORD}]+")).cast("double").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    once = docs.select(key, F.lower(text).alias("_low"))  # lower-cased once for all words
+    rows = once.select(key, F.regexp_count("_low", F.lit(f"[{_WORD}]+")).cast("double").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.coalesce("dl", F.lit(0.0))).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(words))])
     joined = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(words))) or "false").crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
