@@ -37,7 +37,7 @@ def test_names(spark):
     assert column(spark, paths.package(F.col("a")), *qn) == ["store", "server", "main", "cmd", ""]
     assert column(spark, paths.top_package(F.col("a")), *qn) == ["internal", "cmd", "main", "cmd", ""]
     assert column(spark, text.camel_split(F.col("a")), "parseHTTPRequest", "x") == ["parseHTTPRequest parse HTTP Request", "x x"]
-    assert column(spark, text.identifier_tokens(F.col("a")), "getErrMsg_id") == [["get", "err", "msg", "id", "error", "message", "identifier"]]
+    assert column(spark, text.identifier_tokens(F.col("a")), "getErrMsg_id.idx") == [["get", "err", "msg", "id", "idx", "error", "message", "index"]]
     assert column(spark, text.config_key(F.col("a")), "maxRetry.count", "DB-Host") == ["max_retry_count", "db_host"]
     assert column(spark, text.decorator_words(F.col("a")), '@app.route("/users", methods=[GET])') == [["app", "route", "users", "methods"]]
     assert column(spark, paths.module_name(F.lit("p"), F.col("a")), "a/b/__init__.py", "a/b.py", "index.js") == ["p.a.b", "p.a.b", "p"]
