@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 from weftgraph.functions import coerce, paths, text
-from weftgraph.operators import analytics, derive, reach, records, similarity, store, text_search, traverse, vector_search
+from weftgraph.operators import analytics, derive, services, reach, records, similarity, store, text_search, traverse, vector_search
 
 from .graphs import architecture, chain, http, standard
 
@@ -338,7 +338,40 @@ def test_other_edges(spark):
     assert {(r.dst, r.confidence) for r in deps.collect()} == {(2, 0.95), (3, 0.80)}
     tags = derive.decorator_tags(spark.createDataFrame([(1, ["@app.route('/a')"]), (2, ["@route"]), (3, ["@once"])], "id bigint, decorators array<string>"))
     assert {(r.id, tuple(r.tags)) for r in tags.collect()} == {(1, ("route",)), (2, ("route",))}
-    assert column(spark, derive.call_kind(F.col("a")), "requests.get", "queue.publish", "helper") == ["HTTP_CALLS", "ASYNC_CALLS", "CALLS"]
+
+
+def test_services(spark):
+    names = ("p.venv.requests.api.get", "celery.app.send_task", "github.com/gin-gonic/gin.Engine.GET", "os.getenv", "grpc.aio.stub", "@trpc/client.x", "gql.q", "helper", None)
+    assert column(spark, services.service_kind(F.col("a")), *names) == ["HTTP_CALLS", "ASYNC_CALLS", "ROUTE", "CONFIGURES", "GRPC_CALLS", "TRPC_CALLS", "GRAPHQL_CALLS", "CALLS", "CALLS"]
+    assert column(spark, services.broker(F.col("a")), "celery.app", "kafkajs.x", "x") == ["celery", "kafka", None]
+    assert column(spark, services.http_method(F.col("a")), "r.get", "c.PostAsync", "t.getForObject", "x.POST", "gadget") == ["GET", "POST", "GET", "POST", None]
+    assert column(spark, services.route_method(F.col("a")), "r.GET", "app.MapPost", "Route::put", "app.include_router", "x.find") == ["GET", "POST", "PUT", "ANY", None]
+    calls = spark.createDataFrame(
+        [(1, "f", "r.get", "requests.get", "/a/{id}/"), (2, "f", "r.get", "requests.get", None), (3, "f", "s", "celery.send_task", "jobs"), (4, "m", "e.GET", "gin.GET", "/b"), (5, "f", "g", "p.g", "/x"), (6, "f", "h", "os.getenv", "HOME"), (7, "f", "s", "celery.send_task", "x")],
+        "call_id int, src string, callee string, target string, arg string",
+    )
+    got = {r.call_id: (r.type, r.dst, r.method, r.broker) for r in services.service_edges(calls).collect()}
+    assert got == {1: ("HTTP_CALLS", "__route__GET__/a/{}", "GET", None), 2: ("CALLS", "requests.get", None, None), 3: ("ASYNC_CALLS", "__route__celery__jobs", None, "celery"), 4: ("CALLS", "__route__GET__/b", "GET", None), 5: ("CALLS", "p.g", None, None), 6: ("CONFIGURES", "os.getenv", None, None), 7: ("CALLS", "celery.send_task", None, None)}
+
+
+def test_routes_of_services(spark):
+    mounts = spark.createDataFrame([("__route__ANY__/users", "/users", "svc/main.py")], "route string, path string, file_path string")
+    functions = spark.createDataFrame([("a", "svc/api/users.py"), ("b", "svc/api/items.py"), ("c", "other/users.py")], "handler string, file_path string")
+    assert [tuple(r) for r in services.mounted_handles(mounts, functions).collect()] == [("a", "__route__ANY__/users")]
+    assert column(spark, services.service_name(F.col("a")), "https://my-svc-ab12cd34ef-uc.a.run.app/x", "http://plain.host", "none") == ["my-svc", "plain", ""]
+    infra = spark.createDataFrame([("i1", "https://orders-ab12cd34ef-uc.a.run.app/v1/list"), ("i2", "https://root-svc.a.run.app/zz")], "route string, url string")
+    handled = spark.createDataFrame(
+        [("h1", "__route__GET__/v1/list", "/v1/list", "orders/api.py"), ("h2", "__route__GET__/v1/list", "/v1/list", "stock/api.py"), ("h3", "__route__ANY__/v1", "/v1", "any/api.py"), ("h4", "__route__POST__/", "/", "x/root-svc/m.py"), ("h5", "__route__GET__/v", "/v", "orders/api.py")],
+        "handler string, route string, path string, file_path string",
+    )
+    assert {tuple(r) for r in services.infra_handles(infra, handled).collect()} == {("h1", "i1"), ("h3", "i1"), ("h4", "i2")}
+    nodes = spark.createDataFrame([(1, "Class", "Greeter", "a.proto", 1, 9), (2, "Function", "Hello", "a.proto", 2, 2), (3, "Function", "Out", "a.proto", 20, 20), (4, "Function", "F", "b.py", 2, 2)], "id bigint, label string, name string, file_path string, start_line int, end_line int")
+    assert [(r.route, r.handler) for r in services.grpc_routes(nodes).collect()] == [("__grpc__Greeter/Hello", 2)]
+    defs = spark.createDataFrame(
+        [("q1", "GET", "Function", "a/src/routes/(grp)/api/[slug=int]/+server.ts"), ("q2", "load", "Function", "src/routes/+page.server.js"), ("q3", "actions", "Variable", "src/routes/x/[...rest]/+page.server.ts"), ("q4", "fallback", "Function", "src/routes/+server.ts"), ("q5", "other", "Function", "src/routes/+server.ts"), ("q6", "GET", "Function", "src/+server.ts")],
+        "qualified_name string, name string, label string, file_path string",
+    )
+    assert {(r.handler, r.route) for r in services.file_routes(defs).collect()} == {("q1", "__route__GET__/api/:slug"), ("q2", "__route__LOAD__/"), ("q3", "__route__ACTIONS__/x/*rest"), ("q4", "__route__ANY__/")}
 
 
 def test_file_and_module_links(spark):

@@ -16,12 +16,14 @@ from .plans.compiler import compile_query
 
 @dataclass
 class Engine:
-    """graph: the nodes and edges; files: file_path, text; vectors: id, vector; tables:
-    stored graphs by project, if there are any."""
+    """graph: the nodes and edges; files: file_path, text; embeddings: id, vector; records
+    and states: what was extracted from the files, and how they were then."""
 
     graph: Graph
     files: DataFrame | None = None
     embeddings: DataFrame | None = None
+    records: DataFrame | None = None
+    states: DataFrame | None = None
 
     @cached_property
     def nodes(self) -> DataFrame:

@@ -36,6 +36,24 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension(path)), F.lit(""))
 
 
+#: Languages by the whole name of a file. Fixed values.
+FILE_NAMES = {
+    "CMakeLists.txt": "CMake", "Dockerfile": "Dockerfile", "GNUmakefile": "Makefile", "Makefile": "Makefile", "makefile": "Makefile", "meson.build": "Meson", "meson.options": "Meson", "meson_options.txt": "Meson",
+    "kustomization.yaml": "Kustomize", "kustomization.yml": "Kustomize", ".vimrc": "Vimscript", ".zshrc": "Zsh", ".zshenv": "Zsh", ".zprofile": "Zsh", "justfile": "Just", "Justfile": "Just", ".justfile": "Just",
+    "hyprland.conf": "Hyprlang", "ssh_config": "SSH config", "sshd_config": "SSH config", "BUILD": "Starlark", "BUILD.bazel": "Starlark", "WORKSPACE": "Starlark", "WORKSPACE.bazel": "Starlark",
+    "requirements.txt": "Requirements", "requirements-dev.txt": "Requirements", "requirements-test.txt": "Requirements", "Kconfig": "Kconfig", "go.mod": "Go module",
+}
+
+
+def file_language(path: Column, text: Column | None = None) -> Column:
+    """By the file's name, then by its extension. What .m means is told by the text, if it
+    is given: Objective-C by its directives, Magma by its way to end blocks, else MATLAB."""
+    named = F.create_map(*[F.lit(x) for pair in FILE_NAMES.items() for x in pair])
+    body = F.lit("") if text is None else F.coalesce(text, F.lit(""))
+    m = F.when(body.rlike(r"(?m)^\s*(?:@interface|@implementation|@protocol|@property|@end\b|#import)"), "Objective-C").when(body.rlike(r"(?m)^\s*end (?:function|procedure|intrinsic|if|for|while);"), "Magma").otherwise("MATLAB")
+    return F.coalesce(F.try_element_at(named, F.substring_index(path, "/", -1)), F.when(extension(path) == ".m", m).otherwise(language(path)))
+
+
 def mentions_test(path: Column) -> Column:
     """The widest test of the three: the path has `test` in it."""
     return F.coalesce(path.contains("test"), F.lit(False))

@@ -102,26 +102,6 @@ def resolve_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame, known:
     return out
 
 
-#: Parts of callees by the kind of edge they make. Fixed values.
-CALLEE_KINDS = {
-    "HTTP_CALLS": ("requests.", "httpx.", "axios.", "fetch", "http.Get", "http.Post", "urllib.request", "RestTemplate", "HttpClient"),
-    "ASYNC_CALLS": ("publish", "send_task", "apply_async", "enqueue", "producer.send", "basic_publish"),
-    "CONFIGURES": ("os.getenv", "os.environ", "process.env", "viper.Get", "config.get"),
-    "GRPC_CALLS": ("grpc.", "_stub.", "Stub."),
-    "GRAPHQL_CALLS": ("graphql", "gql(", "useQuery", "useMutation"),
-    "TRPC_CALLS": ("trpc.",),
-}
-
-
-def call_kind(callee: Column) -> Column:
-    """The edge type that a callee's name makes, CALLS if none else."""
-    out = None
-    for kind, parts in CALLEE_KINDS.items():
-        test = reduce(lambda a, b: a | b, [callee.contains(p) for p in parts])
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("CALLS")
-
-
 def route_key(method: Column, path: Column) -> Column:
     """Qualified name of a route: method, and path with its parameters alike."""
     plain = F.regexp_replace(F.regexp_replace(path, r"\{[^}]*\}|:[A-Za-z_]\w*|<[^>]*>", "{}"), r"(?<=.)/$", "")

@@ -88,3 +88,45 @@ def path_aliases(files: DataFrame) -> DataFrame:
     """file_path, alias, target of TypeScript configurations."""
     paths = F.from_json(F.get_json_object("text", "$.compilerOptions.paths"), "map<string,array<string>>")
     return files.select("file_path", F.explode(paths).alias("alias", "targets")).select("file_path", "alias", F.explode("targets").alias("target"))
+
+
+def _package(files: DataFrame, which, name, entry: str) -> DataFrame:
+    """Of the files for which a condition holds: name and the folder of its sources."""
+    folder = F.regexp_extract("file_path", "^(.*/)?[^/]*$", 1)
+    own = files.where(which).select("file_path", name.alias("name"), folder.alias("folder")).where("name <> ''")
+    return own.select("file_path", "name", F.rtrim(F.concat("folder", F.expr(entry)), F.lit("/")).alias("entry"))
+
+
+def packages(files: DataFrame) -> DataFrame:
+    """file_path, name, entry: the packages that manifests declare and the folder, below the
+    root, where their sources are."""
+    base = F.substring_index("file_path", "/", -1)
+    field = lambda p: F.regexp_extract("text", p, 1)
+    section = lambda s: F.regexp_extract("text", rf"(?ms)^\[{s}\]\s*$(.*?)(?=^\[|\z)", 1)
+    quoted = lambda c: F.regexp_extract(c, r"(?m)^\s*name\s*=\s*[\"']([^\"']+)", 1)
+    json = F.coalesce(F.get_json_object("text", "$.name"), F.lit(""))
+    python = F.coalesce(F.nullif(quoted(section("project")), F.lit("")), quoted(section(r"tool\.poetry")))
+    own = F.regexp_replace("text", r"(?s)<(parent|dependencies|dependencyManagement|build|profiles)>.*?</\1>", "")
+    group, artifact = F.regexp_extract(own, r"<groupId>\s*([^<\s]+)", 1), F.regexp_extract(own, r"<artifactId>\s*([^<\s]+)", 1)
+    both = F.when((group != "") & (artifact != ""), F.concat(group, F.lit("."), artifact)).otherwise("")
+    parts = [
+        _package(files, base == "package.json", json, "''"),
+        _package(files, base == "go.mod", field(r"(?m)^module\s+(\S+)"), "''"),
+        _package(files, base == "Cargo.toml", quoted(section("package")), "'src'"),
+        _package(files, base == "pyproject.toml", python, "regexp_replace(name, '-', '_')"),
+        _package(files, base == "composer.json", json, "''"),
+        _package(files, base == "pubspec.yaml", field(r"(?m)^name:\s*[\"']?([^\s\"'#]+)"), "'lib'"),
+        _package(files, base == "pom.xml", both, "'src/main/java'"),
+        _package(files, base == "pom.xml", F.when(both != "", group).otherwise(""), "'src/main/java'"),
+        _package(files, base.isin("build.gradle", "build.gradle.kts"), field(r"(?m)^\s*group\s*=?\s*[\"']([^\"']+)"), "'src/main/java'"),
+        _package(files, base == "mix.exs", field(r"\bapp:\s*:(\w+)"), "concat('lib/', name)"),
+        _package(files, base.endswith(".gemspec"), field(r"\.name\s*=\s*[\"']([^\"']+)"), "concat('lib/', name)"),
+    ]
+    psr4 = F.from_json(F.get_json_object("text", '$.autoload.psr-4'), "map<string,string>")
+    folder = F.regexp_extract("file_path", "^(.*/)?[^/]*$", 1)
+    spaces = files.where(base == "composer.json").select("file_path", folder.alias("folder"), F.explode(psr4).alias("name", "below"))
+    parts.append(spaces.select("file_path", F.rtrim(F.col("name"), F.lit("\\")).alias("name"), F.rtrim(F.concat("folder", "below"), F.lit("/")).alias("entry")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

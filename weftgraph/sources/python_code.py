@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: kind: def, call, import, base, decorator, raise, env.
+#: kind: def, call, import, base, decorator, raise, env. target: a definition's label, an
+#: import's name, a call's or decorator's first string.
 SCHEMA = "file_path string, kind string, name string, qualified_name string, owner string, target string, start_line int, end_line int"
 
 
@@ -29,6 +30,12 @@ def _dotted(node: ast.AST) -> str:
     return ".".join(["?", *reversed(parts)]) if parts else ""
 
 
+def _first_string(node: ast.AST) -> str | None:
+    """The first argument of a call that is a string."""
+    values = [*node.args, *(k.value for k in node.keywords)] if isinstance(node, ast.Call) else []
+    return next((a.value for a in values if isinstance(a, ast.Constant) and isinstance(a.value, str)), None)
+
+
 def records(path: str, text: str) -> list[tuple]:
     """Of a file that doesn't parse: none."""
     try:
@@ -49,7 +56,7 @@ def records(path: str, text: str) -> list[tuple]:
             label = "Class" if isinstance(node, ast.ClassDef) else "Method" if inside == "Class" else "Function"
             add("def", node.name, owner, node, label, own)
             for d in node.decorator_list:
-                add("decorator", _dotted(d.func if isinstance(d, ast.Call) else d), own, d)
+                add("decorator", _dotted(d.func if isinstance(d, ast.Call) else d), own, d, _first_string(d))
             for b in getattr(node, "bases", []):
                 add("base", _dotted(b), own, b)
             where, kind = own, label
@@ -63,7 +70,7 @@ def records(path: str, text: str) -> list[tuple]:
         elif isinstance(node, ast.Call):
             name = _dotted(node.func)
             if name:
-                add("call", name, owner, node)
+                add("call", name, owner, node, _first_string(node))
             if name in ("os.getenv", "os.environ.get") and node.args and isinstance(node.args[0], ast.Constant):
                 add("env", str(node.args[0].value), owner, node)
         elif isinstance(node, ast.Raise) and node.exc is not None:
@@ -92,12 +99,21 @@ def definitions(found: DataFrame) -> DataFrame:
 
 
 def calls(found: DataFrame) -> DataFrame:
-    """call_id, caller, module, callee, file."""
+    """call_id, caller, module, callee, file, arg."""
     rows = found.where("kind = 'call'")
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("file_path", r"\.py$", ""), r"/__init__$", ""), "/", ".")
-    return rows.select(F.xxhash64("file_path", "owner", "name", "start_line").alias("call_id"), F.col("owner").alias("caller"), module.alias("module"), F.col("name").alias("callee"), F.col("file_path").alias("file")).dropDuplicates(["call_id"])
+    return rows.select(F.xxhash64("file_path", "owner", "name", "start_line", F.coalesce("target", F.lit(""))).alias("call_id"), F.col("owner").alias("caller"), module.alias("module"), F.col("name").alias("callee"), F.col("file_path").alias("file"), F.col("target").alias("arg")).dropDuplicates(["call_id"])
 
 
 def imports(found: DataFrame) -> DataFrame:
     """file, key, module."""
     return found.where("kind = 'import'").select(F.col("file_path").alias("file"), F.col("name").alias("key"), F.regexp_replace("target", r"^\.+", "").alias("module"))
+
+
+def decorated_routes(found: DataFrame) -> DataFrame:
+    """function, router, method, path of functions whose decorator is a router's method and
+    has a path."""
+    verb = F.lower(F.substring_index("name", ".", -1))
+    rows = found.where((F.col("kind") == "decorator") & F.col("name").contains(".") & F.col("target").startswith("/"))
+    method = F.when(verb.isin("get", "post", "put", "delete", "patch", "head", "options"), F.upper(verb)).when(verb.isin("route", "websocket", "api_route"), "ANY")
+    return rows.select(F.col("owner").alias("function"), F.expr("substring_index(name, '.', 1)").alias("router"), method.alias("method"), F.col("target").alias("path")).where("method is not null")
