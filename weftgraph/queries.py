@@ -7,14 +7,15 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, paths, text
 from .graph import Graph
 from .lineage import cut, shared_folder
-from .operators import analytics, derive, reach, similarity, store, text_search, traverse, vector_search
+from .operators import analytics, derive, multi_match, reach, services, similarity, store, text_search, traverse, vector_search
 from .plans.compiler import compile_query
+from .sources import infra
 from .sources.tables import OFFSETS, tpch_graph
 from .streaming import traces, upserts
 
@@ -801,6 +802,139 @@ def _(spark, sf_dir):
     return _windows(spark.read.parquet(f"{out}/rows"))
 
 
+def _text(*parts) -> Column:
+    """Parts as one text: columns by name or as they are, strings that begin with = as such."""
+    return F.concat(*[F.lit(p[1:]) if isinstance(p, str) and p.startswith("=") else F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@_operator("service_edges", """with c as (select o_orderkey as k, o_orderkey % 6 as n, 'c' || o_custkey as src, case when o_orderkey % 5 = 0 then null when o_orderkey % 6 = 1 then 'jobs' || o_custkey else '/v/' || o_custkey end as arg from orders)
+select k as call_id, case when n = 0 and arg is not null then 'HTTP_CALLS' when n = 1 and arg is not null then 'ASYNC_CALLS' when n = 2 then 'CONFIGURES' when n = 5 then 'GRPC_CALLS' else 'CALLS' end as type, src,
+  case when n = 0 and arg is not null then '__route__GET__' || arg when n = 1 and arg is not null then '__route__celery__' || arg when n = 3 and arg is not null then '__route__POST__' || arg else ['requests.api.get', 'celery.app.task', 'os.getenv', 'gin.Engine.POST', 'shop.helper', 'grpc.aio.call'][n + 1] end as dst from c""")
+def _(spark, sf_dir):
+    n, k = F.col("o_orderkey") % 6, F.col("o_orderkey")
+    targets = F.array(*[F.lit(x) for x in ("requests.api.get", "celery.app.task", "os.getenv", "gin.Engine.POST", "shop.helper", "grpc.aio.call")])
+    arg = F.when(k % 5 == 0, F.lit(None)).when(n == 1, _text("=jobs", "o_custkey")).otherwise(_text("=/v/", "o_custkey"))
+    target = F.element_at(targets, (n + 1).cast("int"))
+    calls = _table(spark, sf_dir, "orders").select(k.alias("call_id"), _text("=c", "o_custkey").alias("src"), target.alias("callee"), target.alias("target"), arg.alias("arg"))
+    return services.service_edges(calls).select("call_id", "type", "src", "dst")
+
+
+@_operator("infra_handles", "select distinct 'h' || s_suppkey as handler, 'i' || n_nationkey as route from supplier join nation on s_nationkey = n_nationkey and s_suppkey % 5 = n_regionkey")
+def _(spark, sf_dir):
+    deployed = _table(spark, sf_dir, "nation").select(_text("=i", "n_nationkey").alias("route"), _text("=https://s", "n_regionkey", "=-ab12cd34ef-uc.a.run.app/v1/", "n_nationkey").alias("url"))
+    path = _text("=/v1/", "s_nationkey")
+    handled = _table(spark, sf_dir, "supplier").select(_text("=h", "s_suppkey").alias("handler"), F.concat(F.lit("__route__GET__"), path).alias("route"), path.alias("path"), _text("=s", F.col("s_suppkey") % 5, "=/api.py").alias("file_path"))
+    return services.infra_handles(deployed, handled)
+
+
+@_operator("mounted_handles", "select distinct 'p' || p_partkey as handler, 'r' || n_nationkey as route from part join nation on p_partkey % 5 = n_regionkey and p_size = n_nationkey")
+def _(spark, sf_dir):
+    mounts = _table(spark, sf_dir, "nation").select(_text("=r", "n_nationkey").alias("route"), _text("=/n", "n_nationkey", "=.").alias("path"), _text("=svc", "n_regionkey", "=/main.py").alias("file_path"))
+    functions = _table(spark, sf_dir, "part").select(_text("=p", "p_partkey").alias("handler"), _text("=svc", F.col("p_partkey") % 5, "=/api/n", "p_size", "=.py").alias("file_path"))
+    return services.mounted_handles(mounts, functions)
+
+
+@_operator("grpc_routes", "select '__grpc__' || p_brand || '/' || p_name as route, p_name as name, p_brand as service, p_partkey as handler from part where p_size <= 25")
+def _(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    columns = lambda label, name, lo, hi: [F.lit(label).alias("label"), F.col(name).alias("name"), _text("p_brand", "=.proto").alias("file_path"), lo.alias("start_line"), hi.alias("end_line")]
+    defined = part.select(F.col("p_partkey").alias("id"), *columns("Function", "p_name", F.col("p_size"), F.col("p_size")))
+    served = part.groupBy("p_brand").agg(F.min(-F.col("p_partkey")).alias("id")).select("id", *columns("Class", "p_brand", F.lit(1), F.lit(25)))
+    return services.grpc_routes(defined.unionByName(served))
+
+
+@_operator("file_routes", """with x as (select p_partkey as k, p_size as s, ['GET', 'POST', 'fallback', 'load', 'other'][p_partkey % 5 + 1] as name, p_partkey % 2 = 0 as page from part),
+y as (select k, s, case when not page and name in ('GET', 'POST') then name when not page and name = 'fallback' then 'ANY' when page and name = 'load' then 'LOAD' end as method from x)
+select '__route__' || method || '__/b' || s || '/:id' as route, method, '/b' || s || '/:id' as path, 'q' || k as handler from y where method is not null""")
+def _(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("GET", "POST", "fallback", "load", "other")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    place = _text("=a/src/routes/(shop)/b", "p_size", "=/[id=int]/+", F.when(F.col("p_partkey") % 2 == 0, "page.server").otherwise("server"), "=.ts")
+    defs = _table(spark, sf_dir, "part").select(_text("=q", "p_partkey").alias("qualified_name"), name.alias("name"), F.lit("Function").alias("label"), place.alias("file_path"))
+    return services.file_routes(defs)
+
+
+@_operator("class_edges", """with d as (select 'm' || p_size as m, 'K' || p_partkey as n, 'm' || p_size || '.K' || p_partkey as q from part)
+select 'INHERITS' as type, a.q as src, b.q as dst from d a join d b on b.n = 'K' || (substr(a.n, 2)::bigint + 1)
+union all select 'DECORATES', b.q, a.q from d a join d b on b.n = 'K' || (substr(a.n, 2)::bigint + 2)""")
+def _(spark, sf_dir):
+    part, module = _table(spark, sf_dir, "part"), _text("=m", "p_size")
+    qn = F.concat(module, F.lit("."), _text("=K", "p_partkey"))
+    classes = part.select(qn.alias("qualified_name"), module.alias("module"), F.array(_text("=x.K", F.col("p_partkey") + 1)).alias("bases"), F.array(_text("=K", F.col("p_partkey") + 2)).alias("decorators"))
+    return derive.inherits(classes, part.select(qn.alias("qualified_name"), _text("=K", "p_partkey").alias("name"), module.alias("module")))
+
+
+@_operator("dependency_links", "select n_nationkey::bigint as src, p_partkey as dst, max(case when p_partkey % 25 = n_nationkey then 0.95 else 0.8 end)::double as confidence from nation, part where p_partkey % 25 = n_nationkey or p_size % 25 = n_nationkey group by all")
+def _(spark, sf_dir):
+    deps = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), _text("=Lib-", "n_nationkey").alias("name"))
+    uses = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _text("=lib_", F.col("p_partkey") % 25, "=.lib_", F.col("p_size") % 25).alias("target"))
+    return derive.dependency_imports(deps, uses)
+
+
+@_operator("file_references", "select p_partkey as src, 'd' || n_regionkey || '/f' || n_nationkey || '.yaml' as file_path, case when p_size % 5 = n_regionkey then 0.9 else 0.7 end::double as confidence from part join nation on p_partkey % 25 = n_nationkey")
+def _(spark, sf_dir):
+    refs = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), _text("=./d", F.col("p_size") % 5, "=/f", F.col("p_partkey") % 25, "=.yaml").alias("text"))
+    return derive.file_references(refs, _table(spark, sf_dir, "nation").select(_text("=d", "n_regionkey", "=/f", "n_nationkey", "=.yaml").alias("file_path")))
+
+
+@_operator("fuzzy_calls", "with d as (select p_size as s, min(p_brand || '.' || p_partkey) as target, count(*) as n from part group by p_size) select o_orderkey as call_id, target, case when n = 1 then 0.4 else 0.3 end::double as confidence from orders join d on s = o_custkey % 60")
+def _(spark, sf_dir):
+    defs = _table(spark, sf_dir, "part").select(_text("p_brand", "=.", "p_partkey").alias("qualified_name"), _text("=f", "p_size").alias("name"))
+    calls = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), _text("=x.y.f", F.col("o_custkey") % 60).alias("callee"))
+    return derive.fuzzy_resolve(calls, defs)
+
+
+_SIGNALS_SQL = "with p as (select l_orderkey as a, l_linenumber as b, l_discount as d, l_tax as t, (l_partkey % 10) / 10.0::double as x, l_suppkey % 2 as u, l_partkey % 2 as v from lineitem), q as (select a, b, u, v, case when x >= 0.95 then 0 else least(1, greatest(0, (0.2 * x + 0.25 * x + 0.1 * x + 0.15 * (1 - d) + 0.1 * (1 - t) + 0.05 + 0.1 * x) * (1 + 0.1 * case when u = v then 1 else 0.5 end))) end as score from p)"
+
+
+def _scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("l_partkey") % 10) / F.lit(10.0)
+    signals = {"tfidf": x, "random_index": x, "minhash": x, "api": 1 - F.col("l_discount"), "type": 1 - F.col("l_tax"), "decorator": F.lit(1.0), "profile": x, "jaccard": x}
+    place = lambda c: _text("=src/d", F.col(c) % 2, "=/f.py")
+    pairs = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").cast("bigint").alias("b"), *[c.alias(k) for k, c in signals.items()], place("l_suppkey").alias("path_a"), place("l_partkey").alias("path_b"))
+    return similarity.combined_score(pairs)
+
+
+@_operator("combined_scores", _SIGNALS_SQL + " select a, b::bigint as b, round(score, 9) as score from q")
+def _(spark, sf_dir):
+    return _scored_pairs(spark, sf_dir).select("a", "b", F.round("score", 9).alias("score"))
+
+
+@_operator("diffused_vectors", "with e as (select vec_id as src, vec_id + 1 as dst from embeddings), n as (select src, dst from e union select dst, src from e), d as (select vec_id, unnest(range(0, len(embedding))) as k, unnest(embedding)::double as x from embeddings), m as (select src as vec_id, k, avg(x) as m from n join d on d.vec_id = dst group by all), s as (select d.vec_id, d.k, coalesce(0.7 * x + 0.3 * m, x) as y from d left join m using (vec_id, k)) select vec_id, round(sum(case when k < 8 then y end) / sqrt(sum(y * y)), 6) as head from s group by vec_id")
+def _(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = vector_search.diffuse(v, v.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    return out.select(F.col("id").alias("vec_id"), F.round(F.aggregate(F.slice("vector", 1, 8), F.lit(0.0), lambda s, x: s + x), 6).alias("head"))
+
+
+_WORDS = ("the", "an", "error", "que", "über")
+
+
+@_operator("pattern_matches", "select doc_id, p as pattern, (length(text) - length(replace(text, p, ''))) // length(p) as n from documents, (select unnest([" + ", ".join(f"'{w}'" for w in _WORDS) + "]) as p) where contains(text, p)")
+def _(spark, sf_dir):
+    found = multi_match.match_patterns(_table(spark, sf_dir, "documents"), _WORDS, "doc_id", "text")
+    return found.groupBy("doc_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_operator("declared_packages", "select 'p' || p_partkey || ['/package.json', '/Cargo.toml', '/go.mod', '/pubspec.yaml'][p_partkey % 4 + 1] as file_path, 'n' || p_size as name, 'p' || p_partkey || ['', '/src', '', '/lib'][p_partkey % 4 + 1] as entry from part")
+def _(spark, sf_dir):
+    kind, name = F.col("p_partkey") % 4, _text("=n", "p_size")
+    file = _text("=p", "p_partkey", F.when(kind == 0, "/package.json").when(kind == 1, "/Cargo.toml").when(kind == 2, "/go.mod").otherwise("/pubspec.yaml"))
+    body = F.when(kind == 0, _text('={"name": "', name, '="}')).when(kind == 1, _text('=[package]\nname = "', name, '="\n')).when(kind == 2, _text("=module ", name, "=\n")).otherwise(_text("=name: ", name))
+    return infra.packages(_table(spark, sf_dir, "part").select(file.alias("file_path"), body.alias("text")))
+
+
+@_operator("deleted_or_skipped", "select 'o' || o_orderkey as rel_path, case when o_orderkey % 3 = 1 then 'skipped' else 'deleted' end as status from orders where o_orderkey % 3 <> 0")
+def _(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", _text("=o", "o_orderkey").alias("rel_path"))
+    return store.deleted_or_skipped(orders, orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 < 2"))
+
+
+@_operator("confidence_bands", "select o_orderpriority as priority, case when o_custkey % 100 >= 70 then 'high' when o_custkey % 100 >= 45 then 'medium' when o_custkey % 100 >= 25 then 'speculative' else '' end as band, count(*) as n from orders group by all")
+def _(spark, sf_dir):
+    band = paths.confidence_band((F.col("o_custkey") % 100) / F.lit(100.0))
+    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Run]:
     return dict(_RUNS)
 
