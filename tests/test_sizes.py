@@ -89,3 +89,13 @@ def test_similar_edges_join_no_pair_with_signatures(spark, signed):
         near = sorted((-s, q) for (p, q), s in _agreeing(rows).items() if p == a and s >= 0.25 and p % 2 == q % 2)
         want += [(a, q, -s, a % 5 == q % 5) for s, q in near[:2]]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_neighbours_in_steps(spark, monkeypatch):
+    assert vector_search.STEP <= 256
+    r = np.random.default_rng(1)
+    m = r.standard_normal((150, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vector array<double>")
+    got = {(x.query, x.id) for x in vector_search.neighbours(df, df, 3).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert got == {(i, int(j)) for i in range(150) for j in np.argsort(-(u @ u.T)[i], kind="stable")[:3]}
