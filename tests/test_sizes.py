@@ -113,3 +113,11 @@ def test_interfaces_begin_at_their_rarest_name(spark):
             if owner is not None and name is not None:
                 table.setdefault(owner, set()).add(name)
     assert sorted((r.src, r.dst) for r in df.collect()) == sorted((s, d) for s in has for d in need if need[d] <= has[s] and s != d)
+
+
+def test_channels_are_made_distinct_before_they_pair(spark):
+    side = lambda p, n, m: spark.createDataFrame([(p, i % n, f"c{i % 3}") for i in range(m)], "project string, src bigint, channel string")
+    df = derive.cross_channels(side("one", 30, 120), side("two", 6, 40))
+    assert not gathers_pairs(df, "src", "dst")
+    got = [(r.src, r.dst, r.channel) for r in df.collect()]
+    assert sorted(got) == sorted((a, b, f"c{c}") for c in range(3) for a in range(c, 30, 3) for b in range(c, 6, 3))
