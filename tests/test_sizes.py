@@ -1,12 +1,14 @@
 """Steps whose rows must not grow with the square of a group, against loops."""
 
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
-from weftgraph.operators import derive, similarity, vector_search
+from weftgraph.lineage import cut
+from weftgraph.operators import analytics, derive, reach, similarity, vector_search
 
 
 def plan(df):
@@ -140,3 +142,37 @@ def test_projects_calls_meet_routes_once(spark):
     assert plan(found).count("LeftAnti") == 0
     one = [("a", 1, "b", 7), ("a", 2, "b", 10), ("b", 3, "a", 9)]
     assert sorted((r.project, r.src, r.other_project, r.dst) for r in found.collect()) == sorted(one + [(p, d, o, s) for o, s, p, d in one])
+
+
+def test_communities_leave_only_what_is_read(spark):
+    context = spark.sparkContext
+    r = random.Random(2)
+    edges = [(g * 10 + a, g * 10 + b) for g in range(4) for a in range(10) for b in range(a) if r.random() < 0.8] + [(g * 10, g * 10 + 10) for g in range(3)]
+    nodes, table = spark.range(40), spark.createDataFrame(edges, "src bigint, dst bigint")
+    cut(spark.range(1))  # sets the folder
+    folder = context.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = analytics.communities(nodes, table, 2)
+    assert len(set(os.listdir(folder)) - before) == 1
+    of = {x.id: x.community for x in found.collect()}
+    assert len(of) == 40
+    degree, m = dict.fromkeys(range(40), 0), len(edges)
+    for a, b in edges:
+        degree[a] += 1
+        degree[b] += 1
+    by_hand = sum(of[a] == of[b] for a, b in edges) / m - sum((sum(degree[i] for i in of if of[i] == c) / (2 * m)) ** 2 for c in set(of.values()))
+    assert abs(analytics.modularity(found, table).first().q - by_hand) < 1e-9
+
+
+def test_shortest_paths_compute_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2)] + [(2, 0)], "src bigint, dst bigint").mapInPandas(counted, "src bigint, dst bigint")
+    got = sorted(map(tuple, reach.shortest(spark.createDataFrame([(0,)], "id bigint"), edges).collect()))
+    assert got == [(0, 0, 0), (0, 1, 1), (0, 2, 2)]
+    assert seen.value == 3
