@@ -157,3 +157,23 @@ def test_written_rows(spark, tmp_path):
 def test_best_fit_decreasing_by_hand():
     assert bfd_packing.place(np.array([3, 7, 5, 2, 6]), 10) == [[1, 0], [4], [2, 3]] or bfd_packing.place(np.array([3, 7, 5, 2, 6]), 10) == [[1, 0], [4, 3], [2]]
     assert bfd_packing.place(np.array([], np.int64), 10) == []
+
+
+def test_cut_holds_few_numbers_at_a_time():
+    """Boundaries a few ids apart, so that a stretch has hundreds of thousands: the same cuts
+    in chunks of any size, and memory for one chunk beside an index for each boundary."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    at = np.concatenate([[0], np.cumsum(rng.integers(1, 12, 200_000))]).astype(np.int64)
+    penalty = rng.choice([0.0, 4.0, 12.0], len(at))
+    tracemalloc.start()
+    found = dp_packing.cut(at, penalty, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    before, dp_packing.CHUNK = dp_packing.CHUNK, len(at)
+    try:
+        assert np.array_equal(found, dp_packing.cut(at, penalty, 1024))
+    finally:
+        dp_packing.CHUNK = before

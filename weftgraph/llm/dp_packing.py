@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import binary_array, small_batches
+from .common import small_batches
 from .tokens import byte_bpe, default_vocabulary
 
 WINDOW = 1024
@@ -49,6 +49,9 @@ INSIDE_EVERY = 16
 #: Ids packed at a time.
 STRETCH_IDS = 1 << 22
 
+#: Boundaries that are Python's numbers at a time.
+CHUNK = 1 << 14
+
 #: The id that ends each document.
 END_ID = 0
 
@@ -76,15 +79,16 @@ def padding(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.where(lengths & (lengths - 1) == 0, 0, window - lengths)
 
 
-def unpadded(at: np.ndarray, window: int) -> tuple[list[int], list[int], list[int]]:
-    """Pairs of boundaries a power of two apart, less than a window: for the later one, in
-    order, the places of its pairs, the earlier one, and the power."""
+def unpadded(at: np.ndarray, window: int, begin: int = 0) -> tuple[list[int], list[int], list[int]]:
+    """Pairs of boundaries a power of two apart, less than a window, of which the later one is
+    begin or after it: for the later one, in order, the places of its pairs, the earlier one,
+    and the power."""
     later, earlier, power = [], [], []
     size = 1
     while size < window:
-        i = np.searchsorted(at, at - size)
-        j = np.flatnonzero((at >= size) & (at[i] == at - size))
-        later.append(j)
+        i = np.searchsorted(at, at[begin:] - size)
+        j = np.flatnonzero(at[i] == at[begin:] - size)
+        later.append(j + begin)
         earlier.append(i[j])
         power.append(np.full(len(j), size))
         size *= 2
@@ -96,37 +100,46 @@ def unpadded(at: np.ndarray, window: int) -> tuple[list[int], list[int], list[in
 
 
 def cut(at: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
-    """The ends of the best windows, as indexes into at."""
-    b, pen, n = at.tolist(), (penalty + WINDOW_COST).tolist(), len(at)
-    first, earlier, power = unpadded(at, window)
-    came = [0] * n
-    values = [0.0] * n  # best(i) + b(i)
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # the same, b(i), i
+    """The ends of the best windows, as indexes into at. Only a chunk of the boundaries and
+    those a window before it are held as Python's numbers."""
+    n = len(at)
+    came = np.zeros(n, np.int32)
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # best(i) + b(i), b(i), i
     push, pop, drop = queue.append, queue.pop, queue.popleft
-    begin = 0
-    for j in range(1, n):
-        x = b[j]
-        low = x - window
-        while queue[0][1] < low:
-            drop()
-        value, _, i = queue[0]
-        value += window
-        end = first[j + 1]
-        if begin != end:
-            for k in range(begin, end):
-                other = values[earlier[k]] + power[k]
-                if other < value:
-                    value, i = other, earlier[k]
-            begin = end
-        came[j] = i
-        values[j] = value = value + pen[j]  # best(j) + b(j)
-        while queue and queue[-1][0] >= value:
-            pop()
-        push((value, x, j))
+    values, back = [0.0], 0  # best(i) + b(i), from i = back on
+    for low_j in range(1, n, CHUNK):
+        high_j = min(n, low_j + CHUNK)
+        near = int(np.searchsorted(at, at[low_j] - window))
+        del values[: near - back]
+        back = near
+        part = at[near:high_j]
+        b, pen = part.tolist(), (penalty[near:high_j] + WINDOW_COST).tolist()
+        first, earlier, power = unpadded(part, window, low_j - near)
+        begin = 0
+        for j in range(low_j - near, high_j - near):
+            x = b[j]
+            low = x - window
+            while queue[0][1] < low:
+                drop()
+            value, _, i = queue[0]
+            value += window
+            end = first[j + 1]
+            if begin != end:
+                for k in range(begin, end):
+                    other = values[earlier[k]] + power[k]
+                    if other < value:
+                        value, i = other, earlier[k] + near
+                begin = end
+            came[j + near] = i
+            value += pen[j]  # best(j) + b(j)
+            values.append(value)
+            while queue and queue[-1][0] >= value:
+                pop()
+            push((value, x, j + near))
     ends, j = [], n - 1
     while j > 0:
         ends.append(j)
-        j = came[j]
+        j = int(came[j])
     return np.array(ends[::-1], dtype=np.int64)
 
 
@@ -155,11 +168,15 @@ def _packer(path: str, window: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base, total
             p = pack_stretch(held_ids, held, bpe.ends_sentence, window)
-            raw = p["flat"].astype("<u4").tobytes()
             names = np.empty(len(held_ids), dtype=object)
             names[:] = held_ids
+            held_ids.clear()
+            held.clear()
+            raw = pa.py_buffer(p["flat"].astype("<u4", copy=False))
             for a in range(0, len(p["doc"]), 4096):
                 s = slice(a, a + 4096)
+                at = np.append(p["at"][s], p["at"][s][-1] + p["length"][s][-1])  # a piece begins where the last one ends
+                offsets = pa.py_buffer((4 * (at - at[0])).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names[p["doc"][s]], pa.int64()),
@@ -168,13 +185,11 @@ def _packer(path: str, window: int):
                         pa.array(p["doc_tokens"][s]),
                         pa.array(base + p["seq"][s]),
                         pa.array(p["offset"][s]),
-                        binary_array(raw[4 * i : 4 * (i + n)] for i, n in zip(p["at"][s].tolist(), p["length"][s].tolist(), strict=True)),
+                        pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, raw.slice(4 * int(at[0]), 4 * int(at[-1] - at[0]))]),
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
             base += int(p["seq"][-1]) + 1
-            held_ids.clear()
-            held.clear()
             total = 0
 
         for batch in batches:
