@@ -202,3 +202,23 @@ def test_counted_matches_are_not_paired(spark):
     assert {r.t: r.n for r in whole.collect()} == {t: float(len(p) * sum(i % 7 for i in s)) for t, (p, s) in {"Town1": (people, shops), "Town2": others}.items()}
     compared = compile_query(g, f"{match} WHERE a.start_line > 2 OR b.start_line < 5 RETURN COUNT(*) AS n")
     assert compared.collect()[0].n == sum(i % 7 > 2 or j % 7 < 5 for p, s in ((people, shops), others) for i in p for j in s)
+
+
+def test_copies_are_scored_once(spark):
+    r = random.Random(4)
+    texts = [sorted(r.sample(["all", "u", "v", "w", "x", "y"], r.randint(1, 4))) for _ in range(12)]
+    rows = [(i, "g" if i % 5 else "h", texts[i % len(texts)]) for i in range(90)] + [(90, "g", ["only"])]
+    docs = spark.createDataFrame(rows, "id bigint, p_brand string, t array<string>")
+    tokens = docs.selectExpr("id", "'name' as field", "explode(t) as token")
+    weights = cut(similarity.tfidf(tokens, similarity.document_frequency(docs, "t")))
+    scores, members = similarity.class_cosines(docs, "p_brand", weights)
+    classes = {(g, tuple(t)) for _, g, t in rows}
+    assert scores.count() <= len(classes) * (len(classes) + 1) // 2 and members.count() == len(rows)
+
+    found = similarity.group_cosines(docs, "p_brand", weights)
+    assert not gathers_pairs(found)
+    got = {(x.a, x.b): x.score for x in found.collect()}
+    pairs = spark.createDataFrame([(a, b) for a, g, _ in rows for b, h, _ in rows if a < b and g == h], "a bigint, b bigint")
+    want = {(x.a, x.b): x.score for x in similarity.sparse_cosine(pairs, weights).collect()}
+    assert got.keys() == want.keys() and len(want) > 2000
+    assert found.count() == len(got) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
