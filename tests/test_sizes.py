@@ -222,3 +222,32 @@ def test_copies_are_scored_once(spark):
     want = {(x.a, x.b): x.score for x in similarity.sparse_cosine(pairs, weights).collect()}
     assert got.keys() == want.keys() and len(want) > 2000
     assert found.count() == len(got) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_large_inputs_are_dealt_by_their_size(spark, monkeypatch, tmp_path):
+    from weftgraph import lineage
+    from weftgraph.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
+    from weftgraph.operators import store
+    from weftgraph.plans.compiler import compile_query
+
+    r = random.Random(6)
+    nodes = spark.createDataFrame([(i, "p", "AB"[i % 2], f"test_{i}", f"q{i}", "tests/test_a.py" if i % 2 else "src/a.py", i % 5, i % 5 + i % 9, "{}") for i in range(40)], NODE_SCHEMA)
+    edges = spark.createDataFrame([(i, "p", r.choice([1, 1, r.randrange(50)]), r.randrange(50), "CALLS", "{}") for i in range(300)], EDGE_SCHEMA)
+    for name, df in (("nodes", nodes), ("edges", edges)):  # files have a known size
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    nodes, edges = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("nodes", "edges"))
+    hits = nodes.selectExpr("file_path", "start_line as line").distinct()
+    runs = {
+        "degrees": lambda: store.degrees(edges),
+        "without_dangling": lambda: store.without_dangling(nodes, edges),
+        "tightest": lambda: store.tightest(nodes, hits),
+        "tests": lambda: derive.tests(edges, nodes),
+        "count_distinct": lambda: compile_query(Graph(nodes, edges), "MATCH (a:A)-[:CALLS]->(b:B) RETURN b.start_line AS s, COUNT(DISTINCT a) AS n"),
+    }
+    small = {k: sorted(f().collect()) for k, f in runs.items()}
+    assert all(small.values())
+    monkeypatch.setattr(lineage, "SHARE", 1)
+    monkeypatch.setattr(lineage, "MOST_SHARES", 9)
+    for k, f in runs.items():
+        assert re.search(r"RepartitionByExpression \[.*\], 9", plan(f())), k
+        assert sorted(f().collect()) == small[k], k
